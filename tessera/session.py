@@ -65,3 +65,8 @@ def clean_key(column: str | Column) -> Column:
     """Lower case, no surrounding white space; an empty key is null."""
     text = F.lower(F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(BLANKS)))
     return F.when(text != "", text)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (counted), else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

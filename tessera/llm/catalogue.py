@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.catalogue import Query
-from tessera.llm import borda, bpe, splitting
+from tessera.llm import borda, bpe, neighbours, splitting
 from tessera.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -62,3 +63,32 @@ def p5_ranking(spark: SparkSession, root: str) -> DataFrame:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.token_ids(table(spark, root, "documents"))
+
+
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    digest = F.lower(F.btrim("content_hash", F.lit(" \t\r\n")))
+    return table(spark, root, "chunk_embeddings").select(digest.alias("content_hash"), "embedding", "model").where("content_hash <> ''")
+
+
+@query(
+    "p6_found",
+    """WITH v AS (SELECT DISTINCT lower(trim(content_hash)) AS h, model, embedding::DOUBLE[] AS e FROM chunk_embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT h, model, e FROM v WHERE list_dot_product(e, e) > 0)
+SELECT DISTINCT a.h AS content_hash_a, b.h AS content_hash_b FROM u a JOIN u b ON a.model = b.model AND a.h < b.h
+WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+)
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs, members = neighbours.neighbours(_vectors(spark, root), "content_hash", "embedding", "model", k=10, floor=0.9)
+    found = neighbours.similar_keys(pairs, members, "content_hash")
+    return found.select(F.col("a").alias("content_hash_a"), F.col("b").alias("content_hash_b"))
+
+
+@query("p6_neighbours")
+def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 most similar vectors of every distinct vector, as classes named by their least content hash.
+    The vectors have next to no structure below 0.9, so all lists are scanned."""
+    pairs, members = neighbours.neighbours(_vectors(spark, root), "content_hash", "embedding", "model", k=10, list_size=16384, share=1.0, rerank=400)
+    names = members.groupBy("class").agg(F.min("content_hash").alias("name"), F.min("model").alias("model"), F.count("*").alias("n_rows"))
+    a = names.select(F.col("class").alias("a"), F.col("name").alias("content_hash"), "model", "n_rows")
+    b = names.select(F.col("class").alias("b"), F.col("name").alias("similar_hash"))
+    return pairs.join(a, "a").join(b, "b").select("content_hash", "model", "n_rows", F.col("place").cast("int").alias("place"), "similar_hash", F.round("similarity", 5).alias("similarity"))

@@ -108,10 +108,12 @@ def oversized(items: DataFrame, limits: DataFrame, item: str) -> DataFrame:
     """Items over the limit of their language, once each, with the limits that hold for them."""
     language = F.lower(F.btrim("language"))
     own = limits.select(language.alias("_l"), F.col("max_bytes").alias("_m"), F.col("overlap_bytes").alias("_o"))
-    rest = bounded(limits.where("lower(language) = 'default'").select(F.col("max_bytes").alias("_dm"), F.col("overlap_bytes").alias("_do")), 1)
+    rest = limits.where(language == "default").select("max_bytes", "overlap_bytes").limit(1).collect()
+    most, shared = (rest[0][0], rest[0][1]) if rest else (None, None)
     rows = items.select(item, "start_byte", "start_line", "text", language.alias("_l")).where(F.col(item).isNotNull())
-    rows = rows.join(bounded(own, LIMIT_ROWS), "_l", "left").join(rest, F.lit(True), "left")
-    rows = rows.select(item, "start_byte", "start_line", "text", F.coalesce("_m", "_dm").alias("max_bytes"), F.coalesce("_o", "_do").alias("overlap_bytes"))
+    rows = rows.join(bounded(own, LIMIT_ROWS), "_l", "left")
+    limit, overlap = F.coalesce("_m", F.lit(most).cast("int")), F.coalesce("_o", F.lit(shared).cast("int"))
+    rows = rows.select(item, "start_byte", "start_line", "text", limit.alias("max_bytes"), overlap.alias("overlap_bytes"))
     over = rows.where(F.octet_length("text") > F.col("max_bytes"))
     pick = F.max(F.struct("text", "start_byte", "start_line", "max_bytes", "overlap_bytes")).alias("_r")
     return over.groupBy(item).agg(pick).select(item, "_r.*")

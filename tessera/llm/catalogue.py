@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import Query
-from tessera.llm import borda, bpe, neighbours, splitting
+from tessera.llm import borda, bpe, mixing, neighbours, splitting
 from tessera.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,13 @@ def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     a = names.select(F.col("class").alias("a"), F.col("name").alias("content_hash"), "model", "n_rows")
     b = names.select(F.col("class").alias("b"), F.col("name").alias("similar_hash"))
     return pairs.join(a, "a").join(b, "b").select("content_hash", "model", "n_rows", F.col("place").cast("int").alias("place"), "similar_hash", F.round("similarity", 5).alias("similarity"))
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]

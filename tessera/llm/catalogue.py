@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import Query
-from tessera.llm import borda, bpe, mixing, neighbours, splitting
+from tessera.llm import borda, bpe, credentials, mixing, neighbours, splitting
 from tessera.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,17 @@ def p9_mix(spark: SparkSession, root: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    texts = credentials.hashed(table(spark, root, "chunk_embeddings"), "chunk_text")
+    paths = credentials.hashed(table(spark, root, "chunks"), "file_path")
+    return credentials.credential_lines(texts, paths, "content_hash", "chunk_text")
+
+
+@query("p7_redacted")
+def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
+    texts = credentials.hashed(table(spark, root, "chunk_embeddings"), "chunk_text")
+    paths = credentials.hashed(table(spark, root, "chunks"), "file_path")
+    return credentials.redact(texts, paths, "content_hash", "chunk_text")

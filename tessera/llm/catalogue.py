@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import Query
-from tessera.llm import borda, bpe, credentials, mixing, neighbours, splitting
+from tessera.llm import borda, bpe, credentials, mixing, neighbours, splitting, syntax
 from tessera.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,14 @@ def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
     texts = credentials.hashed(table(spark, root, "chunk_embeddings"), "chunk_text")
     paths = credentials.hashed(table(spark, root, "chunks"), "file_path")
     return credentials.redact(texts, paths, "content_hash", "chunk_text")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.failing(syntax.current_files(table(spark, root, "source_files")))
+
+
+@query("p4_rates")
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    files = syntax.current_files(table(spark, root, "source_files"))
+    return syntax.failure_rates(files, syntax.failing(files), table(spark, root, "index_stats"))

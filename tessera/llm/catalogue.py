@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import Query
-from tessera.llm import borda, bpe, credentials, mixing, neighbours, splitting, syntax
+from tessera.llm import borda, bpe, credentials, mixing, neighbours, sentences, splitting, syntax
 from tessera.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     files = syntax.current_files(table(spark, root, "source_files"))
     return syntax.failure_rates(files, syntax.failing(files), table(spark, root, "index_stats"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, root, "documents"))

@@ -159,7 +159,7 @@ def wrapped(text: str, paragraphs: list[list[tuple[int, int]]]) -> bool:
 
 def coded(token: str) -> bool:
     """Whether a token is a name or path of a program, which may open a sentence in lower case."""
-    core = token.rstrip(".,;:!?)]\"'»”")
+    core = token.rstrip(".,;:!?)]\"'»”").lstrip("([\"'«“„¿¡")
     return bool(re.search(r"[_/\\(){}`=\d@#]|[a-z][A-Z]|\w\.\w|::", core)) or token.startswith("`")
 
 

@@ -17,17 +17,17 @@ def directories(files: DataFrame, series: list[str], path: str) -> DataFrame:
 def directory_hashes(files: DataFrame, series: list[str]) -> DataFrame:
     """(series, path, kind, hash) with digests of directories from the bottom up: the md5 of their
     children's ordered lines kind:path:hash. files: (series, path, hash). One aggregation a level."""
-    nodes = files.select(*series, "path", F.lit("file").alias("kind"), F.coalesce("hash", F.lit("")).alias("hash"))
-    deepest = nodes.agg(F.max(depth("path"))).first()[0] or 0
-    done = nodes
-    level_rows = nodes.withColumn("depth", depth("path"))
+    nodes = cut(files.select(*series, "path", F.lit("file").alias("kind"), F.coalesce("hash", F.lit("")).alias("hash"), depth("path").alias("depth")))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    columns = [*series, "path", "kind", "hash"]
+    done, made = nodes.select(columns), None
     for level in range(int(deepest), 1, -1):
-        here = level_rows.where(F.col("depth") == level)
+        here = nodes.where(F.col("depth") == level).select(columns)
+        here = here if made is None else here.unionByName(made)
         line = F.concat_ws(":", "kind", "path", "hash")
         up = here.groupBy(*series, parent_path("path").alias("path")).agg(F.md5(F.concat_ws("\n", F.array_sort(F.collect_list(line))).cast("binary")).alias("hash"))
         made = cut(up.select(*series, "path", F.lit("directory").alias("kind"), "hash"))
         done = done.unionByName(made)
-        level_rows = level_rows.where(F.col("depth") < level).unionByName(made.withColumn("depth", depth("path")))
     return done
 
 

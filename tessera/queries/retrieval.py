@@ -24,7 +24,7 @@ qterms AS (SELECT doc_id AS query_id, term, tf AS weight FROM post WHERE doc_id
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, post.doc_id, sum(weight * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))) AS raw
   FROM qterms JOIN post USING (term) JOIN df USING (term) JOIN lens ON lens.doc_id = post.doc_id CROSS JOIN stats GROUP BY ALL),
-bms AS (SELECT query_id, doc_id, round(raw / greatest(1.0, max(raw) OVER (PARTITION BY query_id)), 6) AS score FROM bm WHERE raw > 0)
+bms AS (SELECT query_id, doc_id, round(raw, 6) AS raw, round(round(raw, 6) / greatest(1.0, max(round(raw, 6)) OVER (PARTITION BY query_id)), 6) AS score FROM bm WHERE raw > 0)
 """
 ALL_QUERIES = "WITH qset AS (SELECT doc_id FROM documents WHERE doc_id % 20 = 0),"
 
@@ -39,7 +39,7 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 @query(
     "bm25_topk",
-    ALL_QUERIES + POSTINGS + "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM bms) WHERE rank <= 10",
+    ALL_QUERIES + POSTINGS + "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id)::BIGINT AS rank FROM bms) WHERE rank <= 10",
 )
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
     docs = _docs(spark, root)
@@ -50,8 +50,8 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
     "bm25_repo_topk",
     ALL_QUERIES
     + POSTINGS.rstrip()
-    + """, kept AS (SELECT b.*, max(raw) OVER (PARTITION BY query_id) AS top FROM bm b JOIN documents d USING (doc_id) WHERE d.repo = 'lumen-index' AND raw > 0)
-SELECT * FROM (SELECT query_id, doc_id, round(raw / greatest(1.0, top), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw / greatest(1.0, top), 6) DESC, doc_id)::BIGINT AS rank FROM kept) WHERE rank <= 10""",
+    + """, kept AS (SELECT query_id, doc_id, round(raw, 6) AS raw, max(round(raw, 6)) OVER (PARTITION BY query_id) AS top FROM bm b JOIN documents d USING (doc_id) WHERE d.repo = 'lumen-index' AND raw > 0)
+SELECT * FROM (SELECT query_id, doc_id, round(raw / greatest(1.0, top), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id)::BIGINT AS rank FROM kept) WHERE rank <= 10""",
 )
 def bm25_repo_topk(spark: SparkSession, root: str) -> DataFrame:
     """Candidates of one repository only; the corpus figures stay global."""
@@ -67,8 +67,8 @@ def corpus_figures(spark: SparkSession, root: str) -> DataFrame:
     docs = _docs(spark, root)
     index = SparseIndex(docs, "doc_id", "text")
     terms = index.postings.groupBy("term").agg(F.count("*").alias("n")).agg(F.sum("n").cast("bigint").alias("postings"), F.count("*").cast("bigint").alias("terms"))
-    sizes = index.lengths.agg(F.round(F.avg("len"), 6).alias("avg_length"))
-    return index.docs.agg(F.count("*").cast("bigint").alias("documents")).join(terms, how="cross").join(sizes, how="cross")
+    sizes = index.docs.agg(F.round(F.avg("len"), 6).alias("avg_length"))  # one row each
+    return terms.select(F.lit(index.total).cast("bigint").alias("documents"), "postings", "terms").join(sizes, how="cross")
 
 
 COSINE = "SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, q.label AS wanted, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0"
@@ -101,7 +101,7 @@ HYBRID = (
     + f""",
 c AS ({COSINE} AND q.vec_id IN (SELECT doc_id FROM qset)),
 sparse AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r0 FROM bms) WHERE r0 <= 51) WHERE query_id <> doc_id) WHERE rank <= 50),
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS r0 FROM bms) WHERE r0 <= 51) WHERE query_id <> doc_id) WHERE rank <= 50),
 near AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 50),
 lanes AS (SELECT query_id, doc_id, 'bm25' AS lane, rank, score FROM sparse UNION ALL SELECT query_id, doc_id, 'dense', rank, score FROM near),
 norm AS (SELECT query_id, sum(0.5) / 61 AS norm FROM (SELECT DISTINCT query_id, lane FROM lanes) GROUP BY ALL),

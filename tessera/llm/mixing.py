@@ -55,9 +55,10 @@ def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
     """(source, threshold): documents with h < threshold fill the source's part without passing it;
     each level sums only the documents of the boundary bucket of the level before."""
     state = budget.select("source", F.lit(0).cast("bigint").alias("low"), F.col("part").alias("left"))
+    near = F.broadcast if budget.limit(SOURCES + 1).count() <= SOURCES else (lambda df: df)  # all below have a row per target
     for level in range(LEVELS):
         width = 60 - BITS * (level + 1)
-        step = bounded(state, SOURCES)
+        step = near(state)
         inside = sized.join(step, "source").where((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < (1 << (width + BITS)) if level else F.lit(True)))
         bucket = F.shiftrightunsigned(F.col("h") - F.col("low"), width)
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n"))
@@ -67,7 +68,7 @@ def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
         fits = F.col("upto") <= F.col("left")
         boundary = F.coalesce(F.min(F.when(~fits, F.col("bucket"))), F.max("bucket") + 1)
         edge = sums.groupBy("source").agg(boundary.alias("edge"), F.max(F.when(fits, F.col("upto"))).alias("used"))
-        state = state.join(bounded(edge, SOURCES), "source", "left")
+        state = state.join(near(edge), "source", "left")
         low = F.col("low") + F.shiftleft(F.coalesce("edge", F.lit(0)).cast("bigint"), width)
         state = cut(state.select("source", low.alias("low"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
     return state.select("source", F.col("low").alias("threshold"))

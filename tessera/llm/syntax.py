@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import grammars as g
 from tessera.llm import lexing, scripts
-from tessera.session import bounded, cut
+from tessera.session import bounded, cut, parallelism
 
 try:
     import tomllib
@@ -44,6 +44,7 @@ EXTENSIONS = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx
 LEXERS = {"typescript": g.script(True), "javascript": g.script(False), "go": g.GO, "rust": g.RUST, "java": g.JAVA, "json": g.JSON, "toml": g.TOML, "python": g.PYTHON}
 CONTEXTS = {"typescript": g.script_context, "javascript": g.script_context}
 FLAGGED_BROADCAST = 1_000_000
+SHAPES_A_TASK = 200_000
 YAML_NEWS = {"\u0085", " ", " "}
 
 
@@ -251,7 +252,11 @@ def bad_shapes(rows: DataFrame) -> DataFrame:
             keep = [not fits(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    # shapes of a context go to the same few tasks, which then compile its productions only
     distinct = shapes.select("language", "a", "b").distinct()
+    distinct = cut(distinct)
+    spread = max(1, distinct.count() // SHAPES_A_TASK)
+    distinct = distinct.repartition(parallelism(rows.sparkSession), "language", "a", F.pmod(F.xxhash64("b"), F.lit(spread)))
     bad = distinct.mapInArrow(run, "language string, a string, b string")
     return shapes.join(bad, ["language", "a", "b"], "left_semi").select("file_id")
 

@@ -37,22 +37,22 @@ def snapshot_changes(rows: DataFrame, series: list[str], number: str, key: str,
     """(series, number, key, change_kind, changed_fields) of every added, removed or changed key.
 
     rows must hold one row per series, number and key."""
-    signed = rows.join(index, [*series, number], "inner")
+    signed = rows.select(*series, number, key, *fields).join(index, [*series, number], "inner")
     here = F.when(~F.col("opens"), F.struct(F.lit(1).alias("sign"), F.col(number).alias("at")))
     then = F.when(F.col("following").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("following").alias("at")))
     cells = [F.struct(F.lit("").alias("field"), F.lit("").alias("value"))]
     cells += [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
-    signed = signed.select(*series, key, *fields, F.explode(F.array_compact(F.array(here, then))).alias("_s"))
-    signed = signed.select(*series, F.col("_s.at").alias(number), key, F.col("_s.sign").alias("sign"), F.explode(F.array(*cells)).alias("_c"))
-    signed = signed.select(*series, number, key, "sign", F.col("_c.field").alias("field"), F.col("_c.value").alias("value")).where("value IS NOT NULL")
+    signed = signed.select(*series, key, F.array(*cells).alias("_cells"), F.explode(F.array_compact(F.array(here, then))).alias("_s"))
+    signed = signed.select(*series, F.col("_s.at").alias(number), key, F.col("_s.sign").alias("_sign"), F.explode("_cells").alias("_c"))
+    signed = signed.select(*series, number, key, "_sign", F.col("_c.field").alias("_field"), F.col("_c.value").alias("_value")).where("_value IS NOT NULL")
     group = [*series, number, key]
-    sums = signed.groupBy(*group, "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
-    by_field = sums.groupBy(*group, "field").agg(F.max("n").alias("new"), F.min("n").alias("old"))
-    both = (F.col("field") != "") & (F.col("new") > 0) & (F.col("old") < 0)
-    presence = F.max(F.when(F.col("field") == "", F.col("new")))
-    keyed = by_field.groupBy(*group).agg(presence.alias("presence"), F.sort_array(F.collect_list(F.when(both, F.col("field")))).alias("changed_fields"))
-    kind = F.when(F.col("presence") > 0, "added").when(F.col("presence") < 0, "removed").when(F.size("changed_fields") > 0, "changed")
-    return keyed.withColumn("change_kind", kind).where("change_kind IS NOT NULL").drop("presence")
+    sums = signed.groupBy(*group, "_field", "_value").agg(F.sum("_sign").alias("_sum")).where("_sum <> 0")
+    by_field = sums.groupBy(*group, "_field").agg(F.max("_sum").alias("_new"), F.min("_sum").alias("_old"))
+    both = (F.col("_field") != "") & (F.col("_new") > 0) & (F.col("_old") < 0)
+    presence = F.max(F.when(F.col("_field") == "", F.col("_new")))
+    keyed = by_field.groupBy(*group).agg(presence.alias("_presence"), F.sort_array(F.collect_list(F.when(both, F.col("_field")))).alias("changed_fields"))
+    kind = F.when(F.col("_presence") > 0, "added").when(F.col("_presence") < 0, "removed").when(F.size("changed_fields") > 0, "changed")
+    return keyed.withColumn("change_kind", kind).where("change_kind IS NOT NULL").drop("_presence")
 
 
 def tree_nodes(nodes: DataFrame) -> DataFrame:

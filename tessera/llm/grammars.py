@@ -84,7 +84,8 @@ def script_productions(typed: bool) -> dict[str, str]:
     table = rf"(?:{entry}(?:,{entry})*,?)?"
     member = rf"[jyo]*(?:{name}|[nsB])(?:P{note}(?:C|;|,|$)|{note}(?:e{expr})?(?:;|,|$))"
     body = rf"(?:;|jC|{member})*"
-    names = rf"(?:(?:j?(?:{name}|Z|s)(?:k(?:{name}|Z))?)(?:,j?(?:{name}|Z|s)(?:k(?:{name}|Z))?)*,?)?"
+    mark = "j?" if typed else ""
+    names = rf"(?:(?:{mark}(?:{name}|Z|s)(?:k(?:{name}|Z))?)(?:,{mark}(?:{name}|Z|s)(?:k(?:{name}|Z))?)*,?)?"
     arg = rf"(?:j*D?{target}{note}(?:e{expr})?|{expr})"
     args = rf"(?:{arg}(?:,{arg})*,?)?"
     loop = rf"(?:(?:{var}|{expr}(?:,{expr})*)?;(?:{expr})?;(?:{expr}(?:,{expr})*)?|[cv]?{target}[qo]{expr})"
@@ -182,7 +183,8 @@ RUST = Lexer(
         (r"=>", "A"),
         (r"\.\.=|\.\.\.|\.\.", "D"),
         (r"<<=|>>=|[+\-*/%&|^]=", "e"),
-        (r"==|!=|<=|>=|&&|\|\||<<|>>", "o"),
+        (r"\|\|", "Q"),
+        (r"==|!=|<=|>=|&&|<<|>>", "o"),
         (r"=", "e"),
         (r"[\-*&]", "p"),
         (r"\|", "O"),
@@ -199,29 +201,29 @@ RUST = Lexer(
 
 def rust_productions() -> dict[str, str]:
     path = r"(?:i(?:\.i|\.P|\.C|\.o)*)"
-    type_ = rf"(?:(?:p|'|m|d|J|o|cm?)*(?:{path}(?:P(?:a[pm']*i)?)?|P|B|!)(?:o(?:'|{path}P?))*)"
-    closure = rf"(?:z?O(?:p*m?[iPn](?::{type_})?(?:,p*m?[iPn](?::{type_})?)*,?)?O(?:a{type_})?|z?oo?)"
+    type_ = rf"(?:(?:p|'|m|d|J|cm?)*(?:{path}(?:P(?:a[pm']*i)?)?|P|B|!)(?:o(?:'|{path}P?))*)"
+    closure = rf"(?:z?O(?:p*m?[iPn](?::{type_})?(?:,p*m?[iPn](?::{type_})?)*,?)?O(?:a{type_})?|z?Q)"
     macro = r"(?:i(?:\.i)*![PBC])"
     pattern = r"(?:[pm]*(?:i(?:\.i)*|n|s|pn)(?:P|C)?|[pm]*[PB])(?:(?:O|D)(?:i(?:\.i)*(?:P|C)?|n|s))*(?:@[ins])?"
     post = rf"(?:\.(?:i|n)|P|B|\?|k{type_}|\.P)*"
     base = rf"(?:{macro}|i(?:\.i)*C?|[nsPBC]|I(?:l{pattern}e)?|M|w(?:l{pattern}e)?|zC)"
     chain_ = rf"(?:LI(?:l{pattern}e)?COND)*(?:LC)?"
-    operand0 = rf"(?:[p!mDoz]*(?:{closure})?[p!m]*(?:{macro}|i(?:\.i)*C?|n|s|P|B|C|R){post})"
-    infix = r"[opOeD]"
-    cond = rf"(?:(?:l{pattern}e)?{operand0}(?:[opOD]+{operand0})*(?:(?<=o)l{pattern}e{operand0})?)"
+    operand0 = rf"(?:[p!mDz]*(?:{closure})?[p!m]*(?:{macro}|i(?:\.i)*C?|n|s|P|B|C|R){post})"
+    infix = r"[opOQeD]"
+    cond = rf"(?:(?:l{pattern}e)?{operand0}(?:[opOQD][pOD]*{operand0})*(?:(?<=o)l{pattern}e{operand0})?)"
     control = rf"(?:I{cond}C(?:LI{cond}C)*(?:LC)?|M{cond}C|(?:':)?w(?:{cond})?C|(?:':)?f{pattern}q{cond}C|[vz]*C)"
-    operand = rf"(?:[p!mDoz]*(?:{closure})?[p!m]*(?:{control}|{macro}|i(?:\.i)*C?|n|s|P|B|C|R(?:'|)?){post}D?)"
+    operand = rf"(?:[p!mDz]*(?:{closure})?[p!m]*(?:{control}|{macro}|i(?:\.i)*C?|n|s|P|B|C|R(?:'|)?){post}D?)"
     expr = rf"(?:{operand}(?:{infix}{operand}|D)*)"
     where = rf"(?:W{type_}:{type_}(?:,{type_}:{type_})*,?)?"
     fn = rf"[vczs]*FiP(?:a{type_})?{where}"
-    item = rf"(?:#!?B)*(?:vP?)?(?:U(?:i|\.|C|o|p|k|,)+;|{fn}(?:C|;)|[v]*Ki{where}(?:C|P?{where};)|v*Ki:?[^;]*C|v*J(?:!?{type_}f)?{type_}{where}C|Ni(?:;|C)|c(?:m)?i:{type_}(?:e{expr})?;|ji(?:e{type_})?;|i!iC|v*sC)"
+    item = rf"(?:#!?B)*(?:vP?)?(?:U(?:i|\.|C|p|k|,)+;|{fn}(?:C|;)|[v]*Ki{where}(?:C|P?{where};)|v*Ki:?(?:[imopPBW.,:]|')*C|v*J(?:!?{type_}f)?{type_}{where}C|Ni(?:;|C)|c(?:m)?i:{type_}(?:e{expr})?;|ji(?:e{type_})?;|i!iC|v*sC)"
     let = rf"l{pattern}(?::{type_})?(?:e{expr}(?:LC)?)?;"
     lines = rf"(?:;|{item}|(?:#B)*{let}|{control}|(?:i(?:\.i)*!C)|{expr}(?:;|$)|R'?;)*"
     top = rf"(?:#!?B|{item}|{macro};?)*"
-    arm = rf"(?:O?{pattern}(?:I{expr})?A{expr}(?:,|$|(?<=C)))"
+    arm = rf"(?:O?{pattern}(?:I{expr})?A(?:{expr}(?:,|$)|C))"
     field = rf"(?:#B)*(?:vP?)?(?:i:{type_}|i(?:P|C)?(?:e{expr})?)"
     init = rf"(?:i(?::{expr})?|D{expr}?)"
-    names = r"(?:(?:i|C|o|p|\.|k)+(?:,(?:i|C|o|p|\.|k)+)*,?)?"
+    names = r"(?:(?:i|C|p|\.|k)+(?:,(?:i|C|p|\.|k)+)*,?)?"
     param = rf"(?:(?:#B)*(?:p'?m?i|m?i)(?::{type_})?|{pattern}:{type_}|{expr}|{type_})"
     listing = rf"(?:{param}(?:,{param})*,?)?"
     return {"file": top, "(": rf"(?:{listing}|i(?:,i)*)", "[": rf"(?:{listing}|{expr};{expr}|{type_};{expr}|i(?:e?[sPn])?)?", "{": rf"(?:{lines}|{arm}*|(?:{field}(?:,{field})*,?)?|(?:{init}(?:,{init})*,?)?|{names}|{top})"}
@@ -275,7 +277,7 @@ def java_productions() -> dict[str, str]:
     top = rf"(?:{note}ki(?:\.i)*;)?(?:;|Mv?i(?:\.i)*(?:\.o)?;)*(?:;|{class_})*"
     param = rf"(?:{note}v*{note}{type_}D?(?:i|n)B*|{expr}|{type_})"
     loop = rf"(?:(?:{var}|{expr}(?:,{expr})*)?;(?:{expr})?;(?:{expr}(?:,{expr})*)?|v*{type_}i:{expr})"
-    multi = rf"(?:v*{type_}(?:o{type_})*i|(?:{var};?|{expr};?)+)"
+    multi = rf"(?:v*{type_}(?:o{type_})*i|(?:{var}|{expr})(?:;(?:{var}|{expr}))*;?)"
     values = rf"(?:{expr}(?:,{expr})*,?)?"
     return {"file": top, "(": rf"(?:(?:{param}(?:,{param})*)?|{loop}|{multi})", "[": rf"(?:{expr})?", "{": rf"(?:{lines}|{consts}{member}*|{values})"}
 

@@ -86,5 +86,5 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[Da
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     alone = Window.partitionBy(F.lit(0))
     report = budget.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    actual = F.coalesce(F.col("tokens") / F.sum("tokens").over(alone), F.lit(0.0))
+    actual = F.coalesce(F.try_divide("tokens", F.sum("tokens").over(alone)), F.lit(0.0))
     return uses, report.select("source", "target_share", actual.alias("actual_share"), "size", "budget", "tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats")

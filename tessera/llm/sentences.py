@@ -294,7 +294,7 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
                     done = True
                 elif spaced:
                     done = opens(text, stop, end)
-                elif text[stop] in HARD + SOFT + CLOSERS + ",，、;；:：—":
+                elif stop not in spans and text[stop] in HARD + SOFT + CLOSERS + ",，、;；:：—":
                     done = False
                 elif c in "「『":
                     done = path(text[stop : stop + 12])[0] not in CONTINUES and text[stop] not in "とっ"

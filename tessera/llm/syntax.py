@@ -65,6 +65,9 @@ def productions() -> dict[str, dict[str, str]]:
     }
 
 
+END = "\x03"
+
+
 def adjacency(pattern: str) -> tuple[bool, set[str], set[str], set[tuple[str, str]]]:
     """(nullable, first, last, follow) of the words of a regular expression."""
     from re import _parser as parser
@@ -109,6 +112,8 @@ def adjacency(pattern: str) -> tuple[bool, set[str], set[str], set[tuple[str, st
             low, high, inner = value
             n, f, l_, w = sequence(inner)
             return n or low == 0, f, l_, w | ({(a, b) for a in l_ for b in f} if high > 1 else set())
+        if name == "AT" and str(value) in ("AT_END", "AT_END_STRING"):
+            return False, {END}, {END}, set()
         return True, set(), set(), set()
 
     return sequence(parser.parse(pattern))
@@ -123,6 +128,8 @@ def permitted(language: str) -> frozenset[tuple[str, str]]:
     right = lambda s: ends[s][0] if s in ends else s
     for context, pattern in productions()[language].items():
         nullable, first, last, follow = adjacency(pattern)
+        last = last | {a for a, b in follow if b == END}
+        first, last, follow = first - {END}, last - {END}, {(a, b) for a, b in follow if END not in (a, b)}
         out |= {(left(a), right(b)) for a, b in follow}
         opening = {"file": ("^", "$"), "(": ("(", ")"), "[": ("[", "]")}.get(context, ("{", "}"))
         out |= {(opening[0], right(x)) for x in first} | {(left(x), opening[1]) for x in last}

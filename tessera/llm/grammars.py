@@ -99,7 +99,7 @@ def script_context(before: str, bracket: str) -> str:
     part = re.split(r"[;C]", before)[-1] if not before.endswith("C") else ""
     if re.match(r"^[MX]j?(?:i,)?$", part) and part[0] in "MX":
         return "names"
-    if re.search(r"K[^PB]*$|^X?j+[iqmkyj][^e]*$", part):
+    if re.search(r"K[^PB]*$|^X?j+[iqmkyj][^eP]*$", part):
         return "class" if not part.startswith("v") else "{"
     if not part or part[-1] in "PLtzda":
         return "block"

@@ -346,4 +346,5 @@ def python_productions() -> dict[str, str]:
     comp = rf"(?:{expr}(?::{expr})?(?:y?f{many}q{expr}(?:I{expr})*)+)"
     item = rf"(?:{expr}(?::{expr})?(?:e{expr})?|(?:{expr})?:(?:{expr})?(?::(?:{expr})?)?|\*)"
     inner = rf"(?:{comp}|(?:{item}(?:,{item})*,?)?|Ym?{expr}|i(?:ki)?(?:,i(?:ki)?)*,?)"
-    return {"file": rf"(?:{line})*", "(": inner, "[": inner, "{": inner}
+    order = r"(?:t(?:h+L?z?|z)|Il*L?|[fw]L?|s)*"  # which parts of compound statements follow which
+    return {"file": rf"(?:{line})*", "block": order, "(": inner, "[": inner, "{": inner}

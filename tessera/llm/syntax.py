@@ -127,6 +127,8 @@ def permitted(language: str) -> frozenset[tuple[str, str]]:
     left = lambda s: ends[s][1] if s in ends else s
     right = lambda s: ends[s][0] if s in ends else s
     for context, pattern in productions()[language].items():
+        if language == "python" and context == "block":
+            continue  # heads of lines, not tokens
         nullable, first, last, follow = adjacency(pattern)
         last = last | {a for a, b in follow if b == END}
         first, last, follow = first - {END}, last - {END}, {(a, b) for a, b in follow if END not in (a, b)}
@@ -185,7 +187,7 @@ def lexed(language: str, text: str) -> tuple[set[tuple[str, str]], list[tuple[in
     shapes = lexing.shapes(classes, CONTEXTS.get(language, lambda _, b: b))
     if language == "python":
         lines = next((s for c, s in shapes if c == "file"), "")
-        shapes = {(c, s) for c, s in shapes if c != "file"} | {("file", x) for x in python_lines(lines)}
+        shapes = {(c, s) for c, s in shapes if c != "file"} | {("file", x) for x in python_lines(lines)} | {("block", x) for x in python_blocks(lines)}
     return lexing.pairs(classes), lexing.brackets(classes), shapes
 
 
@@ -194,6 +196,24 @@ def python_lines(lines: str) -> list[str]:
     return re.findall(r"<|[^;<>]*;>?|[^;<>]+|>", lines)
 
 
+def python_blocks(lines: str) -> list[str]:
+    """The heads of each block's lines: compound statements by their keyword, all else as s."""
+    out, stack, fresh = [], [""], True
+    for i, c in enumerate(lines):
+        if c == ">":
+            stack.append("")
+        elif c == "<":
+            out.append(stack.pop() if len(stack) > 1 else "<")
+        elif c == ";":
+            fresh = True
+            continue
+        elif fresh:
+            head = lines[i + 1 : i + 2] if c == "y" else c
+            stack[-1] += head if head in "thzLlIfw" else "s"
+        fresh = c in "<>"
+    return out + stack
+
+
 def lex_rows(files: DataFrame) -> DataFrame:
     """(file_id, language, part, at, a, b): part is pair, bracket or shape."""
 

@@ -10,7 +10,7 @@ GOOD = {
     "a.go": ["package a\n\nimport (\n\t\"fmt\"\n)\n\n// ((\nfunc (s *S) F(a []int, b string) (int, error) {\n\tif err := g(); err != nil {\n\t\treturn 0, err\n\t}\n\tfor _, v := range a {\n\t\tfmt.Println(v, '{', `raw \" (`)\n\t}\n\tm := map[string]int{\"a\": 1}\n\tdefer f.Close()\n\treturn m[\"a\"], nil\n}\n", "package b\n\ntype T struct {\n\tA int `json:\"a\"`\n\tB []string\n}\n\nvar x, y = 1, 2\n"],
     "a.rs": ["use a::b::C;\n\n/* ( */\npub fn f<'a>(x: &'a str, v: Vec<u32>) -> Option<&'a str> {\n    let mut y = vec![1, 2];\n    let c = '{';\n    for i in v.iter() { if *i > 3 { y.push(*i); } }\n    let s = v.iter().map(|q| q + 1).sum::<i64>();\n    println!(\"{}\", s);\n    while a < 3 { b(); }\n    match x { \"a\" => Some(x), _ => None }\n}\n"],
     "A.java": ["package a.b;\n\nimport java.util.*;\n\npublic class A<T> extends B {\n    private final List<String> x = new ArrayList<>();\n    public static int f(int a, List<String> b) throws E {\n        for (String s : b) { if (s.length() > 3) { x.add(s); } else { return 1; } }\n        char c = '}'; int record = 2;\n        throw new IllegalStateException(\"a ( b\");\n    }\n}\n"],
-    "a.py": ["def f(a, *, b=1) -> int:\n    x = [i for i in a if i > 1]\n    with g(1) as h:\n        return {'a': x[1:2], **b}\n", "\n", "@d\nasync def f():\n    s = '''\n<<<<<<< a\n'''\n    await g(\n        1,\n    )\n"],
+    "a.py": ["def f(a, *, b=1) -> int:\n    x = [i for i in a if i > 1]\n    with g(1) as h:\n        return {'a': x[1:2], **b}\n", "\n", "@d\nasync def f():\n    s = '''\n<<<<<<< a\n'''\n    await g(\n        1,\n    )\n", "try:\n    a()\nexcept (A, B) as e:\n    pass\nelse:\n    b()\nfinally:\n    c()\nif x: y()\nelif z:\n    pass\nelse: w()\nfor i in j:\n    pass\n"],
     "a.json": ['{"a": [1, 2.5e3, null, "x\\n"], "b": {}}', "[]", '"s"'],
     "a.toml": ['a = 1\n[t.u]\nb = ["x", "y",]\nc = { d = 1.5 }\n# [\n', ""],
     "a.yaml": ["a: 1\nb:\n  - x\n  - y: [1, 2]\nc: |\n  <<<<<<< HEAD\n  text\nd: \"q: {\"\n", '{\n  "a": [\n    1\n  ]\n}\n', "a:\n- b\n- c\n"],
@@ -24,7 +24,7 @@ BAD = {
     "a.go": ["func f() {}\n", "package a\n\nfunc f( {\n}\n", "package a\n\nfunc f() {\n\ta := 1\n", "package a\n\nx y z\n"],
     "a.rs": ["fn f(a: u32 -> u32 { a }\n", "fn f() {\n    let x = beaco\n", "pub fn f() { >>>>>>> x\n}\n", "package a\n"],
     "A.java": ["class A { void f() { int a = 1 } }\n", "class A { void f() { g(; } }\n", "package a\n\nimport (\n\"log\"\n)\n"],
-    "a.py": ["def f(:\n    pass\n", "def f():\nreturn 1\n", "print 'x'\n", "a = [1, 2\n", "def f():\n      a = 1\n    b = 2\n", "<<<<<<< HEAD\n"],
+    "a.py": ["def f(:\n    pass\n", "def f():\nreturn 1\n", "print 'x'\n", "a = [1, 2\n", "def f():\n      a = 1\n    b = 2\n", "<<<<<<< HEAD\n", "def f():\n    try:\n        a = 1\n", "else:\n    pass\n"],
     "a.json": ['{"a": 1,}', "", "a,b\n1,2\n", '{"a": NaN}', '{"a" 1}'],
     "a.toml": ["a : 1\n", "=======\n", 'a = "x\n'],
     "a.yaml": ["a: [1, 2\n", "a: 1\n<<<<<<< HEAD\nb: 2\n", 'a: "x\nb: 1\n'],

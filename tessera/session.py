@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +31,26 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera-package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tessera_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

@@ -28,8 +28,8 @@ from tessera.session import clean_key, cut
 SAMPLE = 40_000
 CUT = 0.5
 
-QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n]){0,20000})\1""")
-JOIN = re.compile(r"""\s*\+?\s*\\?[ \t]*\r?\n\s*\+?\s*(["'`])((?:\\.|(?!\1)[^\\\n]){0,20000})\1""")
+QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+JOIN = re.compile(r"""\s*\+?\s*\\?[ \t]*\r?\n\s*\+?\s*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 CONTINUES = re.compile(r"[ \t]*(?:\+[ \t]*\\?|\\)[ \t]*\r?$|[ \t]*\r?\n[ \t]*\+", re.M)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?!-----BEGIN)[\s\S])*?)(?:-----END \1-----|\Z)")
 URL = re.compile(r"\b([a-z][a-z0-9+.\-]{1,20}://)([^\s:/@\"'`]{1,200}):([^\s@\"'`/]{1,400})@")

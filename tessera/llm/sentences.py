@@ -39,6 +39,8 @@ HARD = "。！？｡．।॥"
 SOFT = ".!?؟۔…‽"
 CLOSERS = "\"'”’»›」』）)]］】〉》“"
 OPENS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", '"': '"', "`": "`"}
+FRAME = re.compile("[" + re.escape("".join(OPENS)) + "]")
+BRACKETS = re.compile(r"[()\[\]（）【】]")
 HEADING = re.compile(r"[ ]{0,3}#{1,6}(?:\s|$)")
 ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 BULLET = re.compile(r"\s*[-*+•]\s+\S")
@@ -187,33 +189,44 @@ def opens(text: str, at: int, end: int) -> bool:
 
 def frames(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
     """Top-level quotations, brackets and code spans: (opening, closing, is a quotation)."""
+    closing: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {c: [] for c in "([（【"}
+    partner = {OPENS[c]: c for c in stacks}
+    for m in BRACKETS.finditer(text, start, end):
+        c = m[0]
+        if c in stacks:
+            stacks[c].append(m.start())
+        elif stacks[partner[c]]:
+            closing[stacks[partner[c]].pop()] = m.start()
     out, at = [], start
-    while at < end:
-        c = text[at]
-        closers = OPENS.get(c)
-        if closers and not (c == "»" and at > start and text[at - 1].isalnum()):
-            close = -1
-            if c in "([（【":
-                depth = 0
-                for i in range(at, end):
-                    if text[i] == c:
-                        depth += 1
-                    elif text[i] == closers:
-                        depth -= 1
-                        if not depth:
-                            close = i
-                            break
-            else:
-                found = [i for i in (text.find(x, at + 1, end) for x in closers) if i >= 0]
-                close = min(found) if found else -1
-            if close > 0:
-                out.append((at, close, c not in "([（【`"))
-                at = close + 1
-                continue
-        at += 1
+    without: set[str] = set()  # openings that no closing follows any more
+    for m in FRAME.finditer(text, start, end):
+        i, c = m.start(), m[0]
+        if i < at or c in without or (c == "»" and i > start and text[i - 1].isalnum()):
+            continue
+        if c in stacks:
+            close = closing.get(i, -1)
+        else:
+            found = [j for j in (text.find(x, i + 1, end) for x in OPENS[c]) if j >= 0]
+            close = min(found) if found else -1
+            if close < 0:
+                without.add(c)
+        if close > 0:
+            out.append((i, close, c not in "([（【`"))
+            at = close + 1
     return out
 
 
+def word_after(text: str, at: int, end: int) -> str:
+    """The next run without white space."""
+    while at < end and text[at].isspace():
+        at += 1
+    stop = at
+    while stop < end and not text[stop].isspace():
+        stop += 1
+    return text[at:stop]
+
+
 def readings(text: str, first: int, at: int, last: int, end: int, start: int) -> dict[str, float]:
     """Costs of the readings of the terminators text[at:last]; first is where the sentence begins."""
     run = text[at:last]
@@ -223,7 +236,7 @@ def readings(text: str, first: int, at: int, last: int, end: int, start: int) ->
     dots = run.strip("!?؟")
     if "…" in dots or "..." in dots:
         spaced = at > start and text[at - 1].isspace()
-        following = text[last:end].lstrip()
+        following = word_after(text, last, end)
         if spaced or not (following[:1].isupper() or not following):
             costs["ellipsis"] = 0.4
         return costs
@@ -233,11 +246,11 @@ def readings(text: str, first: int, at: int, last: int, end: int, start: int) ->
     while left > first and not text[left - 1].isspace():
         left -= 1
     word = text[left:at].lstrip("\"'“„«‹([（¿¡`*_—")
-    following = text[last:end].lstrip()
+    following = word_after(text, last, end)
     if word in NEVER:
         costs["abbreviation"] = 0.1
     elif word in MAYBE:
-        if word in "дп" and not re.search(r"т\.\s*$", text[first:left]):
+        if word in "дп" and not re.search(r"т\.\s*$", text[max(first, left - 8) : left]):
             costs["initial"] = 0.1
     elif word in NUMBERED:
         if following[:1].isdigit() or (len(word) == 1 and word != "n"):
@@ -268,7 +281,7 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
     if not span:
         return out
     start, end = span
-    first, at = start, start
+    first, at, hellenic = start, start, -1
     spans = {a: (b, quoted) for a, b, quoted in frames(text, start, end)}
 
     def finish(stop: int) -> int:
@@ -286,7 +299,7 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
             stop = close + 1
             final = text[close - 1] in HARD + SOFT and close - 1 > at
             if final and c != "`":
-                whole = not text[first:at].strip()
+                whole = first == at
                 spaced = stop >= end or text[stop].isspace()
                 if not quoted:
                     done = whole and (spaced or ideographic(text, stop)) and opens(text, stop, end)
@@ -299,7 +312,7 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 elif c in "「『":
                     done = path(text[stop : stop + 12])[0] not in CONTINUES and text[stop] not in "とっ"
                 elif c in "“":
-                    before = text[first:at].rstrip()
+                    before = text[max(first, at - 8) : at].rstrip()
                     done = bool(before) and before[-1] in ":：，," or not SPEAKERS.match(text, stop)
                     if ord(text[stop]) < 0x2E80:
                         done = False if not (bool(before) and before[-1] in ":：") else done
@@ -318,7 +331,9 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 stop += 1
             at = first = finish(stop)
             continue
-        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace()) and re.search(r"[Ͱ-Ͽἀ-῿]", text[first:at])
+        if "Ͱ" <= c <= "῿" and (c <= "Ͽ" or c >= "ἀ"):
+            hellenic = at
+        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace()) and hellenic >= first
         if c in SOFT or greek:
             last = at
             while last < end and (text[last] in SOFT + HARD or (greek and last == at)):
@@ -370,7 +385,7 @@ def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
     piece = text[start:end]
     if not THAI.search(piece) or not re.search(r"\s", piece):
         return [(start, end)]
-    inner = [(a, b) for a, b, _ in frames(text, start, end)]
+    inner = {a: b for a, b, _ in frames(text, start, end)}
     tokens: list[tuple[int, int]] = []
     at = start
     while at < end:
@@ -378,13 +393,14 @@ def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
             at += 1
         stop = at
         while stop < end and not text[stop].isspace():
-            stop = next((b + 1 for a, b in inner if a <= stop <= b), stop + 1)
+            stop = inner.get(stop, stop) + 1
         if stop > at:
             tokens.append((at, min(stop, end)))
         at = stop
     out: list[tuple[int, int]] = []
-    first = start
+    first, seen = start, 0  # seen: tokens of the phrase with letters of the script
     for k in range(1, len(tokens)):
+        seen += bool(THAI.search(text, *tokens[k - 1]))
         left, right = text[slice(*tokens[k - 1])], text[slice(*tokens[k])]
         after = [text[slice(*t)] for t in tokens[k + 1 : k + 3]]
         aside = right[0] in "([（【"
@@ -394,11 +410,11 @@ def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
         while back > 0 and text[tokens[back][0]] in "([（【" and tokens[back][0] > first:
             back -= 1
         spoken = text[slice(*tokens[back])]
-        native = bool(THAI.search(text[first : tokens[k][0]]))
+        native = seen > 0
         final = bool(THAI.match(spoken[-1:])) and bool({"".join(x) for x in ending(path(spoken))} & FINALS)
         if (native and aside) or (native and THAI.match(right) and path(right)[0] in OPENERS) or (native and final) or (native and foreign(right, after)) or (not native and THAI.match(right) and bool(re.search(r"[^\x00-\x7fÀ-ɏ]", left[-1:]))):
             out.append((first, tokens[k - 1][1]))
-            first = tokens[k][0]
+            first, seen = tokens[k][0], 0
     out.append((first, end))
     return out
 

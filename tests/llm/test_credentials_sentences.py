@@ -125,3 +125,15 @@ def test_units_never_overlap_and_hold_all_text():
             assert all(b <= c_ for (_, b), (c_, _) in zip(out, out[1:], strict=False))
             covered = set().union(*(set(range(a, b)) for a, b in out)) if out else set()
             assert all(ch.isspace() for i, ch in enumerate(text) if i not in covered)
+
+
+@pytest.mark.parametrize("piece", ["(", "“", '"', "; ", "a. ", "กรุณา ", "「a。", "x", "Γ; ", "`", "... ", "[a] ", "т. д. "])
+def test_very_long_texts_take_linear_time(piece):
+    import time
+
+    text = piece * (300_000 // len(piece))
+    began = time.time()
+    out = s.units(text, "plain")
+    c.candidates(text)
+    assert time.time() - began < 20
+    assert out[0][0] == 0 and out[-1][1] == len(text.rstrip())

@@ -79,11 +79,12 @@ def script_productions(typed: bool) -> dict[str, str]:
     simple = rf"(?:{var}|R(?:{expr}(?:,{expr})*)?|T{expr}|b{name}?|{expr}(?:,{expr})*|M[jiqkyC,o]*ms(?:i?C)?|Ms|C?wP{alias})"
     out = rf"(?:X(?:Zy?(?:{fn}|{cl})|C|{block})|X(?:C(?:ms)?|o(?:k{name})?ms|Z{expr}|{simple}|jC(?:ms)?))"
     lead = rf"(?:IP|L|fu?P|wP|d|{name}:(?!:)|Z(?:{expr})?:)*"
-    lines = rf"(?:;|{lead}(?:{block}|X(?:Zy?(?:{fn}|{cl})|{block}))|{lead}(?:{simple}|{out})(?:;|$)|(?:Z(?:{expr})?:)$)*"
+    # a statement once read stays read: no way back over a long text that ends badly
+    lines = rf"(?>;|{lead}(?:{block}|X(?:Zy?(?:{fn}|{cl})|{block}))|{lead}(?:{simple}|{out})(?:;|$)|(?:Z(?:{expr})?:)$)*+"
     entry = rf"(?:D{expr}|[jy]?o?(?:{name}|[nsB])P{note}C|(?:{name}|[nsB]):{expr}|{name}(?:e{expr})?)"
     table = rf"(?:{entry}(?:,{entry})*,?)?"
     member = rf"[jyo]*(?:{name}|[nsB])(?:P{note}(?:C|;|,|$)|{note}(?:e{expr})?(?:;|,|$))"
-    body = rf"(?:;|jC|{member})*"
+    body = rf"(?>;|jC|{member})*+"
     mark = "j?" if typed else ""
     names = rf"(?:(?:{mark}(?:{name}|Z|s)(?:k(?:{name}|Z))?)(?:,{mark}(?:{name}|Z|s)(?:k(?:{name}|Z))?)*,?)?"
     arg = rf"(?:j*D?{target}{note}(?:e{expr})?|{expr})"
@@ -150,15 +151,15 @@ def go_productions() -> dict[str, str]:
     decl = rf"(?:v(?:P|i(?:,i)*(?:{type_})?(?:e{many})?)|j(?:P|iB?e?{type_}))"
     label = r"(?:i:)?"
     statement = rf"{label}(?:{if_}|{for_}|S(?:{head}(?:{simple})?)C|C|{decl}|R(?:{many})?|g{expr}|bi?|{simple})"
-    lines = rf"(?:;|(?:Z(?:{many}|{simple}|{type_}(?:,{type_})*)?:)|{statement}(?:;|$))*"
+    lines = rf"(?>;|(?:Z(?:{many}|{simple}|{type_}(?:,{type_})*)?:)|{statement}(?:;|$))*+"
     top = rf";*ki(?:;+M(?:s|P|[i.]s))*(?:;+(?:F(?:P)?iP{back}C?|{decl}))*;*"
     arg = rf"(?:{type_}|{expr}|i{type_})"
     entry = rf"(?:{expr}(?::{expr})?)"
     table = rf"(?:{entry}(?:,{entry})*,?;*)?"
     field = rf"(?:i(?:,i)*{type_}s?|p?i(?:\.i)?s?|iP{back})"
-    fields = rf"(?:;|{field}(?:;|$))*"
+    fields = rf"(?>;|{field}(?:;|$))*+"
     group = r"(?:;|[i.]?s(?:;|$))*"
-    decls = rf"(?:;|i(?:,i)*(?:{type_})?(?:e{many})?(?:;|$)|i{type_}(?:;|$))*"
+    decls = rf"(?>;|i(?:,i)*(?:{type_})?(?:e{many})?(?:;|$)|i{type_}(?:;|$))*+"
     return {"file": top, "(": rf"(?:;*(?:{arg}(?:,;*{arg})*,?;*)?|{group}|{decls})", "[": rf"(?:D|{type_}|{expr}|(?:{expr})?:(?:{expr})?(?::{expr})?)?", "{": rf"(?:{lines}|{table}|{fields})", "block": lines}
 
 
@@ -218,8 +219,8 @@ def rust_productions() -> dict[str, str]:
     fn = rf"[vczs]*FiP(?:a{type_})?{where}"
     item = rf"(?:#!?B)*(?:vP?)?(?:U(?:i|\.|C|p|k|,)+;|{fn}(?:C|;)|[v]*Ki{where}(?:C|P?{where};)|v*Ki:?(?:[imopPBW.,:]|')*C|v*J(?:!?{type_}f)?{type_}{where}C|Ni(?:;|C)|c(?:m)?i:{type_}(?:e{expr})?;|ji(?:e{type_})?;|i!iC|v*sC)"
     let = rf"l{pattern}(?::{type_})?(?:e{expr}(?:LC)?)?;"
-    lines = rf"(?:;|{item}|(?:#B)*{let}|{control}|(?:i(?:\.i)*!C)|{expr}(?:;|$)|R'?;)*"
-    top = rf"(?:#!?B|{item}|{macro};?)*"
+    lines = rf"(?>;|{item}|(?:#B)*{let}|{expr}(?:;|$)|{control}|(?:i(?:\.i)*!C)|R'?;)*+"
+    top = rf"(?>#!?B|{item}|{macro};?)*+"
     arm = rf"(?:O?{pattern}(?:I{expr})?A(?:{expr}(?:,|$)|C))"
     field = rf"(?:#B)*(?:vP?)?(?:i:{type_}|i(?:P|C)?(?:e{expr})?)"
     init = rf"(?:i(?::{expr})?|D{expr}?)"
@@ -273,13 +274,13 @@ def java_productions() -> dict[str, str]:
     class_ = rf"{note}v*{note}(?:Ki|iiP){raises}*C"
     member = rf"(?:;|{class_}|{method}|{var};|v?C)"
     consts = rf"(?:{note}iP?C?(?:,{note}iP?C?)*,?;?)?"
-    lines = rf"(?:;|{class_}|{lead}{block}|{lead}{simple};|(?:Z(?:{expr}(?:,{expr})*)?(?::|a))$)*"
-    top = rf"(?:{note}ki(?:\.i)*;)?(?:;|Mv?i(?:\.i)*(?:\.o)?;)*(?:;|{class_})*"
+    lines = rf"(?>;|{class_}|{lead}{block}|{lead}{simple};|(?:Z(?:{expr}(?:,{expr})*)?(?::|a))$)*+"
+    top = rf"(?:{note}ki(?:\.i)*;)?(?:;|Mv?i(?:\.i)*(?:\.o)?;)*(?>;|{class_})*+"
     param = rf"(?:{note}v*{note}{type_}D?(?:i|n)B*|{expr}|{type_})"
     loop = rf"(?:(?:{var}|{expr}(?:,{expr})*)?;(?:{expr})?;(?:{expr}(?:,{expr})*)?|v*{type_}i:{expr})"
     multi = rf"(?:v*{type_}(?:o{type_})*i|(?:{var}|{expr})(?:;(?:{var}|{expr}))*;?)"
     values = rf"(?:{expr}(?:,{expr})*,?)?"
-    return {"file": top, "(": rf"(?:(?:{param}(?:,{param})*)?|{loop}|{multi})", "[": rf"(?:{expr})?", "{": rf"(?:{lines}|{consts}{member}*|{values})"}
+    return {"file": top, "(": rf"(?:(?:{param}(?:,{param})*)?|{loop}|{multi})", "[": rf"(?:{expr})?", "{": rf"(?:{lines}|{consts}(?>{member})*+|{values})"}
 
 
 # JSON, read strictly; an exact reader decides about what is flagged
@@ -306,7 +307,7 @@ TOML = Lexer(
     newline=True,
 )
 TOML_KEY = r"(?:[ins](?:\.[ins])*)"
-TOML_PRODUCTIONS = {"file": rf"(?:;|(?:B|{TOML_KEY}e[nsBC])(?:;|$))*", "(": "(?!)", "[": rf"(?:;*(?:[nsBC];*(?:,;*[nsBC];*)*,?;*)?|{TOML_KEY}|B)", "{": rf"(?:{TOML_KEY}e[nsBC](?:,{TOML_KEY}e[nsBC])*)?"}
+TOML_PRODUCTIONS = {"file": rf"(?>;|(?:B|{TOML_KEY}e[nsBC])(?:;|$))*+", "(": "(?!)", "[": rf"(?:;*(?:[nsBC];*(?:,;*[nsBC];*)*,?;*)?|{TOML_KEY}|B)", "{": rf"(?:{TOML_KEY}e[nsBC](?:,{TOML_KEY}e[nsBC])*)?"}
 
 # Python: logical lines end in ';', blocks are '>' and '<'; an exact reader decides about what is flagged
 PYTHON_STRING = r"(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:\\[\s\S]|[^\\])*?\"\"\"|'''(?:\\[\s\S]|[^\\])*?'''|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')"

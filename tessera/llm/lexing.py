@@ -36,6 +36,7 @@ class Lexer:
         out: list[tuple[str, int, bool]] = []
         at, broke, n = 0, False, len(text)
         match, patterns, words = self.rule.match, self.patterns, self.words
+        lists = generic_ends(text) if self.generics and "<" in text else {}
         while at < n:
             c = text[at]
             if c == "\n":
@@ -51,7 +52,7 @@ class Lexer:
                     out.append(("n", at, broke))
                     at, broke = m.end(), False
                     continue
-            if self.generics and c == "<" and at and (text[at - 1].isalnum() or text[at - 1] in "_:") and (end := generic_end(text, at)):
+            if self.generics and c == "<" and at and (text[at - 1].isalnum() or text[at - 1] in "_:") and (end := lists.get(at, 0)):
                 at = end
                 continue
             m = match(text, at)
@@ -74,25 +75,22 @@ class Lexer:
 
 
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-GENERIC = re.compile(r"[\w\s,.<>\[\]?&'|:=*]")
+ANGLE = re.compile(r"[<>]|[^\w\s,.\[\]?&'|:=*\-]")
 
 
-def generic_end(text: str, at: int) -> int:
-    """End of a balanced type argument list that begins at ``at``, or 0."""
-    depth, n = 0, len(text)
-    for i in range(at, n):
-        c = text[i]
+def generic_ends(text: str) -> dict[int, int]:
+    """End of every balanced type argument list, by its start; what no such list may hold ends all open ones."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in ANGLE.finditer(text):
+        c = m[0]
         if c == "<":
-            depth += 1
-        elif c == ">":
-            if text[i - 1] in "-=":
-                continue
-            depth -= 1
-            if not depth:
-                return i + 1
-        elif not GENERIC.match(c) and c not in "-":
-            return 0
-    return 0
+            stack.append(m.start())
+        elif c != ">":
+            stack.clear()
+        elif stack and text[m.start() - 1] not in "-=":
+            out[stack.pop()] = m.end()
+    return out
 
 
 def joined(tokens: list[tuple[str, int, bool]], lexer: Lexer) -> list[tuple[str, int]]:

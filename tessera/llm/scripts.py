@@ -135,10 +135,10 @@ FIRST = r"(?:!*(?:w(?:[w>])*|>w[w>]*|f?wQ?N*[Cp](?:>w)*|wQN*[CpID]|[ICpS](?:>w)*
 
 def shell_productions() -> dict[str, str]:
     pipe = r"(?:{first}(?:A N*{first})*)".replace(" ", "").replace("{first}", FIRST.replace("%LIST%", r"(?:[;N]*w[w>]*(?:A[;N]*w[w>]*)*[;N]+)"))
-    stop = r"(?:;N*|N+)"
-    lines = rf"(?:N*(?:{pipe}(?:{stop}|$))*)"
-    some = rf"(?:N*(?:{pipe}{stop})+)"
-    some_p = rf"(?:N*(?:{pipe}(?:{stop}|$))+)"
+    stop = r"(?:;N*+|N++)"
+    lines = rf"(?:N*(?>{pipe}(?:{stop}|$))*+)"
+    some = rf"(?:N*(?>{pipe}{stop})++)"
+    some_p = rf"(?:N*(?>{pipe}(?:{stop}|$))++)"
     case = rf"w+N*(?:\(?w(?:Aw)*\)N*(?:{pipe}(?:;|N)*)*(?:;;|$)?N*)*"
     return {"file": lines, "I": rf"{some}T{some}(?:l{some}T{some})*(?:L{some})?", "D": some, "C": some, "P": some_p, "S": case}
 

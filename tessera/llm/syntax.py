@@ -105,6 +105,8 @@ def adjacency(pattern: str) -> tuple[bool, set[str], set[str], set[tuple[str, st
             return False, s, s, set()
         if name == "SUBPATTERN":
             return sequence(value[3])
+        if name == "ATOMIC_GROUP":
+            return sequence(value)
         if name == "BRANCH":
             parts = [sequence(x) for x in value[1]]
             return any(p[0] for p in parts), set().union(*(p[1] for p in parts)), set().union(*(p[2] for p in parts)), set().union(*(p[3] for p in parts))

@@ -70,3 +70,15 @@ def test_empty(spark, rows):
 def test_permitted_pairs_come_from_productions(language):
     pairs = syntax.permitted(language)
     assert ("n", "n") not in pairs and ("{", "}") in pairs
+
+
+@pytest.mark.parametrize(("path", "before", "body", "after"), [("a.ts", "", "if (a > 1) { b(); }\nconst x: number = y ? 1 : 2;\n", ""), ("a.rs", "fn q() {\n", "let x = g(1);\nif a > 1 { b(); }\n", "}\n"), ("A.java", "class A {\n", "int f(int a) { x.add(1); if (a > 1) { b(); } }\n", "}\n"), ("a.sh", "", "if [ 1 ]; then\n  echo 1\nfi\n", "")])
+def test_long_files_that_end_badly_take_no_long_time(path, before, body, after):
+    import time
+
+    began = time.time()
+    for tail, bad in (("", False), (") ]\n", True)):
+        language = syntax.EXTENSIONS[path.rsplit(".", 1)[1]]
+        _, _, shapes = syntax.lexed(language, before + body * 400 + tail + after)
+        assert any(not syntax.fits(language, *x) for x in shapes) == bad
+    assert time.time() - began < 15

@@ -12,7 +12,14 @@ import re
 
 from tessera.llm.lexing import Lexer
 
-NUMBER = r"0[xXoObB][\da-fA-F_]+[a-zA-Z\d]*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+\-]?\d+)?[a-zA-Z]*[\d]*"
+def numbers(suffix: str, radix_suffix: str, hex_float: str = "") -> list[tuple[str, str]]:
+    """Patterns of numbers with the suffixes a language has; a number that runs on into a word can't be read."""
+    whole = r"0[bB][01_]+|0[oO][0-7_]+"
+    decimal = r"(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+\-]?\d[\d_]*)?"
+    return [(rf"(?:{hex_float}(?:0[xX][\da-fA-F_]+|{whole}){radix_suffix}|{decimal}{suffix})(?![\w$])", "n"), (r"\d[\w$]*", "\x00")]
+
+
+HEX_FLOAT = r"0[xX][\da-fA-F_]*\.?[\da-fA-F_]*[pP][+\-]?\d[\d_]*[fFdDi]?|"
 WORD = r"[^\W\d]\w*"
 COMMENTS = [(r"//[^\n]*", "comment"), (r"/\*[\s\S]*?\*/", "comment"), (r"/\*", "\x00")]
 
@@ -35,7 +42,7 @@ def script(typed: bool) -> Lexer:
             *COMMENTS,
             (r"`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`", "s"),
             (r"\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'", "s"),
-            (NUMBER, "n"),
+            *numbers("n?", "n?"),
             (r"[#$\w][$\w]*", "word"),
             (r"\.\.\.", "D"),
             (r"=>", "a"),
@@ -63,7 +70,7 @@ def script(typed: bool) -> Lexer:
 
 def script_productions(typed: bool) -> dict[str, str]:
     name = "[iqmkyj]"
-    kind = r"(?:[uj]*o?(?:Pa)?(?:[insPBC]|[qmkyj])(?:\.i|B)*(?:o(?:Pa)?[insPBC](?:\.i|B)*)*(?:ki)?)"  # a type
+    kind = r"(?:[uj]*o?(?:Pa)?(?:[insPBC]|[qmkyj])(?:\.i|B)*(?:o(?:Pa)?[insPBC](?:\.i|B)*)*(?:ki)?|u)"  # a type
     note = rf"(?:[!?]?:{kind}(?:k{kind})?|\?)?" if typed else ""
     fn = rf"y?Fo?{name}?P{note}C"
     cl = rf"K(?!P){name}?(?:G(?:{name}|P)(?:\.i|P)*(?:,{name}(?:\.i)*)*)*C"
@@ -78,9 +85,12 @@ def script_productions(typed: bool) -> dict[str, str]:
     alias = rf"|j*j{name}e{kind}|j*{var}|j*y?F{name}P{note}" if typed else ""
     simple = rf"(?:{var}|R(?:{expr}(?:,{expr})*)?|T{expr}|b{name}?|{expr}(?:,{expr})*|M[jiqkyC,o]*ms(?:i?C)?|Ms|C?wP{alias})"
     out = rf"(?:X(?:Zy?(?:{fn}|{cl})|C|{block})|X(?:C(?:ms)?|o(?:k{name})?ms|Z{expr}|{simple}|jC(?:ms)?))"
-    lead = rf"(?:IP|L|fu?P|wP|d|{name}:(?!:)|Z(?:{expr})?:)*"
+    lead = rf"(?:IP|L|fu?P|wP|d|{name}:(?!:))*"
+    clause = rf"Z(?:{expr})?:"
     # a statement once read stays read: no way back over a long text that ends badly
-    lines = rf"(?>;|{lead}(?:{block}|X(?:Zy?(?:{fn}|{cl})|{block}))|{lead}(?:{simple}|{out})(?:;|$)|(?:Z(?:{expr})?:)$)*+"
+    statement = rf"{lead}(?:{block}|X(?:Zy?(?:{fn}|{cl})|{block}))|{lead}(?:{simple}|{out})(?:;|$)"
+    lines = rf"(?>;|{statement})*+"
+    clauses = rf"(?=;*(?:Z|$))(?>;|{clause}(?:{statement})?|{statement})*+"
     entry = rf"(?:D{expr}|[jy]?o?(?:{name}|[nsB])P{note}C|(?:{name}|[nsB]):{expr}|{name}(?:e{expr})?)"
     table = rf"(?:{entry}(?:,{entry})*,?)?"
     member = rf"[jyo]*(?:{name}|[nsB])(?:P{note}(?:C|;|,|$)|{note}(?:e{expr})?(?:;|,|$))"
@@ -91,10 +101,10 @@ def script_productions(typed: bool) -> dict[str, str]:
     args = rf"(?:{arg}(?:,{arg})*,?)?"
     loop = rf"(?:(?:{var}|{expr}(?:,{expr})*)?;(?:{expr})?;(?:{expr}(?:,{expr})*)?|[cv]?{target}[qo]{expr})"
     any_ = rf"(?:{lines}|{table}|{body}|{names})"
-    return {"file": lines, "block": lines, "object": table if not typed else rf"(?:{table}|{body})", "class": body, "names": names, "(": rf"(?:{args}|{loop}|{kind})" if typed else rf"(?:{args}|{loop})", "[": rf"(?:,*{expr}?(?:,{expr}?)*" + (rf"|{name}(?::|o){kind}" if typed else "") + ")", "{": any_}
+    return {"file": lines, "block": lines, "switch": clauses, "object": table if not typed else rf"(?:{table}|{body})", "class": body, "names": names, "(": rf"(?:{args}|{loop}|{kind})" if typed else rf"(?:{args}|{loop})", "[": rf"(?:,*{expr}?(?:,{expr}?)*" + (rf"|{name}(?::|o){kind}" if typed else "") + ")", "{": any_}
 
 
-def script_context(before: str, bracket: str) -> str:
+def script_context(outer: str, before: str, bracket: str) -> str:
     if bracket != "{":
         return bracket
     part = re.split(r"[;C]", before)[-1] if not before.endswith("C") else ""
@@ -102,11 +112,15 @@ def script_context(before: str, bracket: str) -> str:
         return "names"
     if re.search(r"K[^PB]*$|^X?j+[iqmkyj][^eP]*$", part):
         return "class" if not part.startswith("v") else "{"
-    if not part or part[-1] in "PLtzda":
+    if part.endswith("SP") and outer not in ("class", "object"):
+        return "switch"
+    if not part or part[-1] in "PLtzda" or re.search(r"P:[^e,?:;]*[insPBqmkyju]$", part):
         return "block"
+    if part[-1] == ":" and outer != "{":
+        return "block" if outer in ("file", "block", "switch") and re.match(r"^(?:Z[^?]*|[iqmkyj]):$", part) else "object"
     if part[-1] in "h":
         return "block"
-    if part[-1] in "eope,RTDuW?(":
+    if part[-1] in "eope,RTDuW?(cv":
         return "object"
     return "{"
 
@@ -117,7 +131,7 @@ GO = Lexer(
         *COMMENTS,
         (r"`[^`]*`", "s"),
         (r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\[^\n]+?|[^'\\\n])'", "s"),
-        (NUMBER, "n"),
+        *numbers("i?", "i?", HEX_FLOAT),
         (WORD, "word"),
         (r"\.\.\.", "D"),
         (r"\+\+|--", "x"),
@@ -131,17 +145,21 @@ GO = Lexer(
         (r"[.,;:]", "self"),
         (r"[()\[\]{}]", "bracket"),
     ],
-    keys(k="package", M="import", F="func", v="var const", j="type", I="if", L="else", f="for", r="range", S="switch select", Z="case default", R="return", g="defer go", b="break continue goto fallthrough", T="struct interface", m="map", h="chan"),
+    keys(k="package", M="import", F="func", v="var const", j="type", I="if", L="else", f="for", r="range", S="switch select", Z="case default", R="return", g="defer go", b="break continue goto fallthrough", T="struct", N="interface", m="map", h="chan"),
     ends="insxb)]}R",
-    starts="insxFvjIfSZRgbTmhMkupC([{}B",
+    starts="insxFvjIfSZRgbTNmhMkupC([{}B",
     newline=True,
 )
 
 
+# parts of Go that its productions and its contexts share
+GO_TYPE = r"(?:(?:[BphDu]|mB)*(?:i(?:\.i)?B?|[TN]C|FP(?:[Bp]*i(?:\.i)?|P)?))"
+GO_BACK = rf"(?:P|{GO_TYPE})?"
+
+
 def go_productions() -> dict[str, str]:
-    type_ = r"(?:(?:[BphDu]|mB)*(?:i(?:\.i)?B?|TC|FP(?:[Bp]*i(?:\.i)?|P)?))"
-    back = rf"(?:P|{type_})?"
-    operand = rf"(?:[pu]*(?:FP{back}C|(?:[BpD]|mB)*(?:[ins]|TC)(?:\.i)*C?|P|C)(?:\.[iP]|P|B|C)*D?)"
+    type_, back = GO_TYPE, GO_BACK
+    operand = rf"(?:[pu]*(?:FP{back}C|(?:[BpD]|mB)*(?:[ins]|[TN]C)(?:\.i)*C?|P)(?:\.[iP]|P|B|C)*D?)"
     expr = rf"(?:{operand}(?:[op]{operand})*)"
     many = rf"(?:{expr}(?:,{expr})*)"
     simple = rf"(?:{many}(?:e{many}|x|u{expr})?)"
@@ -151,22 +169,40 @@ def go_productions() -> dict[str, str]:
     decl = rf"(?:v(?:P|i(?:,i)*(?:{type_})?(?:e{many})?)|j(?:P|iB?e?{type_}))"
     label = r"(?:i:)?"
     statement = rf"{label}(?:{if_}|{for_}|S(?:{head}(?:{simple})?)C|C|{decl}|R(?:{many})?|g{expr}|bi?|{simple})"
-    lines = rf"(?>;|(?:Z(?:{many}|{simple}|{type_}(?:,{type_})*)?:)|{statement}(?:;|$))*+"
+    lines = rf"(?>;|{statement}(?:;|$))*+"
+    clauses = rf"(?=;*(?:Z|$))(?>;|Z(?:{many}|{simple}|{type_}(?:,{type_})*)?:|{statement}(?:;|$))*+"
     top = rf";*ki(?:;+M(?:s|P|[i.]s))*(?:;+(?:F(?:P)?iP{back}C?|{decl}))*;*"
     arg = rf"(?:{type_}|{expr}|i{type_})"
-    entry = rf"(?:{expr}(?::{expr})?)"
+    entry = rf"(?:(?:{expr}|C)(?::(?:{expr}|C))?)"
     table = rf"(?:{entry}(?:,{entry})*,?;*)?"
-    field = rf"(?:i(?:,i)*{type_}s?|p?i(?:\.i)?s?|iP{back})"
+    field = rf"(?:i(?:,i)*{type_}s?|p?i(?:\.i)?s?)"
     fields = rf"(?>;|{field}(?:;|$))*+"
+    methods = rf"(?>;|(?:iP{back}|u?{type_}(?:ou?{type_})*)(?:;|$))*+"
     group = r"(?:;|[i.]?s(?:;|$))*"
     decls = rf"(?>;|i(?:,i)*(?:{type_})?(?:e{many})?(?:;|$)|i{type_}(?:;|$))*+"
-    return {"file": top, "(": rf"(?:;*(?:{arg}(?:,;*{arg})*,?;*)?|{group}|{decls})", "[": rf"(?:D|{type_}|{expr}|(?:{expr})?:(?:{expr})?(?::{expr})?)?", "{": rf"(?:{lines}|{table}|{fields})", "block": lines}
+    return {"file": top, "(": rf"(?:;*(?:{arg}(?:,;*{arg})*,?;*)?|{group}|{decls}|j)", "[": rf"(?:D|{type_}|{expr}|(?:{expr})?:(?:{expr})?(?::{expr})?)?", "block": lines, "switch": clauses, "literal": table, "struct": fields, "interface": methods}
+
+
+GO_HEAD = re.compile(r"[IfS](?=[^IfS]*$)")
+GO_LITERALS = re.compile(rf"FP{GO_BACK}C|(?:B|mB)[Bp]*i(?:\.i)?C|[TN]C+")
 
 
-def go_context(before: str, bracket: str) -> str:
-    if bracket == "{" and re.search(r"(?:^|;|C)(?:FP?iP|I|f|S)[^;]*$", before) and "T" not in before[-3:] and before[-1:] not in "e,o":
-        return "{"
-    return bracket
+def go_context(outer: str, before: str, bracket: str) -> str:
+    if bracket != "{":
+        return bracket
+    if before.endswith(("T", "N")):
+        return "struct" if before[-1] == "T" else "interface"
+    if re.search(rf"F(?:P?i)?P{GO_BACK}$", before):
+        return "block"
+    if re.search(r"B[Bp]*i(?:\.i)?$|[TN]C$", before):
+        return "literal"
+    # the body of the last if, for or switch, unless that has had one
+    head = GO_HEAD.search(before)
+    if head and outer in ("block", "switch") and "C" not in GO_LITERALS.sub("", before[head.end() :]):
+        return "switch" if head[0] == "S" else "block"
+    if outer in ("block", "switch", "file") and (not before or before[-1] in ";:LC"):
+        return "block"
+    return "literal"
 
 
 # Rust
@@ -177,7 +213,8 @@ RUST = Lexer(
         (r"[bc]?\"(?:\\[\s\S]|[^\"\\])*\"", "s"),
         (r"b?'(?:\\(?:[^u]|u\{[0-9a-fA-F]+\})[0-9a-fA-F]*|[^'\\\n])'", "s"),
         (r"'[^\W\d]\w*", "'"),
-        (r"0[xXoObB][\da-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+\-]?\d+)?\w*", "n"),
+        (r"(?:0x[\da-fA-F_]+?|0o[0-7_]+|0b[01_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+\-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)", "n"),
+        (r"\d\w*", "\x00"),
         (WORD, "word"),
         (r"::", "."),
         (r"->", "a"),
@@ -195,7 +232,7 @@ RUST = Lexer(
         (r"[.,;:?@$]", "self"),
         (r"[()\[\]{}]", "bracket"),
     ],
-    keys(U="use", v="pub unsafe extern default", F="fn", K="struct enum trait union", J="impl", N="mod", c="const static", j="type", l="let", m="mut ref", M="match", I="if", L="else", w="while loop", f="for", q="in", R="return break continue", k="as", W="where", n="true false", z="async move", d="dyn"),
+    keys(U="use", v="pub unsafe extern default", F="fn", K="struct union", E="enum", X="trait", J="impl", N="mod", c="const static", j="type", l="let", m="mut ref", M="match", I="if", L="else", w="while loop", f="for", q="in", R="return break continue", k="as", W="where", n="true false", z="async move", d="dyn"),
     generics=True,
 )
 
@@ -217,17 +254,51 @@ def rust_productions() -> dict[str, str]:
     expr = rf"(?:{operand}(?:{infix}{operand}|D)*)"
     where = rf"(?:W{type_}:{type_}(?:,{type_}:{type_})*,?)?"
     fn = rf"[vczs]*FiP(?:a{type_})?{where}"
-    item = rf"(?:#!?B)*(?:vP?)?(?:U(?:i|\.|C|p|k|,)+;|{fn}(?:C|;)|[v]*Ki{where}(?:C|P?{where};)|v*Ki:?(?:[imopPBW.,:]|')*C|v*J(?:!?{type_}f)?{type_}{where}C|Ni(?:;|C)|c(?:m)?i:{type_}(?:e{expr})?;|ji(?:e{type_})?;|i!iC|v*sC)"
+    item = rf"(?:#!?B)*(?:vP?)?(?:U(?:i|\.|C|p|k|,)+;|{fn}(?:C|;)|[v]*[KE]i{where}(?:C|P?{where};)|v*[KEX]i:?(?:[imopPBW.,:]|')*C|v*J(?:!?{type_}f)?{type_}{where}C|Ni(?:;|C)|c(?:m)?i:{type_}(?:e{expr})?;|ji(?:e{type_})?;|i!iC|v*sC)"
     let = rf"l{pattern}(?::{type_})?(?:e{expr}(?:LC)?)?;"
     lines = rf"(?>;|{item}|(?:#B)*{let}|{expr}(?:;|$)|{control}|(?:i(?:\.i)*!C)|R'?;)*+"
     top = rf"(?>#!?B|{item}|{macro};?)*+"
     arm = rf"(?:O?{pattern}(?:I{expr})?A(?:{expr}(?:,|$)|C))"
-    field = rf"(?:#B)*(?:vP?)?(?:i:{type_}|i(?:P|C)?(?:e{expr})?)"
-    init = rf"(?:i(?::{expr})?|D{expr}?)"
+    member = rf"(?:#!?B)*(?:vP?)?(?:{fn}(?:C|;)|cm?i:{type_}(?:e{expr})?;|ji(?::{type_})?(?:e{type_})?;)"
+    members = rf"(?>#!?B|{member}|{macro};?)*+"
+    field = rf"(?:#B)*(?:vP?)?i:{type_}"
+    variant = rf"(?:#B)*i(?:P|C)?(?:e{expr})?"
+    init = rf"(?:(?:#B)*(?:[in](?::{expr})?|D{expr}?|[pm]*i(?::{pattern})?))"
     names = r"(?:(?:i|C|p|\.|k)+(?:,(?:i|C|p|\.|k)+)*,?)?"
     param = rf"(?:(?:#B)*(?:p'?m?i|m?i)(?::{type_})?|{pattern}:{type_}|{expr}|{type_})"
     listing = rf"(?:{param}(?:,{param})*,?)?"
-    return {"file": top, "(": rf"(?:{listing}|i(?:,i)*)", "[": rf"(?:{listing}|{expr};{expr}|{type_};{expr}|i(?:e?[sPn])?)?", "{": rf"(?:{lines}|{arm}*|(?:{field}(?:,{field})*,?)?|(?:{init}(?:,{init})*,?)?|{names}|{top})"}
+    return {"file": top, "(": rf"(?:{listing}|i(?:,i)*)", "[": rf"(?:{listing}|{expr};{expr}|{type_};{expr}|i(?:e?[sPn])?)?", "block": lines, "arms": rf"(?:{arm})*", "fields": rf"(?:{field}(?:,{field})*,?)?", "variants": rf"(?:{variant}(?:,{variant})*,?)?", "literal": rf"(?:{init}(?:,{init})*,?)?", "names": names, "items": top, "members": members, "{": rf"(?:{lines}|{arm}*|(?:{field}(?:,{field})*,?)?|(?:{init}(?:,{init})*,?)?|{names}|{top})"}
+
+
+RUST_ITEM = re.compile(r"^(?:#!?B)*(?:vP?)*(?:(?P<kind>[JNKEXU])|(?:[vczs])*F|v*s$)")
+RUST_KINDS = {"J": "members", "X": "members", "N": "items", "K": "fields", "E": "variants", "U": "names"}
+
+
+def rust_context(outer: str, before: str, bracket: str) -> str:
+    if bracket != "{":
+        return bracket
+    if outer in ("names", "{"):
+        return outer
+    if before.endswith("!") and re.search(r"i!$", before) or re.search(r"i!i$", before):
+        return "{"  # what a macro takes is up to the macro
+    if outer == "variants" and before.endswith("i"):
+        return "fields"
+    item = RUST_ITEM.match(re.split(r"[;C]", before)[-1])
+    if item:
+        return RUST_KINDS[item["kind"]] if item["kind"] else "members" if item[0].endswith("s") else "block"
+    head = max(before.rfind(c) for c in "IMwf")
+    if head >= 0:
+        # a head's patterns may hold braces, its conditions none but the body
+        rest = before[head + 1 :]
+        pattern = re.search(r"^[^q]*$", rest) if before[head] == "f" else re.search(r"l[^e]*$", rest)
+        rest = re.sub(r"l[^e]*e", "", rest) if before[head] != "f" else re.sub(r"^[^q]*q", "", rest)
+        if pattern and "C" not in re.sub(r"iC", "", pattern[0]) and before.endswith("i"):
+            return "literal"
+        if not pattern and not re.search(r"[C;A,]", rest):
+            return "arms" if before[head] == "M" else "block"
+    if re.search(r"[OQ]a[^;,]*$", before) or not before.endswith("i"):
+        return "block"
+    return "literal"
 
 
 # Java
@@ -236,8 +307,8 @@ JAVA = Lexer(
         *COMMENTS,
         (r"\"\"\"[\s\S]*?\"\"\"", "s"),
         (r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.|[^'\\\n])'", "s"),
-        (NUMBER, "n"),
-        (r"@interface\b", "K"),
+        *numbers("[lLfFdD]?", "[lL]?", HEX_FLOAT),
+        (r"@interface\b|record(?=\s+[^\W\d]\w*\s*[<(])", "K"),
         (r"@(?=[^\W\d])", "@"),
         (r"[$\w][$\w]*", "word"),
         (r"\.\.\.", "D"),
@@ -253,7 +324,7 @@ JAVA = Lexer(
         (r"[.,;:?]", "self"),
         (r"[()\[\]{}]", "bracket"),
     ],
-    keys(k="package", M="import", v="public private protected static final abstract native transient volatile strictfp", y="synchronized", K="class interface enum", G="extends implements permits throws", W="new", I="if", L="else", f="for", w="while", d="do", t="try", h="catch", z="finally", R="return yield", T="throw assert", S="switch", b="break continue", Z="case default", n="true false null this super", o="instanceof"),
+    keys(k="package", M="import", V="public private protected static abstract native transient volatile strictfp", v="final", y="synchronized", K="class interface", E="enum", G="extends implements permits throws", W="new", I="if", L="else", f="for", w="while", d="do", t="try", h="catch", z="finally", R="return yield", T="throw assert", S="switch", b="break continue", Z="case default", n="true false null this super", o="instanceof"),
     generics=True,
 )
 
@@ -262,25 +333,52 @@ def java_productions() -> dict[str, str]:
     note = r"(?:@i(?:\.i)*P?)*"
     type_ = r"(?:i(?:\.i)*B*)"
     new = r"(?:Wi(?:\.i)*(?:PC?|B+C?))"
-    operand = rf"(?:(?:[upx]|P(?=[insPuW])|(?:i|P)a)*(?:{new}|[insPC]|SPC)(?:\.(?:i|n|K|W)|P|B|x)*)"
+    operand = rf"(?:(?:[upx]|P(?=[insPuW])|(?:i|P)a)*(?:{new}|[insP]|SPC|(?<=a)C)(?:\.(?:i|n|K|W)|P|B|x)*)"
     expr = rf"(?:{operand}(?:[ope]{operand}|\?{operand}(?:[ope]{operand})*:{operand})*)"
-    init = rf"i(?:B)*(?:e{expr})?"
+    init = rf"i(?:B)*(?:e(?:{expr}|C))?"
     var = rf"{note}v*{note}{type_}{init}(?:,{init})*"
+    member_var = rf"{note}[vV]*{note}{type_}{init}(?:,{init})*"
     raises = rf"(?:G{type_}(?:,{type_})*)"
-    block = r"(?:y?P?C|tP?C(?:hPC)*(?:zC)?|SPC)"
-    lead = rf"(?:IP|L|fP|wP|d|i:|Z(?:{expr}(?:,{expr})*)?(?::|a))*"
+    block = r"(?:(?:yP)?C|tP?C(?:hPC)*(?:zC)?|SPC)"
+    lead = r"(?:IP|L|fP|wP|d|i:)*"
+    clause = rf"(?:Z(?:{expr}(?:,{expr})*)?(?::|a))"
     simple = rf"(?:{var}|R(?:{expr})?|T{expr}(?::{expr})?|bi?|{expr}|C?wP)"
-    method = rf"{note}(?:v|y|Z)*{note}(?:{type_})?iP{raises}*(?:C|;|Z{expr};)"
-    class_ = rf"{note}v*{note}(?:Ki|iiP){raises}*C"
-    member = rf"(?:;|{class_}|{method}|{var};|v?C)"
-    consts = rf"(?:{note}iP?C?(?:,{note}iP?C?)*,?;?)?"
-    lines = rf"(?>;|{class_}|{lead}{block}|{lead}{simple};|(?:Z(?:{expr}(?:,{expr})*)?(?::|a))$)*+"
-    top = rf"(?:{note}ki(?:\.i)*;)?(?:;|Mv?i(?:\.i)*(?:\.o)?;)*(?>;|{class_})*+"
-    param = rf"(?:{note}v*{note}{type_}D?(?:i|n)B*|{expr}|{type_})"
+    method = rf"{note}(?:v|V|y|Z)*{note}(?:{type_})?iP{raises}*(?:C|;|Z(?:{expr}|C);)"
+    class_ = rf"{note}[vV]*{note}[KE]iP?{raises}*C"
+    member = rf"(?:;|{class_}|{method}|{member_var};|V?C)"
+    consts = rf"(?:{note}iP?C?(?:,{note}iP?C?)*,?)?"
+    line = rf";|{class_}|{lead}{block}|{lead}{simple};"
+    lines = rf"(?>{line})*+"
+    clauses = rf"(?=Z|$)(?>{line}|{clause}(?:{lead}{block}|{lead}{simple};|(?=Z|$))|{clause})*+"
+    top = rf"(?:{note}ki(?:\.i)*;)?(?:;|MV?i(?:\.i)*(?:\.o)?;)*(?>;|{class_})*+"
+    param = rf"(?:{note}v*{note}{type_}D?(?:i|n)B*|{expr}|{type_}|(?:ie)?C)"
     loop = rf"(?:(?:{var}|{expr}(?:,{expr})*)?;(?:{expr})?;(?:{expr}(?:,{expr})*)?|v*{type_}i:{expr})"
     multi = rf"(?:v*{type_}(?:o{type_})*i|(?:{var}|{expr})(?:;(?:{var}|{expr}))*;?)"
-    values = rf"(?:{expr}(?:,{expr})*,?)?"
-    return {"file": top, "(": rf"(?:(?:{param}(?:,{param})*)?|{loop}|{multi})", "[": rf"(?:{expr})?", "{": rf"(?:{lines}|{consts}(?>{member})*+|{values})"}
+    values = rf"(?:(?:{expr}|C)(?:,(?:{expr}|C))*,?)?"
+    return {"file": top, "(": rf"(?:(?:{param}(?:,{param})*)?|{loop}|{multi})", "[": rf"(?:{expr})?", "block": lines, "switch": clauses, "class": rf"(?>{member})*+", "enum": rf"{consts}(?:;(?>{member})*+)?", "values": values, "{": "(?!)"}
+
+
+def java_context(outer: str, before: str, bracket: str) -> str:
+    if bracket != "{":
+        return bracket
+    declared = re.search(r"([KE])iP?(?:G[i.,B]*)*$", before)
+    if declared:
+        return "class" if declared[1] == "K" else "enum"
+    if re.search(r"Wi(?:\.i)*P$", before):
+        return "class"
+    if outer == "enum" and ";" not in before and before[-1:] in ("i", "P"):
+        return "class"
+    if re.search(r"(?:^|[^.])SP$", before):
+        return "switch"
+    if before.endswith("a"):
+        return "block"
+    if before[-1:] in ("e", "B", ",", "R") or before.endswith("Z") and outer != "switch" or outer in ("(", "[", "values"):
+        return "values"
+    if outer in ("class", "enum"):
+        return "block" if re.search(r"(?:^|[;C]|[;C]?V|P(?:G[i.,B]*)*)$", before) else "{"
+    if outer in ("block", "switch"):
+        return "block" if not before or before[-1] in ";CPLtzdy:" else "{"
+    return "{"
 
 
 # JSON, read strictly; an exact reader decides about what is flagged

@@ -115,13 +115,13 @@ def brackets(classes: list[tuple[str, int]]) -> list[tuple[int, str]]:
 
 
 def shapes(classes: list[tuple[str, int]], context) -> set[tuple[str, str]]:  # noqa: ANN001
-    """(context, shape) of every group and of the file. ``context(before, bracket)`` names a group by what
-    stands before it in its surroundings. A closing bracket without its opening one stays a symbol of its own."""
+    """(context, shape) of every group and of the file. ``context(outer, before, bracket)`` names a group by
+    the name of its surroundings and what stands before it there. A closing bracket without its opening one stays a symbol of its own."""
     out: set[tuple[str, str]] = set()
     stack: list[tuple[str, list[str]]] = [("file", [])]
     for kind, _ in classes:
         if kind in OPEN:
-            stack.append((context("".join(stack[-1][1]), kind), []))
+            stack.append((context(stack[-1][0], "".join(stack[-1][1]), kind), []))
         elif kind in CLOSE:
             if len(stack) == 1:
                 stack[-1][1].append(kind)

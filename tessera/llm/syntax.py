@@ -42,7 +42,7 @@ except ImportError:
 # Extensions and the languages they stand for.
 EXTENSIONS = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "py": "python", "pyi": "python", "go": "go", "rs": "rust", "java": "java", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "sh": "bash", "bash": "bash"}
 LEXERS = {"typescript": g.script(True), "javascript": g.script(False), "go": g.GO, "rust": g.RUST, "java": g.JAVA, "json": g.JSON, "toml": g.TOML, "python": g.PYTHON}
-CONTEXTS = {"typescript": g.script_context, "javascript": g.script_context}
+CONTEXTS = {"typescript": g.script_context, "javascript": g.script_context, "go": g.go_context, "rust": g.rust_context, "java": g.java_context}
 FLAGGED_BROADCAST = 1_000_000
 SHAPES_A_TASK = 200_000
 YAML_NEWS = {"\u0085", " ", " "}
@@ -186,7 +186,7 @@ def lexed(language: str, text: str) -> tuple[set[tuple[str, str]], list[tuple[in
         text = "\n" + text.partition("\n")[2]
     raw = lexer.tokens(text)
     classes = indented(text, raw) if language == "python" else lexing.joined(raw, lexer)
-    shapes = lexing.shapes(classes, CONTEXTS.get(language, lambda _, b: b))
+    shapes = lexing.shapes(classes, CONTEXTS.get(language, lambda _outer, _before, b: b))
     if language == "python":
         lines = next((s for c, s in shapes if c == "file"), "")
         shapes = {(c, s) for c, s in shapes if c != "file"} | {("file", x) for x in python_lines(lines)} | {("block", x) for x in python_blocks(lines)}

@@ -82,3 +82,109 @@ def test_long_files_that_end_badly_take_no_long_time(path, before, body, after):
         _, _, shapes = syntax.lexed(language, before + body * 400 + tail + after)
         assert any(not syntax.fits(language, *x) for x in shapes) == bad
     assert time.time() - began < 15
+
+
+KINDS_OF_BLOCK = {
+    "go": [
+        'package a\n\nfunc f(x interface{}) {\n\tswitch y := x.(type) {\n\tcase int, []string:\n\t\tg(y)\n\tcase nil:\n\tdefault:\n\t\treturn\n\t}\n}\n',
+        'package a\n\nfunc f() {\n\tfor _, x := range []int{1, 2} {\n\t\tp := T{A: 1, B: []U{{1, 2}, {3, 4}}}\n\t\tgo func() {\n\t\t\tdefer m.Unlock()\n\t\t}()\n\t}\n\tif v, ok := m[k]; ok {\n\t\tx = struct{}{}\n\t} else if y {\n\t\tz()\n\t} else {\n\t\tw()\n\t}\n\tselect {\n\tcase x := <-ch:\n\t\tg(x)\n\tdefault:\n\t}\n\tm := map[string][]int{"a": {1}, "b": {2}}\n\tfor i := 0; i < 3; i++ {\n\t\tcontinue\n\t}\n\tfor {\n\t\tbreak\n\t}\n\t{\n\t\tx++\n\t}\n\treturn &T{a, b}\n}\n',
+        'package a\n\ntype I interface {\n\tF(a int) error\n\tio.Reader\n}\n\ntype S struct {\n\tA, B int\n\t*T\n\tf func(int) error\n\tm map[string]interface{}\n\tn struct {\n\t\tx int\n\t}\n}\n\nvar t = []struct {\n\ta int\n}{\n\t{1},\n\t{a: 2},\n}\n\nvar f = func(a int) []int { return []int{a} }\n',
+        'package a\n\nfunc f() func(int) error {\n\tswitch {\n\tcase a > 1 && g(func() bool { return true }):\n\t\tif x { return nil }\n\t\tfallthrough\n\tcase b:\n\t\ty := 0x1F + 1e3 + 3i\n\t}\n\tif f := func() bool { return true }; f() {\n\t\tg()\n\t}\n\tl = append(l, T{1})\n\tch <- T{1}\n\treturn func(x int) error {\n\t\treturn nil\n\t}\n}\n',
+    ],
+    "rust": [
+        'impl<T> A for B {\n    const X: u8 = 1;\n    type Y = u8;\n    fn f(&self) -> impl Fn(i32) -> i32 {\n        let p = P { x: 1, y, ..q };\n        if let Foo { a, .. } = p { g(); }\n        match p {\n            P { x, y: 2 } => Q { z: x },\n            Some(n) if n > 1 => { h(); }\n            A::B | A::C => match z { 1 => 2, _ => 3 },\n            _ => {}\n        }\n    }\n}\n',
+        '#[derive(Debug)]\npub struct S {\n    pub a: u32,\n    b: Vec<u8>,\n}\npub enum E {\n    A,\n    B(u8),\n    C { x: u8 },\n    D = 3,\n}\npub trait T {\n    fn f(&self);\n    fn g() -> u8 { 1 }\n}\nmod m {\n    use super::*;\n    fn h() {}\n}\nuse a::{b, c::{d, e}};\n',
+        'fn f() {\n    let x = if a { 1 } else { 2 };\n    let y = match z { 0x1fu8 => 1.5f32, _ => 2.0 };\n    let t = thread::spawn(move || { g(); });\n    let r = unsafe { h() };\n    loop { break; }\n    for Foo { a, b } in v { g(a); }\n    while let Some(q) = it.next() { k(q); }\n    let Some(v) = o else { return; };\n    struct L { a: u8 }\n    v.iter().map(|p| Q { a: p }).collect()\n}\n',
+        'fn f() -> R {\n    let c = |x: u8| -> u8 { x };\n    let Foo { a, b } = g();\n    Ok(R { a, b: 1_000u64 })\n}\n',
+    ],
+    "java": [
+        '@A({1, 2})\npublic enum E implements I {\n    A(1) { int f() { return 1; } }, B(2);\n    private final int x;\n    E(int x) { this.x = x; }\n}\n',
+        'class A {\n    static int y = 0x1FL + 2;\n    static { y = 1; }\n    { y = 2; }\n    int[] a = {1, 2};\n    Runnable r = () -> { f(); };\n    A() { super(); }\n    int f(int b) throws E, F {\n        switch (b) { case 1: case 2: g(); break; default: h(); }\n        int z = switch (b) { case 1 -> 2; default -> { yield 3; } };\n        int[][] m = {{1}, {2}};\n        x = new int[] {1, 2};\n        try (R q = g()) { h(); } catch (E | F e) { i(); } finally { j(); }\n        do { k(); } while (x);\n        synchronized (this) { l(); }\n        for (int i = 0; i < 3; i++) { m(); }\n        foo(new B() { void f() { g(); } });\n        class L { int w; }\n        { int v = 1; }\n        if (a) { b(); } else if (c) { d(); } else { e(); }\n        return x -> { return y; };\n    }\n    interface J { void f(); default int g() { return 1; } }\n    enum K { A, B, }\n    enum M { A }\n}\n',
+        '@interface X { String[] value() default {}; int n() default 1; }\nrecord P(int a, int b) { int s() { return a + b; } }\n',
+        'public record Q(String a) implements I {\n    static int x = 1;\n}\n',
+    ],
+    "typescript": [
+        "const f = (a: number): number => { return a; };\nclass A { private x = 1; static m(): void { g(); } get y(): string { return 'a'; } constructor(private z: number) { super(); } }\nswitch (x) { case 1: f(); break; case 'a': { g(); } default: h(); }\nconst o: { a: string; b(): void } = { a: 1, m(): number { return 1; }, get z() { return 2; }, async q() { await r(); } };\nfunction g<T>(x: { a: T }): { b: T } { return { b: x.a }; }\nenum E { A = 1, B }\ntype U = { a: string } | { b: number };\ninterface I { a: { b: string }; f(x: number): void; }\nexport { a, b as c };\nexport default { a: 1 };\nconst n = 10n + 0xFFn + 1_000 + 1e5;\n",
+    ],
+    "javascript": [
+        "class A { x = 1; m() { g(); } static async n() { return { a: 1 }; } }\nconst { a, b: { c } } = d;\nlabel: for (;;) { break label; }\nswitch (x) { case 1: { y(); } default: z(); }\nexport const q = { m() { return 1; }, 'k': 2 };\nif (a) { b() } else { c() }\nconst f = async () => { };\n",
+    ],
+}
+WRONG_KIND_OF_BLOCK = {
+    "go": [
+        'package a\n\nfunc f() { a int }\n',
+        'package a\n\nfunc f() { a: 1, b: 2 }\n',
+        'package a\n\ntype S struct { return 1 }\n',
+        'package a\n\ntype S struct {\n\tf() error\n}\n',
+        'package a\n\ntype I interface {\n\ta int `x`\n}\n',
+        'package a\n\nvar x = T{ a := 1 }\n',
+        'package a\n\nfunc f() {\n\tcase 1:\n\tg()\n}\n',
+        'package a\n\nfunc f() {\n\tswitch x {\n\tg()\n\t}\n}\n',
+        'package a\n\nvar x = 12abc\n',
+        'package a\n\nfunc f() {\n\tif x { a: 1, b: 2 }\n}\n',
+    ],
+    "rust": [
+        'fn f() { a: u8, b: u8 }\n',
+        'struct S { let x = 1; }\n',
+        'struct S { A(u8), B }\n',
+        'enum E { a: u8 }\n',
+        'fn f() { match x { g(); } }\n',
+        'fn f() { 1 => 2, _ => 3 }\n',
+        'impl A { let x = 1; }\n',
+        'trait T { x = 1; }\n',
+        'fn f() { let x = P { g(); }; }\n',
+        'fn f() { let x = 12abc; }\n',
+        'mod m { let x = 1; }\n',
+        'fn f() { if x { 1 => 2 } }\n',
+        'impl A { struct B { a: u8 } }\n',
+    ],
+    "java": [
+        'class A { return 1; x = 2; }\n',
+        'class A { void f() { void g() { } } }\n',
+        'class A { A, B; }\n',
+        'class A { void f() { A, B } }\n',
+        'enum E { return 1; }\n',
+        'class A { void f() { case 1: g(); } }\n',
+        'class A { void f() { switch (x) { g(); } } }\n',
+        'class A { int[] x = { return 1; }; }\n',
+        'class A { int x = 12abc; }\n',
+        'class A { if (x) { } }\n',
+        'class A { void f() { private int g; } }\n',
+        'class A { void f() { public void g(); } }\n',
+        'interface I { x = 1; }\n',
+    ],
+    "typescript": [
+        'const x = 3px;\n',
+        'const a = 12abc;\n',
+        'if (a) { x: 1, y: 2 }\n',
+        'class A { return 1; }\n',
+        'class A { m(): void { a: 1, b: 2 } }\n',
+        'const o = { return 1; };\n',
+        'function f(): number { a: 1, b: 2 }\n',
+        'function f(): void { m() { } }\n',
+        'enum E { return 1; }\n',
+        'interface I { if (x) { } }\n',
+        'switch (x) { f(); }\n',
+        "import { return } from 'a';\n",
+    ],
+    "javascript": [
+        'const x = 3px;\n',
+        'const a = 12abc;\n',
+        'class A { return 1; }\n',
+        'class A { m() { a: 1, b: 2 } }\n',
+        'const o = { m() { x() { } } };\n',
+        'switch (x) { f(); }\n',
+        'const { return 1 } = x;\n',
+    ],
+}
+
+
+def flagged(language, text):
+    pairs, _, shapes = syntax.lexed(language, text)
+    return bool(pairs - syntax.permitted(language)) or any(not syntax.fits(language, *x) for x in shapes)
+
+
+@pytest.mark.parametrize("language", ["go", "rust", "java", "typescript", "javascript"])
+def test_what_stands_in_a_block_fits_its_kind(language):
+    assert [x for x in KINDS_OF_BLOCK[language] if flagged(language, x)] == []
+    assert [x for x in WRONG_KIND_OF_BLOCK[language] if not flagged(language, x)] == []

@@ -29,10 +29,20 @@ def debounce_per_path(spark: SparkSession, root: str) -> DataFrame:
 
 @query("debounce_per_day", ISLANDS.format(key="day", gap=60).replace("FROM events)", "FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS day FROM events))"))
 def debounce_per_day(spark: SparkSession, root: str) -> DataFrame:
-    """One timer for all paths, as the whole feed has it; a day's feed is the unit of work."""
+    """One timer for all paths within each day; debounce_global has the whole feed."""
     return s.sessions(events(spark, root).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz")), ["day"], "ts", ["event_id"], 60, "event_type")
 
 
+@query("debounce_global", """
+WITH m AS (SELECT *, CASE WHEN ts > lag(ts) OVER (ORDER BY ts, event_id) + INTERVAL 60 SECOND OR lag(ts) OVER (ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (ORDER BY ts, event_id) AS s FROM m)
+SELECT min(ts) AS started, max(ts) AS ended, count(*)::BIGINT AS events, arg_max(event_type, (ts, event_id)) AS last FROM g GROUP BY s
+""")
+def debounce_global(spark: SparkSession, root: str) -> DataFrame:
+    """One timer for all paths over the whole feed, as the watcher has it."""
+    return s.global_sessions(events(spark, root), "ts", ["event_id"], 60, "event_type")
+
+
 @query("last_write_wins", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, max(ts) AS ended, count(*)::BIGINT AS events FROM events GROUP BY user_id")
 def last_write_wins(spark: SparkSession, root: str) -> DataFrame:
     return s.last_writes(events(spark, root), ["user_id"], "ts", ["event_id"], "event_type")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut, parallelism
+
 # Queue classes in order of service, and the wait after which a low job counts as normal.
 PRIORITIES = ["critical", "high", "normal", "low"]
 STARVED_SECONDS = 30
@@ -21,6 +23,31 @@ def sessions(events: DataFrame, key: list[str], at: str, order: list[str], gap_s
     return marked.groupBy(*key, "_s").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("events"), F.max_by(value, F.struct(at, *order)).alias("last")).drop("_s")
 
 
+def global_sessions(events: DataFrame, at: str, order: list[str], gap_seconds: int, value: str) -> DataFrame:
+    """sessions with one timer for all paths: (started, ended, events, last value), without a task that holds the
+    whole feed. Ranges of time are cut into sessions of their own; each range's last time is carried over to the
+    next one, and a range's first session that follows without a pause continues the one before it."""
+    gap = F.expr(f"INTERVAL '{gap_seconds}' SECOND")
+    ranged = events.select(at, *order, F.col(value).alias("_v")).repartitionByRange(parallelism(events.sparkSession), F.col(at), *[F.col(o) for o in order])
+    placed = cut(ranged.withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(at, *order)
+    fresh = F.coalesce(F.col(at) > F.lag(at).over(inside) + gap, F.lit(True))
+    numbered = placed.withColumn("_new", fresh.cast("int")).withColumn("_part", F.sum("_new").over(inside))
+    parts = cut(numbered.groupBy("_range", "_part").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("events"), F.max_by(F.struct("_v"), F.struct(at, *order)).alias("_last")))
+    # one row a range: where it begins and ends, and whether it is one session throughout
+    spans = parts.groupBy("_range").agg(F.min("started").alias("_first"), F.max("ended").alias("_end"), F.max("_part").alias("_parts"))
+    across = Window.orderBy("_range")
+    continues = F.coalesce(F.col("_first") <= F.lag("_end").over(across) + gap, F.lit(False))
+    # the range in which the session that a range's first part belongs to has begun
+    begun = F.when(~F.col("_continues") | (F.lag("_parts").over(across) > 1), F.when(F.col("_continues"), F.lag("_range").over(across)).otherwise(F.col("_range")))
+    spans = spans.withColumn("_continues", continues).withColumn("_begun", F.last(begun, ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    homes = spans.select("_range", F.col("_begun").alias("_home"))
+    ends = spans.select(F.col("_range").alias("_home"), F.col("_parts").alias("_home_part"))
+    homes = F.broadcast(homes.join(F.broadcast(ends), "_home"))
+    whole = parts.join(homes, "_range").withColumn("_s", F.when(F.col("_part") == 1, F.struct(F.col("_home").alias("r"), F.when(F.col("_home") == F.col("_range"), F.col("_part")).otherwise(F.col("_home_part")).alias("p"))).otherwise(F.struct(F.col("_range").alias("r"), F.col("_part").alias("p"))))
+    return whole.groupBy("_s").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("events").alias("events"), F.max_by("_last", F.struct("_range", "_part")).alias("_last")).select("started", "ended", "events", F.col("_last._v").alias("last"))
+
+
 def last_writes(events: DataFrame, key: list[str], at: str, order: list[str], value: str) -> DataFrame:
     return events.groupBy(*key).agg(F.max_by(value, F.struct(at, *order)).alias("last"), F.max(at).alias("ended"), F.count("*").alias("events"))
 

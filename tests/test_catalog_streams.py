@@ -61,6 +61,27 @@ def test_sessions(spark, rows):
     assert rows(s.sessions(e, [], "ts", ["id"], 10, "v").select("events", "last")) == [(1, "unlink"), (3, "change")]
 
 
+@pytest.mark.parametrize("step", [1, 7, 200, 20_000])
+def test_global_sessions_cross_midnight_and_ranges(spark, rows, step):
+    import random
+
+    rng = random.Random(step)
+    at, data = 86_400 - 40 * step, []
+    for i in range(300):
+        at += rng.choice([0, step, 61]) if i % 9 else rng.randint(0, 2 * step)
+        data.append((f"k{i % 3}", at, f"v{i}"))
+    e = events(spark, data)
+    got = rows(s.global_sessions(e, "ts", ["id"], 60, "v"))
+    assert got == rows(s.sessions(e, [], "ts", ["id"], 60, "v")) and sum(r[2] for r in got) == 300
+    assert rows(s.global_sessions(e.limit(0), "ts", ["id"], 60, "v")) == []
+
+
+def test_debounce_global_is_a_query():
+    import __spark_entry__ as entry
+
+    assert "debounce_global" in entry.queries() and "PARTITION BY" not in entry.oracle_sql()["debounce_global"]
+
+
 def test_switches_and_last_writes(spark, rows):
     e = events(spark, [("a", 0, "x"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "x")])
     assert [(r[2], r[3]) for r in rows(s.switches(e, ["k"], "ts", ["id"], "v"))] == [("x", "y"), ("y", "x")]

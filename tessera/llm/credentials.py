@@ -31,10 +31,17 @@ CUT = 0.5
 QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 JOIN = re.compile(r"""\s*\+?\s*\\?[ \t]*\r?\n\s*\+?\s*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 CONTINUES = re.compile(r"[ \t]*(?:\+[ \t]*\\?|\\)[ \t]*\r?$|[ \t]*\r?\n[ \t]*\+", re.M)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?!-----BEGIN)[\s\S])*?)(?:-----END \1-----|\Z)")
-URL = re.compile(r"\b([a-z][a-z0-9+.\-]{1,20}://)([^\s:/@\"'`]{1,200}):([^\s@\"'`/]{1,400})@")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?!-----BEGIN)[\s\S])*?)-----END \1-----")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
+# what can follow the header of an unclosed frame: lines of base64 and of PEM headers, quoted and joined or not
+PEM_LINES = re.compile(r"(?:[ \t\"'`+,;]|\\[nr]?|\r?\n|(?:Proc-Type|DEK-Info):[^\n\"'`\\]*|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}={0,2}(?![\w.\-])|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{4,15}={0,2}(?=[ \t]*(?:[\"'`]|\\[nr]|\r?\n|$)))*+")
+URL = re.compile(r"(?<![A-Za-z0-9+.\-])([a-z][a-z0-9+.\-]{1,20}://)([^\s:/@\"'`]*+):([^\s@\"'`/]+)@")
+URL_USER = re.compile(r"(?<![A-Za-z0-9+.\-])([a-z][a-z0-9+.\-]{1,20}://)([^\s:/@\"'`?#]{8,})@")
+URL_QUERY = re.compile(r"(?<=[?&])([A-Za-z_][\w.\-]*)=([^\s&#\"'`<>]{5,})")
+WEBHOOK = re.compile(r"https?://[^\s\"'`/?#]+/(?:[^\s\"'`/?#]+/)*?(?:(?:api/)?webhooks?|services|hooks)/([^\s\"'`?#]*?[A-Za-z0-9_\-]{16,})(?=[\s\"'`?#,;)]|$)")
+HEADER = re.compile(r"(?i)\b((?:Proxy-)?Authorization|X-[\w\-]*(?:Key|Token|Secret)|Private-Token|Api-Key)[ \t]*:[ \t]*((?:(?:Bearer|Basic|Token)[ \t]+)?[^\s\"'`,;<>{}()$]{5,})(?=[\"'`])")
 CONNECTION = re.compile(r"(?i)\b(AccountKey|SharedAccessKey|Password|Pwd|Secret)=([^;\s\"'`]{4,})")
-BARE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV)[ \t]+)?([A-Za-z_][\w.\-]*)[ \t]*[:=][ \t]*((?:Bearer |Basic )?[^\s\"'`#(){}\[\],<>$][^\s\"'`(){}\[\],]{4,})[ \t]*;?[ \t]*\r?$")
+BARE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV)[ \t]+)?([A-Za-z_][\w.\-]*)[ \t]*[:=][ \t]*((?:Bearer |Basic )?[^\s\"'`#(){}\[\],<>$][^\s\"'`(){}\[\],]{4,}?)[ \t]*;?(?:[ \t]+(?:#|//)[^\n]*)?[ \t]*\r?$")
 NOTE = re.compile(r"(?m)\b([A-Za-z_][\w.\-]*)[ \t]+(?:#|//)[ \t]*(?:[A-Za-z]+:?[ \t]+){0,3}((?:Bearer |Basic )?[^\s\"'`]{5,})[ \t]*\r?$")
 NETRC = re.compile(r"\blogin[ \t]+(\S+)[ \t]+password[ \t]+(\S+)")
 LOGIN = re.compile(r"(?m)(?:^|[ \t])(?://|#|--|/\*|\*)[^\n]*:[ \t]*[\w.\-@]+[ \t]+/[ \t]+(\S+)[ \t]*\r?$")
@@ -45,6 +52,7 @@ KEY = re.compile(r"""([A-Za-z_][\w.\-]*)["'`\]]*\s*(?::\s*&?[\w<>']+\s*=|:=|=>|[
 STRONG = re.compile(r"passw|passwd|\bpwd\b|passphrase|passcode|secret|credential|api ?key|access ?key|private ?key|signing ?key|encryption ?key|cert ?key|authorization|\bbearer\b|(?:auth|access|registry|refresh|deploy|bot|api|session) ?token")
 WEAK = re.compile(r"\btoken\b|\bkey\b|\bauth\b|\bsession\b|\bconn\b|\bheader\b|\bpem\b|\bdsn\b|\bcookie\b")
 DIGEST = re.compile(r"hash|commit|etag|integrity|\bsha\d*\b|digest|checksum|\bid\b|uuid|guid|\bicon\b|fixture|trace|\bdocs?\b|revision|version|fingerprint|public")
+COUNTED = re.compile(r"\b(?:len|length|size|bytes|bits|min|max|age|ttl|days|hours|minutes|seconds|timeout|expir\w*|count|limit|retries|attempts|rounds|iterations|port|version|id|at|time|index|offset|num\w*)\b")
 STAND_IN = re.compile(
     r"(?i)^(?:x{4,}|\*+|\.{3,}|dummy\w*|example.*|sample.*|placeholder.*|change[-_]?me.*|replace[-_ ]?me.*|redacted.*|todo.*|fixme.*|your[-_ ].*|my[-_ ](?:secret|password|token|key).*|test|none|null|undefined|true|false|secret|password|token|<[^>]*>|\$\{[^}]*\}|\$\w+|\{\{.*\}\}|\{env:.*\}|%\w+%|\$\(.*\)|env\..*|vault:.*|.*\bexample-(?:password|secret|token|key)\b.*)$"
 )
@@ -58,7 +66,7 @@ PHRASE = re.compile(r"^[A-Za-z]+(?:[-_.][A-Za-z]+)+[-_.]\d+$|^[A-Z][a-z]+\d{2,}\
 NAME = re.compile(r"^[A-Za-z_][\w.]*$")
 HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_\-.\s]+")
 
-FEATURES = ["bias", "strong_name", "weak_name", "digest_name", "named_value", "stand_in", "bits", "excess", "length", "hex", "uuid", "token_form", "basic", "issued", "open_data", "phrase", "words", "mixed", "pem_private", "pem_public", "url", "login", "connection"]
+FEATURES = ["bias", "strong_name", "weak_name", "digest_name", "named_value", "stand_in", "bits", "excess", "length", "hex", "uuid", "token_form", "basic", "issued", "open_data", "phrase", "words", "mixed", "pem_private", "pem_public", "url", "login", "connection", "counted", "letters"]
 
 
 def pair_counts(texts: DataFrame, text: str) -> np.ndarray:
@@ -102,13 +110,16 @@ def describe(kind: str, key: str, value: str, bits: list[list[float]]) -> list[f
     per = sum(bits[a][b] for a, b in zip(codes, codes[1:], strict=False)) / max(1, len(codes) - 1)
     digit, upper, lower = (any(f(c) for c in core) for f in (str.isdigit, str.isupper, str.islower))
     mixed = digit + upper + lower + any(not c.isalnum() for c in core) >= 3
-    plain = not digit and not (upper and lower and per > 6.5) and "!" not in core
-    identifier = kind == "bare" and bool(NAME.match(value)) and not digit
+    # one word of letters under a name of secrets: how unlike the corpus it is decides, not the label
+    letters = strong and kind in ("quoted", "bare") and core.isalpha() and len(core) >= 6 and not stand_in
+    plain = not digit and not ((upper and lower or letters) and per > 6.5) and "!" not in core
+    identifier = kind == "bare" and bool(NAME.match(value)) and not digit and plain
     pem = kind == "pem"
     private = pem and "PRIVATE" in key
     form = float(bool(JWT.match(value)))
     opened = float(bool(OPEN_DATA.match(value)))
-    named = strong and not stand_in and not plain and not identifier and not opened and len(value) >= 5
+    counted = value.isdigit() and bool(COUNTED.search(name))
+    named = strong and not stand_in and not counted and not plain and not identifier and not opened and len(value) >= 5
     return [
         1.0,
         float(strong),
@@ -126,13 +137,15 @@ def describe(kind: str, key: str, value: str, bits: list[list[float]]) -> list[f
         float(bool(ISSUED.match(value)) and not stand_in and not digest),
         opened,
         float(bool(PHRASE.match(value))),
-        float(plain),
+        float(plain and not letters),
         float(mixed),
         float(private),
         float(pem and not private),
         float(kind == "url" and not stand_in),
         float(kind in ("netrc", "login", "curl") and not stand_in and not opened and not UUID.match(value)),
         float(kind == "connection" and not stand_in),
+        float(counted),
+        float(letters),
     ]
 
 
@@ -144,10 +157,12 @@ def weak_label(f: list[float]) -> int:
     g = lambda n: f[AT[n]] > 0
     if g("pem_private"):
         return 1
-    if g("pem_public") or g("stand_in") or g("uuid") or g("open_data") or g("digest_name"):
+    if g("pem_public") or g("stand_in") or g("uuid") or g("open_data") or g("digest_name") or g("counted"):
         return 0
     if g("url") or g("login") or g("connection") or g("token_form") or g("basic") or g("issued") or g("named_value"):
         return 1
+    if g("letters"):  # not so unlike as to be surely one
+        return -1
     if g("words") or not (g("strong_name") or g("weak_name")):
         return 0
     return -1
@@ -161,9 +176,34 @@ def candidates(text: str) -> list[tuple[str, str, str, list[tuple[int, int]]]]:
         for m in PEM.finditer(text):
             frames.append(m.span())
             out.append(("pem", m[1], m[2], [m.span(2)]))
+        for m in BEGIN.finditer(text):
+            if not any(a <= m.start() < b for a, b in frames):
+                # without an end it goes as far as its base64
+                end = m.end() + len(PEM_LINES.match(text, m.end())[0].rstrip(" \t\r\n\"'`+,;\\"))
+                frames.append((m.start(), end))
+                if end > m.end():
+                    out.append(("pem", m[1], text[m.end() : end], [(m.end(), end)]))
     inside = lambda i: any(a <= i < b for a, b in frames)
     for m in URL.finditer(text):
         out.append(("url", m[1], m[3], [m.span(3)]))
+    known = {span for *_, places in out for span in places}
+
+    def part(kind: str, key: str, at: tuple[int, int]) -> None:
+        if at not in known and not inside(at[0]):
+            known.add(at)
+            out.append((kind, key, text[at[0] : at[1]], [at]))
+
+    if "://" in text:
+        for m in URL_USER.finditer(text):
+            part("part", "token" if ISSUED.match(m[2]) or JWT.match(m[2]) else "user", m.span(2))
+        for m in WEBHOOK.finditer(text):
+            part("part", "webhook secret", m.span(1))
+    if "=" in text:
+        for m in URL_QUERY.finditer(text):
+            if STRONG.search(words_of(m[1])) or WEAK.search(words_of(m[1])) or re.search(r"(?i)^(?:sig|signature)$", m[1]):
+                part("part", "access token" if WEAK.search(words_of(m[1])) and re.search(r"token|auth", m[1], re.I) else "secret" if m[1].lower().startswith("sig") else m[1], m.span(2))
+    for m in HEADER.finditer(text):
+        part("part", "authorization", m.span(2))
     for m in CONNECTION.finditer(text):
         out.append(("connection", m[1], m[2], [m.span(2)]))
     for kind, pattern, group, word in (("netrc", NETRC, 2, "login"), ("curl", CURL, 2, "-u"), ("login", LOGIN, 1, " / ")):
@@ -190,7 +230,7 @@ def candidates(text: str) -> list[tuple[str, str, str, list[tuple[int, int]]]]:
         key = named[1] if named else ""
         if len(value) < 5 and not STRONG.search(words_of(key)):
             continue
-        if value.isdigit():
+        if value.isdigit() and not STRONG.search(words_of(key)):
             continue
         if not any(c.isdigit() or c.isupper() for c in value) and not STRONG.search(words_of(key)):
             continue
@@ -199,9 +239,9 @@ def candidates(text: str) -> list[tuple[str, str, str, list[tuple[int, int]]]]:
         out.append(("quoted", key, value, spans))
     for m in (*BARE.finditer(text), *NOTE.finditer(text)):
         value = m[2]
-        if "://" in value or value.isdigit() or ";AccountName=" in value or value in ("false;", "true;"):
-            continue
         strong = STRONG.search(words_of(m[1]))
+        if "://" in value or (value.isdigit() and not strong) or ";AccountName=" in value or value in ("false;", "true;"):
+            continue
         if not strong and not any(c.isdigit() for c in value):
             continue
         if m.re is NOTE and not strong and not ISSUED.match(value) and not JWT.match(value) and not BASIC.match(value):

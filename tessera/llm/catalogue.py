@@ -94,6 +94,14 @@ def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("content_hash", "model", "n_rows", F.col("place").cast("int").alias("place"), "similar_hash", F.round("similarity", 5).alias("similarity"))
 
 
+@query("p6_members")
+def p6_members(spark: SparkSession, root: str) -> DataFrame:
+    """Which class of p6_neighbours, named by its least content hash, each content hash and model belongs to."""
+    units = neighbours.unit_vectors(_vectors(spark, root), "content_hash", "embedding", "model").select(F.xxhash64("model", "unit").alias("class"), F.col("k").alias("content_hash"), "model")
+    names = units.groupBy("class").agg(F.min("content_hash").alias("name"))
+    return units.join(names, "class").select("content_hash", "model", F.col("name").alias("class_hash")).distinct()
+
+
 @query("p9_mix")
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]

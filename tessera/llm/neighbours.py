@@ -21,7 +21,7 @@ structure, for which the tenth neighbour is hardly nearer than the hundredth, ne
 
 Defined cases: null, empty, all-zero and non-finite vectors have no neighbours and are nobody's;
 null models or keys are ignored; vectors of another length than their model's most frequent
-one form an index of their own; a table without vectors gives an empty result; a vector isn't its own neighbour, copies under another
+one form an index of their own (groups beyond the MODELS most frequent are compared exactly, in blocks); a table without vectors gives an empty result; a vector isn't its own neighbour, copies under another
 key are, at 1.0; ties are settled by class.
 """
 
@@ -215,6 +215,34 @@ def fit_all(classes: DataFrame, list_size: int) -> dict[str, Index]:
     return out
 
 
+def compared(classes: DataFrame, k: int, floor: float) -> DataFrame:
+    """(a, b, similarity): the k most similar of every class within its model, every block against every block."""
+    sizes = classes.groupBy("model").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    rows = classes.join(sizes, "model").withColumn("own", F.pmod(F.xxhash64("class"), F.col("n")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    stored = rows.select("model", "class", "unit", F.lit(True).alias("stored"), F.col("own").alias("m"), F.col("each").alias("q"))
+    asking = rows.select("model", "class", "unit", F.lit(False).alias("stored"), F.col("each").alias("m"), F.col("own").alias("q"))
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = pdf["stored"].to_numpy(bool)
+        ids, units = pdf["class"].to_numpy(), pdf["unit"].to_numpy()
+        if not kept.any() or kept.all():
+            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], np.float64)})
+        x, q = (np.frombuffer(b"".join(units[mask]), np.float32).reshape(int(mask.sum()), -1) for mask in (kept, ~kept))
+        out: list[pd.DataFrame] = []
+        for at in range(0, len(q), 512):  # bounds the similarities held at once
+            mine = ids[~kept][at : at + 512]
+            s = q[at : at + 512] @ x.T
+            s[mine[:, None] == ids[kept][None, :]] = -np.inf
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(len(x)), (len(s), 1))
+            i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+            near = (s[i, j] >= floor) & np.isfinite(s[i, j])
+            i, j = i[near], j[near]
+            out.append(pd.DataFrame({"a": mine[i], "b": ids[kept][j], "similarity": s[i, j].astype(np.float64)}))
+        return pd.concat(out)
+
+    return stored.unionByName(asking).groupBy("model", "m", "q").applyInPandas(cell, "a bigint, b bigint, similarity double")
+
+
 def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10, list_size: int = 512, probes: int = 4, share: float = 0.0, rerank: int = 48, floor: float = -1.0) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, similarity) has for each class a its k most similar classes with at least
     ``floor``; members (class, key, model) says whose vectors a class is."""
@@ -284,6 +312,8 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
         return pd.DataFrame({"a": qids[i[keep]], "b": mids[j[keep]], "similarity": s[keep].astype(np.float64)})
 
     found = both.groupBy("list", "m", "q").applyInPandas(cell, "a bigint, b bigint, similarity double")
+    if len(names) == MODELS:
+        found = found.unionByName(compared(classes.where(~F.col("model").isin(names)), k, floor))
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k), members
 

@@ -100,3 +100,22 @@ def test_thresholds_are_nested_and_exact(spark):
 def test_mix_of_nothing(spark):
     uses, report = mixing.mix(spark.createDataFrame([], DOCS), spark.createDataFrame([("s", 1.0, 2)], TARGETS))
     assert uses.count() == 0 and [r["actual_share"] for r in report.collect()] == [0.0]
+
+
+def test_groups_beyond_the_indexed_ones_are_compared(spark, monkeypatch):
+    from tessera.llm import neighbours as own
+
+    monkeypatch.setattr(own, "MODELS", 1)
+    monkeypatch.setattr(own, "BLOCK", 2)
+    data = [(f"a{i}", "many", [1.0, float(i), 2.0]) for i in range(6)]
+    data += [("x", "few", [1.0, 0.0]), ("y", "few", [1.0, 0.1]), ("z", "few", [-1.0, 0.0]), ("w", "few", [0.0, 1.0]), ("v", "few", [1.0, 0.05])]
+    rows_ = spark.createDataFrame(data, "h string, m string, v array<float>")
+    pairs, members = own.neighbours(rows_, "h", "v", "m", k=2, floor=0.9)
+    got = {tuple(r) for r in own.similar_keys(pairs, members, "h").collect()}
+    assert {g for g in got if g[0] in "vwxyz"} == {("x", "y"), ("v", "x"), ("v", "y")}
+
+
+def test_membership_is_a_query():
+    from tessera.llm import catalogue
+
+    assert "p6_members" in catalogue.QUERIES

@@ -55,16 +55,35 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        own = f"/tmp/tessera-{os.getuid()}/checkpoints"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(own)
-        return own
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """A folder of this application in the cluster's shared folder (spark.checkpoint.dir, else the checkpoint folder
+    already set). Where neither is named a local session takes a temporary one; a cluster raises, for its executors share no disk.
+    The folder goes with the application."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tessera_dir"):
+        current = context._jsc.sc().getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("name a folder all executors share in spark.checkpoint.dir")
+            named = f"{tempfile.gettempdir()}/tessera-{os.getuid()}/checkpoints"
+        if current.isEmpty():
+            context.setCheckpointDir(named)
+        context._tessera_dir = f"{named.rstrip('/')}/tessera-{context.applicationId}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(context._tessera_dir)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return context._tessera_dir
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes everything ``cut`` has written in this application; results not yet read are lost with it."""
+    context = spark.sparkContext
+    if hasattr(context, "_tessera_dir"):
+        folder = context._jvm.org.apache.hadoop.fs.Path(context._tessera_dir)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.delete(folder, True)
+        files.mkdirs(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -131,6 +131,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return syntax.failing(syntax.current_files(table(spark, root, "source_files")))
 
 
+@query(
+    "p4_json_found",
+    """WITH f AS (SELECT file_id, arg_max(file_path, scanned_at) AS file_path, arg_max(content, scanned_at) AS content FROM source_files GROUP BY file_id)
+SELECT file_id FROM f WHERE lower(file_path) LIKE '%.json' AND content IS NOT NULL AND NOT json_valid(ltrim(content, chr(65279)))""",
+)
+def p4_json_found(spark: SparkSession, root: str) -> DataFrame:
+    """p4_found for the one language whose validity SQL can tell as well."""
+    return syntax.failing(syntax.current_files(table(spark, root, "source_files")).where("language = 'json'"))
+
+
 @query("p4_rates")
 def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     files = syntax.current_files(table(spark, root, "source_files"))

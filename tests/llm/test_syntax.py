@@ -1,4 +1,5 @@
 import datetime as dt
+import pathlib
 
 import pytest
 
@@ -180,11 +181,46 @@ WRONG_KIND_OF_BLOCK = {
 
 
 def flagged(language, text):
-    pairs, _, shapes = syntax.lexed(language, text)
-    return bool(pairs - syntax.permitted(language)) or any(not syntax.fits(language, *x) for x in shapes)
+    pairs, marks, shapes = syntax.lexed(language, text)
+    open_ = []
+    for _, kind in marks:
+        if kind in syntax.NESTS:
+            open_.append(kind)
+        elif not open_ or syntax.NESTS[open_.pop()] != kind:
+            return True
+    return bool(open_) or bool(pairs - syntax.permitted(language)) or any(not syntax.fits(language, *x) for x in shapes)
 
 
 @pytest.mark.parametrize("language", ["go", "rust", "java", "typescript", "javascript"])
 def test_what_stands_in_a_block_fits_its_kind(language):
     assert [x for x in KINDS_OF_BLOCK[language] if flagged(language, x)] == []
     assert [x for x in WRONG_KIND_OF_BLOCK[language] if not flagged(language, x)] == []
+
+
+CASES = pathlib.Path(__file__).parent / "cases"
+
+
+def cases(language, kind):
+    return (CASES / f"{language}.{kind}").read_text().split("\n%%\n")
+
+
+@pytest.mark.parametrize("language", ["typescript", "javascript", "go", "rust", "java", "bash", "yaml"])
+def test_forms_of_the_languages(language):
+    """Constructs of each language and texts that break it, read without any exact reader."""
+    assert [x for x in cases(language, "valid") if flagged(language, x)] == []
+    assert [x for x in cases(language, "invalid") if not flagged(language, x)] == []
+
+
+@pytest.mark.parametrize("language", ["typescript", "rust", "java", "bash"])
+def test_long_type_lists_and_templates_stay_linear(language):
+    import time
+
+    began = time.time()
+    for text in ("a < " * 20_000, "<" * 20_000, "`${" * 20_000, '"$(' * 20_000, "<a b={" * 20_000, "(" * 20_000 + ")" * 20_000, "[[ " * 20_000):
+        syntax.lexed(language, text)
+    assert time.time() - began < 20
+
+
+def test_deep_nesting_keeps_its_flag():
+    assert syntax.exact_failure("json", "[" * 100_000)
+    assert syntax.exact_failure("python", "(" * 100_000)

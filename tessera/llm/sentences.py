@@ -4,10 +4,14 @@ A text falls into blocks: headings, list items and fenced code are units of thei
 line, and what lies between blank lines is a paragraph. Whether single line ends wrap a paragraph or end units is read off
 the whole document: wrapped paragraphs end in a terminator, lists of unit lines have lost theirs.
 
-Inside a paragraph every terminator is a node of a lattice of readings (end, abbreviation, initial,
-ordinal, ellipsis, inside a quotation or bracket), each with a cost from its context; the cheapest
-reading holds. In scripts without spaces or terminators the phrases between spaces are cut into words by the cheapest
-path through a dictionary lattice; a gap ends a sentence after a final particle, before an opening word, or where the script changes.
+Inside a paragraph every terminator is a node of a lattice. It has the reading that a sentence ends there and others
+(abbreviation, initial, ordinal, ellipsis, inside a quotation or bracket), each with a cost from its context, and a sentence
+from one end to the next has a cost of its own (a bare number or a fragment of a word is no sentence). The cheapest path holds.
+
+In scripts without spaces or terminators the phrases between spaces are cut into words by the cheapest path through
+a dictionary lattice. A gap ends a sentence after a final particle, before an opening word, before a clause after a clause, or where
+the script changes. The dictionary is a short list of function words (a parameter) and what the corpus itself shows (``lexicon``):
+phrases that recur are words, and those that begin paragraphs about as often as phrases are opening words.
 
 Defined cases: null, empty and blank texts have no units; offsets count code points from 0, the
 end exclusive; units have no surrounding white space; an unclosed fence runs to the end; an unclosed quotation or bracket counts as a
@@ -16,26 +20,35 @@ plain character; a repeated row gives its units once; a null layout is plain; ot
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 # Abbreviations that never end a sentence, and those that may.
 NEVER = set("Dr Prof Mr Mrs Ms Messrs Sr Sra Srta Dra Mme Mlle MM Hr Fr Nr Nrn Abb Abschn Kap Bd Vgl vgl ca Ca bzw inkl zzgl ggf evtl Tab Sec sec Sect Fig fig Figs figs Eq Ch Vol vol pp approx Approx aprox Aprox vs cf Cf viz env ex ej núm Núm pág См см рис Рис табл Табл ок Ок г гг стр напр им ул κ Κ κα περ Περ σελ Δρ Καθ د م أ ص डॉ श्री प्रो e.g E.g i.e I.e z.B d.h u.a p.ex p.ej т.е т.н π.χ Π.χ δηλ मि.से कि.मी से.मी रु".split())
+TITLES = set("Gen Lt Col Sgt Cpl Capt Cmdr Adm Maj Brig Hon Rev Gov Sen Rep Pres Supt Dept Univ Assn Bros Ave Blvd Rd Mt Ft incl Incl excl Mio Mrd Tsd Std Tel Art Abs Anm Bsp geb gest Ing Dipl Sta Ud Uds Vd Vds Mgr Mtro Lic тыс млн млрд руб проф акад".split())
 MAYBE = set("etc usw a.m p.m A.M P.M U.S U.K E.U U.N д п κ.λπ κ.ά κτλ др пр Inc Ltd Co Corp Jr St al Ph.D vb bspw".split())
 NUMBERED = set("no No nos Nos Nr p P S n N".split())
+#: months that are written with a capital after an ordinal; elsewhere they are in lower case and open nothing
 MONTHS = set("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-# Final particles and opening words of the scripts without spaces.
-FINALS = set("ครับ ค่ะ คะ นะคะ นะครับ นะ จ้ะ จ้า สิ เถอะ ละ ล่ะ".split())
-OPENERS = set("คะแนน กรุณา ไฟล์ ฟังก์ชัน การ ระบบ ทำไม ตั้งแต่ เมื่อ ถ้า หาก แต่ เพราะ ดังนั้น เรา ผม ฉัน ดิฉัน เขา เธอ มัน คุณ พวกเขา โปรด นี่ นั่น นอกจากนี้ อย่างไรก็ตาม จากนั้น ต่อมา ใคร อะไร ที่ไหน เมื่อไร".split())
-WORDS = FINALS | OPENERS | set("ลด จาก เป็น แล้ว เรียก ก่อน เสมอ ไม่ มี ผู้ ดูแล ผู้ดูแล คืน ค่า แถว แทน ที่ จะ แทนที่ จึง ว่าง เปล่า ว่างเปล่า ดัชนี ถูก สร้าง ใหม่ ทุก ครั้ง เก็บ ข้อมูล ไว้ ส่วน ค้นหา ใช้ เวลา ประมาณ มิลลิวินาที วินาที และ หรือ ของ ใน ให้ ได้ ว่า กับ มา ไป อยู่ คือ นี้ นั้น ยัง ต้อง".split())
+# Function words of the scripts without spaces: final particles, opening words (pronouns, kin, connectives, question
+# words), words that carry a clause on, and common verbs. More of them come from a parameter and from the corpus.
+FINALS = set("ครับ ค่ะ คะ นะคะ นะครับ นะ จ้ะ จ้า สิ เถอะ ละ ล่ะ ฮะ หรอก เลย แหละ ເດີ ແດ່ ນໍ ເນາະ ບໍ ດອກ".split())
+OPENERS = set("กรุณา ทำไม ตั้งแต่ เมื่อ เมื่อวาน วันนี้ พรุ่งนี้ ถ้า หาก แต่ เพราะ ดังนั้น เรา ผม ฉัน ดิฉัน เขา เธอ มัน คุณ ท่าน พวกเขา พวกเรา แม่ พ่อ พี่ น้อง ลูก ครู เพื่อน โปรด นี่ นั่น นอกจากนี้ อย่างไรก็ตาม จากนั้น ต่อมา ใคร อะไร ที่ไหน เมื่อไร ຂ້ອຍ ເຮົາ ລາວ ພວກເຮົາ ເຈົ້າ ມັນ ກະລຸນາ ຖ້າ ເມື່ອ ແຕ່ ເພາະ ມື້ນີ້ ແມ່ ພໍ່ ខ្ញុំ យើង គាត់ នាង ពួកគេ សូម ប្រសិនបើ ប៉ុន្តែ ហេតុអ្វី ថ្ងៃនេះ ကျွန်တော် ကျွန်မ သူ သူမ သူတို့ ဒါပေမယ့် ယနေ့".split())
+CARRIES = set("และ หรือ ที่ ซึ่ง อัน ว่า เพื่อ โดย ของ ใน จาก ถึง กับ แก่ ต่อ ก็ จึง แล้ว จะ ได้ ให้ เป็น คือ ไม่ ด้วย รวมทั้ง เช่น แห่ง ระหว่าง ແລະ ຫຼື ທີ່ ຂອງ ໃນ ວ່າ ເພື່ອ ກັບ និង ឬ ដែល របស់ ក្នុង ដើម្បី ថា".split())
+VERBS = set("เป็น คือ มี ไป มา อยู่ ทำ ใช้ กิน ดื่ม ซื้อ ขาย เห็น ดู ฟัง พูด บอก ถาม ตอบ รู้ คิด ชอบ รัก อยาก ต้อง เรียน สอน อ่าน เขียน เล่น นอน ตื่น เดิน วิ่ง นั่ง ยืน เปิด ปิด ให้ เอา รับ ส่ง ช่วย หา พบ เจอ เริ่ม หยุด เรียก คืน สร้าง เก็บ ลบ เพิ่ม ลด แก้ ว่าง ดี ร้อน หนาว สวย ใหญ่ เล็ก มาก ໄປ ມາ ຢູ່ ມີ ເປັນ ເຮັດ ກິນ ຊື້ ຂາຍ ເຫັນ ຮູ້ ຮັກ ດີ ទៅ មក មាន ជា ធ្វើ ទិញ ញ៉ាំ នៅ ល្អ".split())
 CONTINUES = set("と って という とか なんて".split())
 SPEAKERS = re.compile(r"(?:他们|她们|我们|他|她|它|我|你|您|有人|作者|记者)?(?:又|也|就|便|回|反)?(?:问|说|道|写|答|喊|叫|想|表示|认为)")
-HARD = "。！？｡．।॥"
+HARD = "。！？｡．।॥။។៕።։"
 SOFT = ".!?؟۔…‽"
 CLOSERS = "\"'”’»›」』）)]］】〉》“"
 OPENS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", '"': '"', "`": "`"}
@@ -46,11 +59,37 @@ ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 BULLET = re.compile(r"\s*[-*+•]\s+\S")
 FENCE = re.compile(r"\s*(```+|~~~+)")
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
-THAI = re.compile(r"[฀-๿຀-໿ក-៿]")
+SPACELESS = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
+THAI = SPACELESS
+RUN = re.compile(r"[฀-๿຀-໿ក-៿က-႟]+")
+#: Phrases that make up at least this share of all phrases of spaceless scripts are words of the dictionary: at most 1 / SHARE of them.
+SHARE = 2e-5
+#: A word opens sentences if its share among paragraph starts is at least this part of its share among phrases.
+OPENING = 0.2
+FEWEST = 5
 ENDED = re.compile(r"[.!。！।]$")
 OPENISH = re.compile(r"[\w)\]`]$")
 
 
+@dataclass
+class Lexicon:
+    """Words of the spaceless scripts with their costs; final particles, opening words and verbs among them."""
+
+    finals: set[str] = field(default_factory=lambda: set(FINALS))
+    openers: set[str] = field(default_factory=lambda: set(OPENERS))
+    verbs: set[str] = field(default_factory=lambda: set(VERBS))
+    carries: set[str] = field(default_factory=lambda: set(CARRIES))
+    costs: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for w in (*self.finals, *self.openers, *self.verbs, *self.carries, *CONTINUES):
+            self.costs.setdefault(w, 1.0)
+        self.longest = max(map(len, self.costs))
+
+
+PLAIN = Lexicon()
+
+
 def lines_of(text: str) -> list[tuple[int, int]]:
     """Start and end of each line, without its line end."""
     out, at = [], 0
@@ -69,7 +108,7 @@ def stripped(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (start, end) if start < end else None
 
 
-def units(text: str | None, layout: str | None) -> list[tuple[int, int]]:
+def units(text: str | None, layout: str | None, words: Lexicon = PLAIN) -> list[tuple[int, int]]:
     """The sentence units of one document."""
     if not text:
         return []
@@ -121,19 +160,19 @@ def units(text: str | None, layout: str | None) -> list[tuple[int, int]]:
             kinds.append("text")
             fresh = False
         i += 1
-    wraps = wrapped(text, [x for x, k in zip(blocks, kinds, strict=True) if k == "text"])
+    wraps = wrapped(text, [x for x, k in zip(blocks, kinds, strict=True) if k == "text"], words)
     for block, kind in zip(blocks, kinds, strict=True):
         if kind != "text":
             add(block[0][0], block[-1][1])
         elif wraps:
-            out += sentences(text, block[0][0], block[-1][1])
+            out += sentences(text, block[0][0], block[-1][1], words)
         else:
             for a, b in block:
-                out += sentences(text, a, b)
+                out += sentences(text, a, b, words)
     return out
 
 
-def wrapped(text: str, paragraphs: list[list[tuple[int, int]]]) -> bool:
+def wrapped(text: str, paragraphs: list[list[tuple[int, int]]], words: Lexicon = PLAIN) -> bool:
     """Whether single line ends wrap: paragraphs then end in terminators, and no line had room for the
     next word."""
     if all(len(p) < 2 for p in paragraphs):
@@ -145,7 +184,7 @@ def wrapped(text: str, paragraphs: list[list[tuple[int, int]]]) -> bool:
         unended += bool(OPENISH.search(tail)) and not re.search(r"[.!?。！？।]['\"”’»」』)\]]*$", tail)
     if ended != unended:
         return ended > unended
-    if any(len(sentences(text, *line)) > 1 for p in paragraphs if len(p) > 1 for line in p):
+    if any(len(sentences(text, *line, words)) > 1 for p in paragraphs if len(p) > 1 for line in p):
         return True  # unit lines hold one sentence each
     room = tight = 0
     for p in paragraphs:
@@ -227,8 +266,8 @@ def word_after(text: str, at: int, end: int) -> str:
     return text[at:stop]
 
 
-def readings(text: str, first: int, at: int, last: int, end: int, start: int) -> dict[str, float]:
-    """Costs of the readings of the terminators text[at:last]; first is where the sentence begins."""
+def readings(text: str, start: int, at: int, last: int, end: int) -> dict[str, float]:
+    """Costs of the readings of the terminators text[at:last] of a paragraph from start to end."""
     run = text[at:last]
     costs = {"end": 1.0}
     if not opens(text, last, end):
@@ -243,14 +282,14 @@ def readings(text: str, first: int, at: int, last: int, end: int, start: int) ->
     if run != ".":
         return costs
     left = at
-    while left > first and not text[left - 1].isspace():
+    while left > start and not text[left - 1].isspace() and text[left - 1] not in HARD:
         left -= 1
     word = text[left:at].lstrip("\"'“„«‹([（¿¡`*_—")
     following = word_after(text, last, end)
-    if word in NEVER:
+    if word in NEVER or word in TITLES:
         costs["abbreviation"] = 0.1
     elif word in MAYBE:
-        if word in "дп" and not re.search(r"т\.\s*$", text[max(first, left - 8) : left]):
+        if word in "дп" and not preceded(text, start, left, "т."):
             costs["initial"] = 0.1
     elif word in NUMBERED:
         if following[:1].isdigit() or (len(word) == 1 and word != "n"):
@@ -264,63 +303,79 @@ def readings(text: str, first: int, at: int, last: int, end: int, start: int) ->
     elif word.isdigit():
         if re.split(r"\W", following, maxsplit=1)[0] in MONTHS:
             costs["ordinal"] = 0.1
-        elif left == first and len(word) <= 3:
-            costs["enumeration"] = 0.1
+        elif len(word) <= 3:
+            costs["enumeration"] = 1.5  # a number alone is dear as a sentence, see fragment
     return costs
 
 
+def preceded(text: str, start: int, at: int, sign: str) -> bool:
+    """Whether sign stands before ``at``, white space apart."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    return text.endswith(sign, start, at)
+
+
 def ideographic(text: str, at: int) -> bool:
     """Whether a character is Han, kana or one of their opening marks, which need no space before them."""
     return at < len(text) and bool(re.match(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff「『“《]", text[at]))
 
 
-def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The sentences of a paragraph."""
-    out: list[tuple[int, int]] = []
-    span = stripped(text, start, end)
-    if not span:
-        return out
-    start, end = span
-    first, at, hellenic = start, start, -1
-    spans = {a: (b, quoted) for a, b, quoted in frames(text, start, end)}
+@dataclass
+class Node:
+    """A place where a sentence may end: costs of that reading and of the cheapest other one. A node with ``opened`` ends
+    a sentence only if that began at ``opened``."""
 
-    def finish(stop: int) -> int:
-        piece = stripped(text, first, stop)
-        if piece:
-            out.extend(gaps(text, *piece))
-        while stop < end and text[stop].isspace():
-            stop += 1
-        return stop
+    stop: int
+    end: float
+    other: float
+    opened: int = -1
 
+
+BACK = 4  # a sentence over more nodes than these costs the same wherever it began
+
+
+def speaks(text: str, start: int, end: int, at: int, close: int, free: bool, another: bool) -> bool:
+    """Whether a closed quotation text[at:close + 1] with a final terminator ends its sentence; free: a gap follows,
+    another: a further quotation does."""
+    stop = close + 1
+    c = text[at]
+    if c == '"' and not free and ideographic(text, stop):
+        return True
+    if free:
+        return opens(text, stop, end)
+    if not another and text[stop] in HARD + SOFT + CLOSERS + ",，、;；:：—":
+        return False
+    if c in "「『":
+        run = re.compile(r"[^\s。、！？「」『』]+").match(text, stop)
+        return text[stop] not in "とっ" and path(run[0] if run else "")[0] not in CONTINUES
+    if c == "“":
+        before = at - 1
+        while before >= start and text[before].isspace():
+            before -= 1
+        sign = text[before] if before >= start else ""
+        if ord(text[stop]) < 0x2E80 and not (sign and sign in ":："):
+            return False
+        return bool(sign) and sign in ":：，," or not SPEAKERS.match(text, stop)
+    return False
+
+
+def terminators(text: str, start: int, end: int) -> list[Node]:
+    """The nodes of a paragraph's lattice, from left to right."""
+    out: list[Node] = []
+    at, hellenic, last_stop = start, -1, start
+    spans = {a: (b, quoted) for a, b, quoted in frames(text, start, end)}
     while at < end:
         c = text[at]
         if at in spans:
             close, quoted = spans[at]
             stop = close + 1
-            final = text[close - 1] in HARD + SOFT and close - 1 > at
-            if final and c != "`":
-                whole = first == at
+            if text[close - 1] in HARD + SOFT and close - 1 > at and c != "`":
                 spaced = stop >= end or text[stop].isspace()
-                if not quoted:
-                    done = whole and (spaced or ideographic(text, stop)) and opens(text, stop, end)
-                elif c == '"' and not spaced and ideographic(text, stop):
-                    done = True
-                elif spaced:
-                    done = opens(text, stop, end)
-                elif stop not in spans and text[stop] in HARD + SOFT + CLOSERS + ",，、;；:：—":
-                    done = False
-                elif c in "「『":
-                    done = path(text[stop : stop + 12])[0] not in CONTINUES and text[stop] not in "とっ"
-                elif c in "“":
-                    before = text[max(first, at - 8) : at].rstrip()
-                    done = bool(before) and before[-1] in ":：，," or not SPEAKERS.match(text, stop)
-                    if ord(text[stop]) < 0x2E80:
-                        done = False if not (bool(before) and before[-1] in ":：") else done
-                else:
-                    done = False
-                if done:
-                    at = first = finish(stop)
-                    continue
+                if quoted and speaks(text, start, end, at, close, spaced, stop in spans):
+                    out.append(Node(stop, 0.0, 9.0))
+                    last_stop = stop
+                elif not quoted and (spaced or ideographic(text, stop)) and opens(text, stop, end):
+                    out.append(Node(stop, 0.0, 0.5, at))
             at = stop
             continue
         if c in HARD:
@@ -329,11 +384,12 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 stop += 1
             while stop < end and text[stop] in CLOSERS and stop not in spans:
                 stop += 1
-            at = first = finish(stop)
+            out.append(Node(stop, 0.0, 9.0))
+            at = last_stop = stop
             continue
         if "Ͱ" <= c <= "῿" and (c <= "Ͽ" or c >= "ἀ"):
             hellenic = at
-        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace()) and hellenic >= first
+        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace()) and hellenic >= last_stop
         if c in SOFT or greek:
             last = at
             while last < end and (text[last] in SOFT + HARD or (greek and last == at)):
@@ -341,46 +397,103 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
             stop = last
             while stop < end and text[stop] in CLOSERS and stop not in spans:
                 stop += 1
-            if stop >= end or text[stop].isspace() or ideographic(text, stop):
-                costs = readings(text, first, at, last, end, start)
+            if stop >= end:
+                out.append(Node(stop, 0.0, 9.0))
+            elif text[stop].isspace() or ideographic(text, stop):
+                costs = readings(text, start, at, last, end)
                 if stop > last:
-                    costs = {"end": 1.0} if opens(text, stop, end) else {"inside": 0.5}
-                if min(costs, key=costs.__getitem__) == "end" or stop >= end:
-                    at = first = finish(stop)
-                    continue
+                    costs = {"end": 1.0} if opens(text, stop, end) else {"end": 9.0, "inside": 0.5}
+                out.append(Node(stop, costs.pop("end"), min(costs.values(), default=9.0)))
+                if out[-1].end < out[-1].other:
+                    last_stop = stop
             at = stop
             continue
         at += 1
-    if first < end:
-        finish(end)
     return out
 
 
-def path(phrase: str) -> list[str]:
+def fragment(text: str, first: int, node: Node) -> float:
+    """What a sentence that begins at ``first`` and ends at a node costs beyond the node: bare numbers and single letters
+    are marks of what follows, one short word is rarely a sentence."""
+    if node.opened >= 0:
+        return 0.0 if node.opened == first else 9.0
+    if node.stop - first > 12 or node.end == 0.0:
+        return 0.0
+    core = text[first : node.stop].rstrip(SOFT + CLOSERS)
+    if core.isdigit() and len(core) <= 3 and text[node.stop - 1] == ".":
+        return 1.0
+    return 0.3 if len(core) <= 2 and text[node.stop - 1] == "." else 0.0
+
+
+def sentences(text: str, start: int, end: int, words: Lexicon = PLAIN) -> list[tuple[int, int]]:
+    """The sentences of a paragraph: the cheapest path through the lattice of its terminators, then its gaps."""
+    out: list[tuple[int, int]] = []
+    span = stripped(text, start, end)
+    if not span:
+        return out
+    start, end = span
+    nodes = terminators(text, start, end)
+    # ways to have ended: (cost less what the nodes up to there cost unread, first character after, nodes so far, way before)
+    ways: list[tuple[float, int, int, tuple | None]] = [(0.0, start, 0, None)]
+    read = 0.0  # what the nodes cost so far if none ends a sentence
+    for k, node in enumerate(nodes):
+        cost, before = min(((w[0] + fragment(text, w[1], node), w) for w in ways), key=lambda x: x[0])
+        after = node.stop
+        while after < end and text[after].isspace():
+            after += 1
+        way = (cost + node.end - node.other, after, k, before)
+        read += node.other
+        recent = [w for w in ways if k - w[2] < BACK]
+        old = [w for w in ways if k - w[2] >= BACK]
+        ways = ([min(old, key=lambda w: w[0])] if old else []) + recent + [way]
+    best: tuple | None = min(ways, key=lambda w: w[0]) if nodes else ways[0]
+    cuts: list[int] = []
+    while best is not None and best[3] is not None:
+        cuts.append(nodes[best[2]].stop)
+        best = best[3]
+    first = start
+    for stop in [*reversed(cuts), end]:
+        piece = stripped(text, first, stop)
+        if piece:
+            out += gaps(text, *piece, words)
+        first = stop
+    return out
+
+
+def path(phrase: str, words: Lexicon = PLAIN) -> list[str]:
     """The words of the cheapest path through the dictionary lattice of a phrase; unknown characters
     stand together."""
     n = len(phrase)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(1e9, 0)] * n
-    longest = 14
+    costs = words.costs
     for i in range(n):
         base = best[i][0]
-        for j in range(i + 1, min(n, i + longest) + 1):
-            word = phrase[i:j]
-            cost = 1.0 if word in WORDS or word in CONTINUES else 1.6 if j == i + 1 else None
+        for j in range(i + 1, min(n, i + words.longest) + 1):
+            cost = costs.get(phrase[i:j])
+            if cost is None:
+                if j > i + 1:
+                    continue
+                cost = 1.6
+            if i == 0 and phrase[i:j] in words.finals and j < n:
+                cost += 4  # a final particle opens no phrase
             # a combining vowel or tone never opens a word
-            if cost is not None and j < n and unicodedata.combining(phrase[j]):
+            if j < n and unicodedata.combining(phrase[j]):
                 cost += 2
-            if cost is not None and base + cost < best[j][0]:
+            if base + cost < best[j][0]:
                 best[j] = (base + cost, i)
-    words, j = [], n
+    out, j, loose = [], n, False
     while j > 0:
         i = best[j][1]
-        words.append(phrase[i:j])
+        if out and j == i + 1 and phrase[i:j] not in costs and loose:
+            out[-1] = phrase[i:j] + out[-1]
+        else:
+            out.append(phrase[i:j])
+        loose = j == i + 1 and phrase[i:j] not in costs
         j = i
-    return words[::-1] or [""]
+    return out[::-1] or [""]
 
 
-def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def gaps(text: str, start: int, end: int, words: Lexicon = PLAIN) -> list[tuple[int, int]]:
     """A sentence of a script without terminators, cut at those of its spaces that end one."""
     piece = text[start:end]
     if not THAI.search(piece) or not re.search(r"\s", piece):
@@ -398,9 +511,11 @@ def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
             tokens.append((at, min(stop, end)))
         at = stop
     out: list[tuple[int, int]] = []
-    first, seen = start, 0  # seen: tokens of the phrase with letters of the script
+    first, seen, told = start, 0, False  # seen: tokens of the phrase with letters of the script; told: it has a verb
     for k in range(1, len(tokens)):
-        seen += bool(THAI.search(text, *tokens[k - 1]))
+        if THAI.search(text, *tokens[k - 1]):
+            told = told or any(w in words.verbs for w in path(text[slice(*tokens[k - 1])], words)[not seen :])
+            seen += 1
         left, right = text[slice(*tokens[k - 1])], text[slice(*tokens[k])]
         after = [text[slice(*t)] for t in tokens[k + 1 : k + 3]]
         aside = right[0] in "([（【"
@@ -411,14 +526,22 @@ def gaps(text: str, start: int, end: int) -> list[tuple[int, int]]:
             back -= 1
         spoken = text[slice(*tokens[back])]
         native = seen > 0
-        final = bool(THAI.match(spoken[-1:])) and bool({"".join(x) for x in ending(path(spoken))} & FINALS)
-        if (native and aside) or (native and THAI.match(right) and path(right)[0] in OPENERS) or (native and final) or (native and foreign(right, after)) or (not native and THAI.match(right) and bool(re.search(r"[^\x00-\x7fÀ-ɏ]", left[-1:]))):
+        said = path(spoken, words) if THAI.match(spoken[-1:]) else []
+        final = bool(said) and bool({"".join(x) for x in ending(said)} & words.finals)
+        heard = path(right, words) if THAI.match(right) else [""]
+        opened = heard[0] in words.openers or (told and bool(said) and back == k - 1 and clause(heard, words))
+        if (native and aside) or (native and opened) or (native and final) or (native and foreign(right, after)) or (not native and THAI.match(right) and bool(re.search(r"[^\x00-\x7fÀ-ɏ]", left[-1:]))):
             out.append((first, tokens[k - 1][1]))
-            first, seen = tokens[k][0], 0
+            first, seen, told = tokens[k][0], 0, False
     out.append((first, end))
     return out
 
 
+def clause(phrase: list[str], words: Lexicon) -> bool:
+    """Whether a phrase begins with what may be a subject, and has a verb after it."""
+    return phrase[0] not in words.carries and phrase[0] not in words.verbs and any(w in words.verbs for w in phrase[1:])
+
+
 def ending(words: list[str]) -> list[list[str]]:
     return [words[-1:], words[-2:]]
 
@@ -442,15 +565,69 @@ def foreign(right: str, after: list[str]) -> bool:
     return bool(after) and len(after[0].strip(".,")) > 1 and bool(latin.match(after[0]))
 
 
-def sentence_units(docs: DataFrame, item: str = "doc_id", text: str = "text", layout: str = "layout") -> DataFrame:
-    """(item, start_char, end_char) of the units of every document."""
+def phrases(text: str) -> Iterator[tuple[str, bool]]:
+    """The phrases of spaceless scripts, and whether each begins a paragraph or line."""
+    for m in RUN.finditer(text):
+        before = m.start()
+        while before > 0 and text[before - 1] in " \t>*-•\"'“‘([":
+            before -= 1
+        yield m[0], before == 0 or text[before - 1] in "\r\n"
+
+
+def lexicon(docs: DataFrame, text: str, known: Lexicon | None = None, share: float = SHARE) -> Lexicon:
+    """The dictionary of a corpus: the function words known, and the phrases that recur over all documents, each with
+    the cost -log of its frequency. Words that begin paragraphs in a like proportion as phrases are opening words.
+    A phrase counts if it is at least ``share`` of all phrases (and FEWEST of them), so there are at most 1 / share."""
+    known = known or Lexicon()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, bool]] = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(phrases(t.as_py()))
+            if len(seen) > 100_000:
+                yield counted(seen)
+                seen = Counter()
+        yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([n * (not s) for (_, s), n in seen.items()], pa.int64()), pa.array([n * s for (_, s), n in seen.items()], pa.int64())], ["phrase", "inside", "starts"])
+
+    spaceless = docs.where(F.col(text).rlike(SPACELESS.pattern)).select(text)
+    rows = spaceless.mapInArrow(run, "phrase string, inside bigint, starts bigint").groupBy("phrase").agg(F.sum("inside").alias("inside"), F.sum("starts").alias("starts"))
+    rows = cut(rows)
+    total = rows.agg(F.sum("inside").alias("inside"), F.sum("starts").alias("starts")).first()
+    whole = (total["inside"] or 0) + (total["starts"] or 0)
+    if not whole:
+        return known
+    found = rows.where(F.col("inside") + F.col("starts") >= max(FEWEST, math.ceil(share * whole))).collect()
+    costs = dict(known.costs)
+    for r in found:
+        # a phrase is one word unless it holds a known one
+        if not any(w in known.costs for w in path(r["phrase"], known)):
+            costs.setdefault(r["phrase"], 1.0 + 0.05 * -math.log((r["inside"] + r["starts"]) / whole))
+    words = Lexicon(set(known.finals), set(known.openers), set(known.verbs), set(known.carries), costs)
+    begins, others = Counter(), Counter()
+    for r in found:
+        first = path(r["phrase"], words)[0]
+        begins[first] += r["starts"]
+        others[first] += r["inside"]
+    for w, n in begins.items():
+        if len(w) > 1 and n >= FEWEST and w not in words.carries | words.finals and n / max(1, total["starts"]) >= OPENING * others[w] / max(1, total["inside"]):
+            words.openers.add(w)
+    return words
+
+
+def sentence_units(docs: DataFrame, item: str = "doc_id", text: str = "text", layout: str = "layout", known: Lexicon | None = None) -> DataFrame:
+    """(item, start_char, end_char) of the units of every document. known: function words of spaceless scripts."""
     kind = docs.schema[item].dataType.simpleString()
+    words = lexicon(docs, text, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends = [], [], []
             for key, t, form in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for a, b in units(t.as_py(), form):
+                for a, b in units(t.as_py(), form, words):
                     ids.append(key)
                     starts.append(a)
                     ends.append(b)

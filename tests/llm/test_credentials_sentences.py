@@ -167,3 +167,46 @@ def test_very_long_texts_take_linear_time(piece):
     c.candidates(text)
     assert time.time() - began < 20
     assert out[0][0] == 0 and out[-1][1] == len(text.rstrip())
+
+
+def split(text, layout="plain", words=s.PLAIN):
+    return [text[a:b] for a, b in s.units(text, layout, words)]
+
+
+@pytest.mark.parametrize(
+    ("text", "count"),
+    [
+        ("วันนี้อากาศดี ฉันไปตลาด แม่ซื้อผลไม้ พ่ออยู่บ้าน", 4),
+        ("เขาพูดว่า เธอรักแมว", 1 + 1),
+        ("ฉันชอบแมว และ หมา", 1),
+        ("ຂ້ອຍໄປຕະຫຼາດ ແມ່ຊື້ໝາກໄມ້", 2),
+        ("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", 2),
+        ("သူ ဈေးသွားတယ်။ ကျွန်တော် အိမ်မှာရှိတယ်။", 2),
+        ("Gen. Smith of the Dept. of State met Lt. Jones and Rev. Brown. It cost 5 Mio. Euro.", 2),
+        ("1. First. 2. Second. See No. 5. A. Smith came. Yes. I did.", 6),
+        ("Am 3. Mai kam er. Das ist z.B. gut. (So war es.) Ende.", 4),
+        ("他写道：“先卡住。然后崩溃。”“可以吗？”他问道。", 2),
+    ],
+)
+def test_lattices(text, count):
+    assert len(split(text)) == count
+
+
+def test_long_words_after_a_quotation_and_long_paragraphs():
+    import time
+
+    assert len(split("「" + "あ" * 500 + "。」" + "い" * 500 + "と言った。")) == 2 - ("い" * 500).startswith("と")
+    began = time.time()
+    assert len(split("This is it. " * 20_000)) == 20_000
+    assert len(split("e.g. " * 20_000)) == 1
+    assert time.time() - began < 20
+
+
+def test_the_dictionary_comes_from_the_corpus(spark):
+    """A noun the list doesn't have opens sentences where it opens paragraphs elsewhere."""
+    rows = [(i, "ดอกไม้สวย\n\nดอกไม้สวย ดอกไม้สวย", "plain") for i in range(20)] + [(99, "เรามีแมวขาว ขาวมาก", "plain")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, layout string")
+    words = s.lexicon(docs, "text")
+    assert "ดอกไม้" in words.openers and "ขาว" not in words.openers
+    assert s.sentence_units(docs).where("doc_id = 0").count() == 3
+    assert s.lexicon(docs.limit(0), "text").costs == s.PLAIN.costs

@@ -539,7 +539,7 @@ def gaps(text: str, start: int, end: int, words: Lexicon = PLAIN) -> list[tuple[
 
 def clause(phrase: list[str], words: Lexicon) -> bool:
     """Whether a phrase begins with what may be a subject, and has a verb after it."""
-    return phrase[0] not in words.carries and phrase[0] not in words.verbs and any(w in words.verbs for w in phrase[1:])
+    return len(phrase[0]) > 1 and phrase[0] not in words.carries and phrase[0] not in words.verbs and any(w in words.verbs for w in phrase[1:])
 
 
 def ending(words: list[str]) -> list[list[str]]:

@@ -53,6 +53,8 @@ SOFT = ".!?؟۔…‽"
 CLOSERS = "\"'”’»›」』）)]］】〉》“"
 OPENS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", '"': '"', "`": "`"}
 FRAME = re.compile("[" + re.escape("".join(OPENS)) + "]")
+SIGN = re.compile("[" + re.escape("".join(OPENS) + HARD + SOFT) + ";]")
+GREEK = re.compile("[Ͱ-Ͽἀ-῿]+")
 BRACKETS = re.compile(r"[()\[\]（）【】]")
 HEADING = re.compile(r"[ ]{0,3}#{1,6}(?:\s|$)")
 ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
@@ -362,10 +364,11 @@ def speaks(text: str, start: int, end: int, at: int, close: int, free: bool, ano
 def terminators(text: str, start: int, end: int) -> list[Node]:
     """The nodes of a paragraph's lattice, from left to right."""
     out: list[Node] = []
-    at, hellenic, last_stop = start, -1, start
+    at, last_stop, hellenic, scanned = start, start, -1, start  # the last Greek letter of what has been scanned for one
     spans = {a: (b, quoted) for a, b, quoted in frames(text, start, end)}
-    while at < end:
-        c = text[at]
+    while (sign := SIGN.search(text, at, end)) is not None:
+        at = sign.start()
+        c = sign[0]
         if at in spans:
             close, quoted = spans[at]
             stop = close + 1
@@ -387,9 +390,11 @@ def terminators(text: str, start: int, end: int) -> list[Node]:
             out.append(Node(stop, 0.0, 9.0))
             at = last_stop = stop
             continue
-        if "Ͱ" <= c <= "῿" and (c <= "Ͽ" or c >= "ἀ"):
-            hellenic = at
-        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace()) and hellenic >= last_stop
+        greek = c == ";" and (at + 1 >= end or text[at + 1].isspace())
+        if greek:
+            for m in GREEK.finditer(text, scanned, at):
+                hellenic = m.end()
+            scanned, greek = at, hellenic > last_stop
         if c in SOFT or greek:
             last = at
             while last < end and (text[last] in SOFT + HARD or (greek and last == at)):

@@ -210,3 +210,52 @@ def test_the_dictionary_comes_from_the_corpus(spark):
     assert "ดอกไม้" in words.openers and "ขาว" not in words.openers
     assert s.sentence_units(docs).where("doc_id = 0").count() == 3
     assert s.lexicon(docs.limit(0), "text").costs == s.PLAIN.costs
+
+
+FOUND = [
+    'db_pass = "hunter2!"', 'password = "letmein"', '{"pwd":"qwerty"}', 'passphrase = "correct horse battery staple"', 'SLACK="xoxb-1234567890-abcdefghijkl"', "<password>Zx9!kQw2</password>",
+    "mysql -u root -pS3cr3t9x db", f'curl -H "X-Api-Key: {KEPT}" https://h.invalid', 'login("admin", "Zx9!kQw2")', 'password = b"Zx9!kQw2"', "key: `AIzaSyA1234567890abcdefghijklmnopqrstuv`", f"deploy --api-token {KEPT}",
+    'const u = "postgres://u:' + "a1B" * 200 + '@h/db"', '{"a": "1", "b": "x y", "password": "S3cr3t!pw"}',
+]
+NOT_FOUND = ['passwordHint = "At least 8 Characters"', "secretName: my-app-tls-2", 'password_field = "input#Password1"', 'password = "Enter your password"', "run --token $TOKEN", '("width", "100")', "<password>${PW}</password>"]
+
+
+def test_forms_the_corpus_does_not_have(spark, corpus):
+    """None of these forms is in the training texts: recall by form, and what only looks like one."""
+    texts = [*corpus[0], *((f"y{i}", t, 0, 0.0) for i, t in enumerate(FOUND)), *((f"n{i}", t, 0, 0.0) for i, t in enumerate(NOT_FOUND))]
+    got = {r[0] for r in c.credential_lines(spark.createDataFrame(texts, TEXTS), spark.createDataFrame([], PATHS), "content_hash", "chunk_text").collect()}
+    assert [t for i, t in enumerate(FOUND) if f"y{i}" not in got] == []
+    assert [t for i, t in enumerate(NOT_FOUND) if f"n{i}" in got] == []
+
+
+@pytest.mark.parametrize("form", range(6))
+def test_a_form_left_out_of_training_is_told_by_the_rest(spark, corpus, form):
+    """The corpus without one form; then that form alone: the masked copies must have taught it from likelihood and names."""
+    mark = ["password = \"", "  apiKey: '", "export DB_PASSWORD=", "postgres://user:", "ci-bot /", "curl -u"][form]
+    rng = random.Random(form)
+    kept = [t for t in corpus[0] if mark not in t[1]]
+    text = {0: 'password = "{}"', 1: "  apiKey: '{}',", 2: "export DB_PASSWORD={}", 3: 'const url = "postgres://user:{}@host.invalid:1/x";', 4: "// old login still works: ci-bot / {}", 5: "curl -u svc:{} https://h.invalid"}[form]
+    unseen = [(f"q{i}", text.format(secret(rng)), 0, 0.0) for i in range(30)]
+    got = {r[0] for r in c.credential_lines(spark.createDataFrame([*kept, *unseen], TEXTS), spark.createDataFrame([], PATHS), "content_hash", "chunk_text").collect()}
+    assert sum(h.startswith("q") for h in got) >= 28
+
+
+def test_the_whole_value_counts(spark, corpus):
+    """A value of 10,000 characters is judged by all of them, from either end, and masked whole."""
+    letters = "".join(random.Random(1).choice(string.ascii_lowercase) for _ in range(9_000))
+    values = [letters + "B1!x" * 250, "B1!x" * 250 + letters]
+    assert len({tuple(c.describe("quoted", "password", v, [[5.0] * 128] * 128)) for v in values}) == 1
+    texts = [*corpus[0], *((f"w{i}", f'password = "{v}"', 0, 0.0) for i, v in enumerate(values))]
+    out = {r[0]: r[1] for r in c.redact(spark.createDataFrame(texts, TEXTS), spark.createDataFrame([], PATHS), "content_hash", "chunk_text").collect()}
+    assert all(set(out[f"w{i}"]) <= set('password = "*"') for i in range(2))
+
+
+def test_names_and_masks_stay_linear():
+    import time
+
+    began = time.time()
+    text = "{" + ", ".join(f'"k{i}": "v{i}Xy9{i}"' for i in range(30_000)) + "}"
+    found = c.candidates(text)
+    assert len(found) > 20_000 and found[5][1].startswith("k")
+    c.masked(text, [x for f in found for p in f[3] for x in p])
+    assert time.time() - began < 10

@@ -242,7 +242,8 @@ def test_a_form_left_out_of_training_is_told_by_the_rest(spark, corpus, form):
 
 def test_the_whole_value_counts(spark, corpus):
     """A value of 10,000 characters is judged by all of them, from either end, and masked whole."""
-    letters = "".join(random.Random(1).choice(string.ascii_lowercase) for _ in range(9_000))
+    rng = random.Random(1)
+    letters = "".join(rng.choice(string.ascii_lowercase) for _ in range(9_000))
     values = [letters + "B1!x" * 250, "B1!x" * 250 + letters]
     assert len({tuple(c.describe("quoted", "password", v, [[5.0] * 128] * 128)) for v in values}) == 1
     texts = [*corpus[0], *((f"w{i}", f'password = "{v}"', 0, 0.0) for i, v in enumerate(values))]

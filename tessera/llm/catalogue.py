@@ -94,6 +94,21 @@ def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("content_hash", "model", "n_rows", F.col("place").cast("int").alias("place"), "similar_hash", F.round("similarity", 5).alias("similarity"))
 
 
+@query(
+    "p6_recall",
+    """WITH v AS (SELECT DISTINCT model || '/' || len(embedding) AS model, embedding::DOUBLE[] AS e FROM chunk_embeddings WHERE embedding IS NOT NULL AND trim(content_hash) <> '')
+SELECT model, true AS at_least_nine_tenths FROM v WHERE list_dot_product(e, e) > 0 GROUP BY model""",
+)
+def p6_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Whether p6_neighbours finds at least nine tenths of the ten nearest, by brute force for every class whose id is divisible by 20."""
+    vectors = _vectors(spark, root)
+    pairs, _ = neighbours.neighbours(vectors, "content_hash", "embedding", "model", k=10, list_size=16384, share=1.0, rerank=400)
+    units = neighbours.unit_vectors(vectors, "content_hash", "embedding", "model")
+    exact = neighbours.brute_force(units, 10).select("a", "b", "model")
+    met = exact.join(pairs.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left")
+    return met.groupBy("model").agg((F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("at_least_nine_tenths"))
+
+
 @query("p6_members")
 def p6_members(spark: SparkSession, root: str) -> DataFrame:
     """Which class of p6_neighbours, named by its least content hash, each content hash and model belongs to."""

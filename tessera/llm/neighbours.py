@@ -14,14 +14,15 @@ many cells; all blocks of members meet all blocks of askers, so nothing is lost.
 Exact copies share one class (the 64-bit hash of model and unit vector): the scan sees a vector once
 however many rows carry it, and membership is joined back.
 
-Cost: with lists of ``list_size`` vectors, N x probes x list_size look-ups, so linear in N while
-the number of lists may grow (at most LISTS, the centres being broadcast in the task closure). Vectors without
-structure, for which the tenth neighbour is hardly nearer than the hundredth, need
+Cost: with lists of ``list_size`` vectors, N x probes x list_size look-ups, so linear in N. The first level has at most
+LISTS lists; a model with more than LISTS x list_size vectors has its lists divided again, each by centres of its own,
+which travel as rows to the blocks of their list (``refined``). What travels in task closures is bounded: models are indexed in
+waves of at most WAVE_BYTES. Vectors without structure, for which the tenth neighbour is hardly nearer than the hundredth, need
 ``share`` = 1: all lists, quadratic work.
 
 Defined cases: null, empty, all-zero and non-finite vectors have no neighbours and are nobody's;
 null models or keys are ignored; vectors of another length than their model's most frequent
-one form an index of their own (groups beyond the MODELS most frequent are compared exactly, in blocks); a table without vectors gives an empty result; a vector isn't its own neighbour, copies under another
+one form an index of their own; a table without vectors gives an empty result; a vector isn't its own neighbour, copies under another
 key are, at 1.0; ties are settled by class.
 """
 
@@ -43,7 +44,7 @@ LISTS = 4096
 BLOCK = 8192
 WORD = 4  # dimensions a four-bit code stands for
 THRESHOLD = 0.5  # score from which the loss shall be good: sets eta
-MODELS = 256
+WAVE_BYTES = 256 << 20  # samples and centres of the models indexed at once
 
 
 @dataclass
@@ -203,44 +204,72 @@ def unit_vectors(rows: DataFrame, key: str, vector: str, model: str) -> DataFram
     return sent.mapInArrow(run, "k string, model string, unit binary")
 
 
-def fit_all(classes: DataFrame, list_size: int) -> dict[str, Index]:
-    """One index per model, each from at most SAMPLE vectors chosen by their hash."""
-    sizes = {r["model"]: r["n"] for r in classes.groupBy("model").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(MODELS).collect()}
-    out = {}
-    for name, n in sizes.items():
-        spread = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(1 << 20))
-        taken = classes.where((F.col("model") == name) & (spread <= int(min(1.0, 1.2 * SAMPLE / n) * (1 << 20)))).select("unit").limit(SAMPLE)
-        sample = np.stack([np.frombuffer(r["unit"], np.float32) for r in taken.collect()])
-        out[name] = fit(sample, n, list_size)
+def waves(classes: DataFrame) -> list[dict[str, int]]:
+    """The models with their sizes, in groups whose samples and centres fit in WAVE_BYTES."""
+    out: list[dict[str, int]] = []
+    room = 0
+    for r in classes.groupBy("model").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "model").collect():  # a row a model
+        need = 2 * min(r["n"], SAMPLE) * int(r["model"].rpartition("/")[2]) * 4
+        if not out or need > room:
+            out.append({})
+            room = WAVE_BYTES
+        out[-1][r["model"]] = r["n"]
+        room -= need
     return out
 
 
-def compared(classes: DataFrame, k: int, floor: float) -> DataFrame:
-    """(a, b, similarity): the k most similar of every class within its model, every block against every block."""
-    sizes = classes.groupBy("model").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    rows = classes.join(sizes, "model").withColumn("own", F.pmod(F.xxhash64("class"), F.col("n")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    stored = rows.select("model", "class", "unit", F.lit(True).alias("stored"), F.col("own").alias("m"), F.col("each").alias("q"))
-    asking = rows.select("model", "class", "unit", F.lit(False).alias("stored"), F.col("each").alias("m"), F.col("own").alias("q"))
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = pdf["stored"].to_numpy(bool)
-        ids, units = pdf["class"].to_numpy(), pdf["unit"].to_numpy()
-        if not kept.any() or kept.all():
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], np.float64)})
-        x, q = (np.frombuffer(b"".join(units[mask]), np.float32).reshape(int(mask.sum()), -1) for mask in (kept, ~kept))
-        out: list[pd.DataFrame] = []
-        for at in range(0, len(q), 512):  # bounds the similarities held at once
-            mine = ids[~kept][at : at + 512]
-            s = q[at : at + 512] @ x.T
-            s[mine[:, None] == ids[kept][None, :]] = -np.inf
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(len(x)), (len(s), 1))
-            i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-            near = (s[i, j] >= floor) & np.isfinite(s[i, j])
-            i, j = i[near], j[near]
-            out.append(pd.DataFrame({"a": mine[i], "b": ids[kept][j], "similarity": s[i, j].astype(np.float64)}))
-        return pd.concat(out)
-
-    return stored.unionByName(asking).groupBy("model", "m", "q").applyInPandas(cell, "a bigint, b bigint, similarity double")
+def fit_all(classes: DataFrame, sizes: dict[str, int], list_size: int) -> dict[str, Index]:
+    """One index per model, each from at most SAMPLE vectors chosen by their hash, all in one job."""
+    share = F.create_map(*[F.lit(x) for m, n in sizes.items() for x in (m, int(min(1.0, 1.2 * SAMPLE / n) * (1 << 20)))])
+    spread = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(1 << 20))
+    order = Window.partitionBy("model").orderBy("class")
+    chosen = classes.where(spread <= F.try_element_at(share, F.col("model"))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
+    taken: dict[str, list[bytes]] = {name: [] for name in sizes}
+    for r in chosen.select("model", "unit").collect():
+        taken[r["model"]].append(r["unit"])
+    return {name: fit(np.frombuffer(b"".join(units), np.float32).reshape(len(units), -1), sizes[name], list_size) for name, units in taken.items() if units}
+
+
+def refined(placed: DataFrame, branches: dict[int, int], probes: int) -> DataFrame:
+    """placed with the lists of the models in ``branches`` (by number) divided into so many each. Rows and the centres of a
+    list meet in blocks; each row keeps the ``probes`` nearest of the parts of its lists, its own one first."""
+    model = (F.col("list") / LISTS).cast("int")
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for kv in branches.items() for x in kv]), model)
+    rows = placed.select("class", "unit", F.posexplode("lists").alias("pos", "list")).withColumn("parts", F.coalesce(parts, F.lit(1)))
+    sizes = rows.groupBy("list").agg(F.count("*").alias("n"), F.max("parts").alias("parts"))
+    sizes = bounded(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), LISTS * 256)
+    limit = F.col("parts") * 32
+
+    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(len(pdf), -1)
+        c = fit_centres(x, int(pdf["parts"].iloc[0]))
+        return pd.DataFrame({"list": [int(pdf["list"].iloc[0])], "centres": [c.tobytes()]})
+
+    order = Window.partitionBy("list").orderBy(F.xxhash64("class", F.lit(3)))
+    sample = rows.where("pos = 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    found = sample.select("list", "unit", "parts").groupBy("list").applyInPandas(centres, "list int, centres binary").join(sizes, "list")
+    found = found.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("bigint").alias("class"), F.lit(-1).alias("pos"), F.col("centres").alias("unit"))
+    sent = rows.join(sizes, "list").select("list", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", "pos", "unit")
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["pos"].to_numpy() >= 0
+        none = pd.DataFrame({"class": np.array([], np.int64), "list": np.array([], np.int64), "pos": np.array([], np.int32), "score": np.array([], np.float64)})
+        if not own.any():
+            return none
+        units = pdf["unit"].to_numpy()
+        x = np.frombuffer(b"".join(units[own]), np.float32).reshape(int(own.sum()), -1)
+        c = np.frombuffer(units[~own][0], np.float32).reshape(-1, x.shape[1]) if not own.all() else np.zeros((1, x.shape[1]), np.float32)
+        near = x @ c.T
+        p = min(probes, len(c))
+        top = np.argsort(-near, axis=1, kind="stable")[:, :p]
+        pos = np.repeat(pdf["pos"].to_numpy()[own], p) + (np.tile(np.arange(p), len(x)) > 0)  # 0: the part it is stored in
+        return pd.DataFrame({"class": np.repeat(pdf["class"].to_numpy()[own].astype(np.int64), p), "list": (np.int64(pdf["list"].iloc[0]) * LISTS + top).ravel(), "pos": pos.astype(np.int32), "score": np.take_along_axis(near, top, 1).ravel().astype(np.float64)})
+
+    fine = sent.unionByName(found).groupBy("list", "block").applyInPandas(part, "class bigint, list bigint, pos int, score double")
+    best = Window.partitionBy("class").orderBy((F.col("pos") == 0).desc(), F.col("score").desc(), "list")
+    kept = fine.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= probes)
+    lists = kept.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "list"))), lambda x: x["list"]).alias("lists"))
+    return cut(placed.drop("lists").join(lists, "class"))
 
 
 def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10, list_size: int = 512, probes: int = 4, share: float = 0.0, rerank: int = 48, floor: float = -1.0) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +278,16 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
     units = unit_vectors(rows, key, vector, model).withColumn("class", F.xxhash64("model", "unit"))
     members = units.select("class", F.col("k").alias(key), "model")
     classes = cut(units.groupBy("class").agg(F.first("model").alias("model"), F.first("unit").alias("unit")))
-    index = fit_all(classes, list_size)
+    found = rows.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")
+    for sizes in waves(classes):
+        part = classes.where(F.col("model").isin(list(sizes)))
+        found = found.unionByName(searched(part, fit_all(part, sizes, list_size), sizes, k, list_size, probes, share, rerank, floor))
+    best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k), members
+
+
+def searched(classes: DataFrame, index: dict[str, Index], sizes: dict[str, int], k: int, list_size: int, probes: int, share: float, rerank: int, floor: float) -> DataFrame:
+    """(a, b, similarity) of the classes of a wave, over the lists each one asks."""
     names = list(index)
     number = {name: i for i, name in enumerate(names)}
 
@@ -258,8 +296,6 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
             models = np.array(batch.column("model").to_pylist(), object)
             for name in dict.fromkeys(models):
                 part = batch.filter(pa.array(models == name))
-                if name not in index:
-                    continue
                 own = index[name]
                 x = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float32).reshape(len(part), -1)
                 p = min(len(own.centres), max(probes, int(np.ceil(share * len(own.centres)))))
@@ -282,9 +318,14 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
                 )
 
     placed = cut(classes.mapInArrow(place, "class bigint, unit binary, codes binary, lists array<int>"))
-    # one row per list: at most LISTS a model
+    branches = {number[m]: -(-n // (LISTS * list_size)) for m, n in sizes.items() if n > LISTS * list_size}
+    fine = bool(branches) and share < 1
+    if fine:
+        placed = refined(placed, branches, probes)
+    each = LISTS * LISTS if fine else LISTS  # lists a model
+    # one row per list
     sizes = placed.select(F.explode("lists").alias("list"), F.col("lists")[0].alias("home")).groupBy("list").agg(F.count("*").alias("askers"), F.sum((F.col("list") == F.col("home")).cast("int")).alias("stored"))
-    blocks = bounded(sizes.select("list", F.ceil(F.col("askers") / BLOCK).cast("int").alias("qb"), F.greatest(F.lit(1), F.ceil(F.col("stored") / BLOCK)).cast("int").alias("mb")), MODELS * LISTS)
+    blocks = bounded(sizes.select("list", F.ceil(F.col("askers") / BLOCK).cast("int").alias("qb"), F.greatest(F.lit(1), F.ceil(F.col("stored") / BLOCK)).cast("int").alias("mb")), 256 * LISTS)
     spread = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     stored = placed.select("class", "unit", "codes", F.col("lists")[0].alias("list")).join(blocks, "list")
     stored = stored.select("class", "unit", "codes", "list", spread("mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"))
@@ -293,7 +334,7 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
     both = stored.unionByName(asking)
 
     def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = index[names[int(key_[0]) // LISTS]]
+        own = index[names[int(key_[0]) // each]]
         is_member = pdf["codes"].notna().to_numpy()
         ids = pdf["class"].to_numpy()
         none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], np.float64)})
@@ -311,21 +352,58 @@ def neighbours(rows: DataFrame, key: str, vector: str, model: str, k: int = 10,
         keep = s >= floor
         return pd.DataFrame({"a": qids[i[keep]], "b": mids[j[keep]], "similarity": s[keep].astype(np.float64)})
 
-    found = both.groupBy("list", "m", "q").applyInPandas(cell, "a bigint, b bigint, similarity double")
-    if len(names) == MODELS:
-        found = found.unionByName(compared(classes.where(~F.col("model").isin(names)), k, floor))
+    return both.groupBy("list", "m", "q").applyInPandas(cell, "a bigint, b bigint, similarity double")
+
+
+def brute_force(units: DataFrame, k: int) -> DataFrame:
+    """(a, b, model, similarity): the exact k nearest of every class whose id is divisible by 20, against all rows; queries and
+    rows meet in blocks."""
+    classes = units.select(F.xxhash64("model", "unit").alias("class"), "model", "unit").dropDuplicates(["class"])
+    asks = classes.where("class % 20 = 0")
+    n, m = (max(1, -(-d.count() // size)) for d, size in ((classes, BLOCK), (asks, BLOCK)))
+    spread = lambda n: F.pmod(F.xxhash64("class", F.lit(5)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = classes.select("class", "model", "unit", F.lit(False).alias("asks"), spread(n).alias("i"), every(m).alias("j"))
+    asking = asks.select("class", "model", "unit", F.lit(True).alias("asks"), every(n).alias("i"), spread(m).alias("j"))
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf["asks"].to_numpy(bool)
+        ids, units_ = pdf["class"].to_numpy(), pdf["unit"].to_numpy()
+        out = [pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "model": np.array([], object), "similarity": np.array([], np.float64)})]
+        if mine.any() and not mine.all():
+            x, q = (np.frombuffer(b"".join(units_[w]), np.float32).reshape(int(w.sum()), -1) for w in (~mine, mine))
+            for at in range(0, len(q), 256):
+                who = ids[mine][at : at + 256]
+                s = q[at : at + 256] @ x.T
+                s[who[:, None] == ids[~mine][None]] = -np.inf
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(len(x)), (len(s), 1))
+                i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+                keep = np.isfinite(s[i, j])
+                out.append(pd.DataFrame({"a": who[i[keep]], "b": ids[~mine][j[keep]], "model": pdf["model"].iloc[0], "similarity": s[i, j][keep].astype(np.float64)}))
+        return pd.concat(out)
+
+    found = stored.unionByName(asking).groupBy("model", "i", "j").applyInPandas(cell, "a bigint, b bigint, model string, similarity double")
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k), members
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+#: Keys of a class up to which it is one block when pairs of classes are expanded to pairs of keys.
+KEYS = 1000
 
 
 def similar_keys(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Unordered pairs of different keys, in either of which's list the other stands, and of keys
-    that share a vector."""
+    that share a vector. The keys of a class come in blocks, and every block of one class meets every block of the other, so
+    that no task holds all copies of a vector."""
+    mine = members.select("class", F.col(key).alias("k")).distinct()
+    blocks = mine.groupBy("class").agg(F.ceil(F.count("*") / KEYS).cast("int").alias("n"))
+    rows = mine.join(blocks, "class").withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
     links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    mine = members.select("class", key).distinct()
-    left = mine.select(F.col("class").alias("a"), F.col(key).alias("ka"))
-    right = mine.select(F.col("class").alias("b"), F.col(key).alias("kb"))
-    linked = links.join(left, "a").join(right, "b").select("ka", "kb")
-    shared = left.join(right, F.col("a") == F.col("b")).where("ka < kb").select("ka", "kb")
-    out = linked.unionByName(shared).where("ka <> kb")
+    # a class whose keys differ is linked with itself
+    links = links.unionByName(mine.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    sized = links.join(blocks.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(blocks.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
+    cells = sized.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = rows.select(F.col("class").alias("a"), F.col("own").alias("i"), F.col("k").alias("ka"))
+    right = rows.select(F.col("class").alias("b"), F.col("own").alias("j"), F.col("k").alias("kb"))
+    out = cells.select("a", "b", "i", "j").join(left, ["a", "i"]).join(right, ["b", "j"]).where("ka <> kb")
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()

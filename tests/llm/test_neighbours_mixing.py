@@ -47,6 +47,35 @@ def test_copies_nulls_models_and_blocks(spark, rows, monkeypatch):
     assert got == want and ("a", "b") in got
 
 
+def test_every_model_is_searched_in_waves(spark, monkeypatch):
+    """300 models, a few to a wave."""
+    monkeypatch.setattr(neighbours, "WAVE_BYTES", 100 * 2 * 3 * 3 * 4)
+    items = [(f"{c}{i}", v, f"m{i}") for i in range(300) for c, v in (("a", [1, 0, 0]), ("b", [1, 0.1, 0]), ("c", [0, 1, 0]))]
+    pairs, members = neighbours.neighbours(frame(spark, items), "content_hash", "embedding", "model", k=2, floor=0.9)
+    got = {(r["a"], r["b"]) for r in neighbours.similar_keys(pairs, members, "content_hash").collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(300)}
+
+
+def test_large_models_have_their_lists_divided(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LISTS", 8)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1500, 16))
+    items = [(f"k{i}", v, "m") for i, v in enumerate(np.concatenate([base, base[:300] + 0.05 * rng.normal(size=(300, 16))]))]
+    pairs, members = neighbours.neighbours(frame(spark, items), "content_hash", "embedding", "model", k=10, list_size=32, probes=6, floor=0.9)
+    links = {(r["a"], r["b"]) for r in neighbours.similar_keys(pairs, members, "content_hash").collect()}
+    true = {tuple(sorted((a, b))) for a, w in brute(items, 10)["m"].items() for s, b in w if s >= 0.9}
+    assert len(true) >= 300 and len(links & true) / len(true) >= 0.95 and links <= true
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "KEYS", 4)
+    items = [(f"a{i:02}", [1, 0], "m") for i in range(15)] + [(f"b{i}", [1, 0.05], "m") for i in range(6)] + [("z", [0, 1], "m")]
+    pairs, members = neighbours.neighbours(frame(spark, items), "content_hash", "embedding", "model", k=3, floor=0.9)
+    got = [(r["a"], r["b"]) for r in neighbours.similar_keys(pairs, members, "content_hash").collect()]
+    names = sorted(k for k, *_ in items if k != "z")
+    assert sorted(got) == [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+
+
 def test_no_vectors(spark, rows):
     pairs, members = neighbours.neighbours(frame(spark, [("a", None, "m")]), "content_hash", "embedding", "model")
     assert rows(neighbours.similar_keys(pairs, members, "content_hash")) == []
@@ -105,7 +134,7 @@ def test_mix_of_nothing(spark):
 def test_groups_beyond_the_indexed_ones_are_compared(spark, monkeypatch):
     from tessera.llm import neighbours as own
 
-    monkeypatch.setattr(own, "MODELS", 1)
+    monkeypatch.setattr(own, "WAVE_BYTES", 1)  # a wave a model; no model goes without an index
     monkeypatch.setattr(own, "BLOCK", 2)
     data = [(f"a{i}", "many", [1.0, float(i), 2.0]) for i in range(6)]
     data += [("x", "few", [1.0, 0.0]), ("y", "few", [1.0, 0.1]), ("z", "few", [-1.0, 0.0]), ("w", "few", [0.0, 1.0]), ("v", "few", [1.0, 0.05])]

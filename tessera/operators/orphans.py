@@ -4,14 +4,14 @@ A feed of references, record arrivals and record deletions is folded into three
 whose merges are associative (min of times, max of deletion marks), so batches may come late,
 repeated or in any order:
 
-* ``provides`` (relation, key, entity, at): the parent index; entity is the record that gives the key,
+* ``provides`` (relation, key, entity, at): the parent index; entity is the record that gives the key, null if it can't be deleted,
 * ``refs`` (relation, key, holder, entity, at): who refers to a key; entity is the record that
   holds the reference, null if that can't be deleted,
-* ``dead`` (entity): deleted records,
+* ``dead`` (entity, at): deleted records,
 
-and the derived ``pending`` (relation, key, holder, at, cause). One step re-evaluates only the keys
-that its batch touches: new references probe the parent index, arriving parents resolve waiting
-orphans, deletions reopen them.
+and the derived ``pending`` (relation, key, holder, at, cause). The first three only grow by what a batch brings (repeated rows are
+merged when they are read). One step re-evaluates only the keys that its batch touches: new references probe the parent index, arriving
+parents resolve waiting orphans, deletions reopen them.
 
 Defined cases: null or blank keys are no references and no parents; a null time never makes
 a reference late; repeated rows count once with their earliest time; empty feeds give empty state;
@@ -25,12 +25,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import clean_key, cut
+from tessera.session import bounded, clean_key, cut
 
 KEY = ["relation", "key"]
 GRACE_HOURS = 24
-#: Keys with more references than this are spread over SALTS; there are at most rows / HOT_ROWS.
+#: Keys with more references than this, and than a MOST_HOT-th of all, are spread over SALTS; so there are at most MOST_HOT.
 HOT_ROWS = 200_000
+MOST_HOT = 20_000
+#: Keys a batch touches up to which they are broadcast.
+TOUCHED = 1_000_000
 SALTS = 64
 
 
@@ -46,27 +49,38 @@ class Feed:
 @dataclass
 class OrphanState(Feed):
     pending: DataFrame
+    #: which tables aren't files of their own yet
+    loose: tuple[str, ...] = ("refs", "provides", "dead", "pending")
 
     def written(self) -> OrphanState:
         """The state as files in the shared folder."""
-        return OrphanState(*map(cut, (self.refs, self.provides, self.dead, self.pending)))
+        tables = {t: getattr(self, t) for t in ("refs", "provides", "dead", "pending")}
+        return OrphanState(**{t: cut(df) if t in self.loose else df for t, df in tables.items()}, loose=())
 
 
-def _merge(old: DataFrame | None, new: DataFrame, by: list[str]) -> DataFrame:
-    rows = new if old is None else old.unionByName(new)
+REF, PROVIDE = ["relation", "key", "holder", "entity"], ["relation", "key", "entity"]
+
+
+def _merge(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("at").alias("at"))
 
 
 def _hot(refs: DataFrame) -> DataFrame:
-    return F.broadcast(refs.groupBy(*KEY).count().where(F.col("count") > HOT_ROWS).select(*KEY, F.lit(True).alias("hot")))
+    most = max(HOT_ROWS, refs.count() // MOST_HOT)
+    return F.broadcast(refs.groupBy(*KEY).count().where(F.col("count") > most).select(*KEY, F.lit(True).alias("hot")))
+
+
+def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose record isn't deleted. Those without a record can't be and stay out of the join, where they would be one key."""
+    return rows.where("entity IS NULL").unionByName(rows.where("entity IS NOT NULL").join(gone, "entity", "left_anti").select(*rows.columns))
 
 
 def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours: int = GRACE_HOURS) -> DataFrame:
     """Orphans among refs: key without a living parent ("absent") or with one that came more than
     grace_hours after the reference ("late")."""
     gone = dead.select("entity").distinct()
-    living = provides.join(gone, "entity", "left_anti").groupBy(*KEY).agg(F.min("at").alias("parent_at"))
-    asking = refs.join(gone, "entity", "left_anti")
+    living = _merge(_alive(provides, gone), KEY).withColumnRenamed("at", "parent_at")
+    asking = _alive(refs, gone)
     hot = _hot(refs)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("holder"), F.lit(SALTS))).otherwise(0).cast("int")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -77,23 +91,39 @@ def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours:
     return asking.join(living, [*KEY, "salt"], "left").withColumn("cause", cause).where("cause IS NOT NULL").select("relation", "key", "holder", "at", "cause")
 
 
+def touched_keys(state: Feed, batch: Feed) -> DataFrame:
+    """The keys whose references or parents a batch may change."""
+    newly = batch.dead.select("entity").distinct().join(state.dead.select("entity"), "entity", "left_anti")
+    held = lambda rows: rows.where("entity IS NOT NULL").join(newly, "entity", "left_semi").select(*KEY)
+    keys = batch.refs.select(*KEY).unionByName(batch.provides.select(*KEY))
+    for table in (state.refs, state.provides):
+        keys = keys.unionByName(held(table))
+    return keys.distinct()
+
+
 def advance(state: OrphanState | None, batch: Feed, grace_hours: int = GRACE_HOURS) -> OrphanState:
     """The state after one more batch."""
-    refs = _merge(state and state.refs, batch.refs, ["relation", "key", "holder", "entity"])
-    provides = _merge(state and state.provides, batch.provides, ["relation", "key", "entity"])
-    dead = batch.dead if state is None else state.dead.unionByName(batch.dead).distinct()
+    dead = batch.dead.groupBy("entity").agg(F.min("at").alias("at"))
     if state is None:
-        return OrphanState(refs, provides, dead, evaluate(refs, provides, dead, grace_hours))
-    newly = batch.dead.join(state.dead, "entity", "left_anti").distinct()
-    touched = (
-        batch.refs.select(*KEY)
-        .unionByName(batch.provides.select(*KEY))
-        .unionByName(provides.join(newly, "entity", "left_semi").select(*KEY))
-        .unionByName(refs.join(newly, "entity", "left_semi").select(*KEY))
-        .distinct()
-    )
-    again = evaluate(refs.join(touched, KEY, "left_semi"), provides.join(touched, KEY, "left_semi"), dead, grace_hours)
-    return OrphanState(refs, provides, dead, state.pending.join(touched, KEY, "left_anti").unionByName(again))
+        refs, provides = cut(_merge(batch.refs, REF)), cut(_merge(batch.provides, PROVIDE))
+        return OrphanState(refs, provides, dead, evaluate(refs, provides, dead, grace_hours), ("dead", "pending"))
+    keys = cut(touched_keys(state, batch))
+    touched = bounded(keys, TOUCHED)
+    both = Feed(state.refs.unionByName(batch.refs.select(*state.refs.columns)), state.provides.unionByName(batch.provides.select(*state.provides.columns)), state.dead.unionByName(dead))
+    refs, provides = (cut(_merge(rows.join(touched, KEY, "left_semi"), by)) for rows, by in ((both.refs, REF), (both.provides, PROVIDE)))
+    again = evaluate(refs, provides, both.dead, grace_hours)
+    return OrphanState(both.refs, both.provides, both.dead, state.pending.join(touched, KEY, "left_anti").unionByName(again))
+
+
+def replay(feed: Feed, times: list[str]) -> tuple[OrphanState, list[DataFrame]]:
+    """The state after a feed that comes in steps, the first up to the first time and so on, and the counts after each step."""
+    state, history = None, []
+    for step, (lower, upper) in enumerate(zip([None, *times], [*times, None], strict=True)):
+        state = advance(state, feed_until(feed, lower, upper))
+        if upper is not None:
+            state = state.written()
+        history.append(counts(state.pending).select(F.lit(step).alias("step"), "*"))
+    return state, history
 
 
 def _epoch_ms(column: str) -> Column:
@@ -105,16 +135,16 @@ def index_feed(branch_chunks: DataFrame, chunks: DataFrame, chunk_embeddings: Da
     content hash as another; a mark in deleted_at makes it dead."""
     none = F.lit(None).cast("string")
     members = branch_chunks.select(F.lit("branch_chunks").alias("relation"), clean_key("chunk_id").alias("key"), clean_key("branch").alias("holder"), none.alias("entity"), F.col("added_at").alias("at"))
-    rows = chunks.select(clean_key("chunk_id").alias("entity"), clean_key("content_hash").alias("hash"), F.col("indexed_at").alias("at"), F.col("deleted_at").isNotNull().alias("deleted"))
+    rows = chunks.select(clean_key("chunk_id").alias("entity"), clean_key("content_hash").alias("hash"), F.col("indexed_at").alias("at"), "deleted_at")
     vectors = chunk_embeddings.select(clean_key("content_hash").alias("key"), clean_key("embedding_input_hash").alias("holder"), _epoch_ms("created_at").alias("at"))
     by_chunk = rows.select(F.lit("chunks").alias("relation"), F.col("hash").alias("key"), F.col("entity").alias("holder"), "entity", "at")
     by_vector = vectors.select(F.lit("chunk_embeddings").alias("relation"), "key", "holder", none.alias("entity"), "at")
     refs = members.unionByName(by_chunk).unionByName(by_vector).where("key IS NOT NULL AND holder IS NOT NULL")
     ids = rows.select(F.lit("branch_chunks").alias("relation"), F.col("entity").alias("key"), "entity", "at")
     hashes = rows.select(F.lit("chunk_embeddings").alias("relation"), F.col("hash").alias("key"), "entity", "at")
-    stored = vectors.select(F.lit("chunks").alias("relation"), "key", F.concat(F.lit("vector:"), "holder").alias("entity"), "at")
+    stored = vectors.select(F.lit("chunks").alias("relation"), "key", none.alias("entity"), "at")
     provides = ids.unionByName(hashes).unionByName(stored).where("key IS NOT NULL")
-    return Feed(refs, provides, rows.where("deleted AND entity IS NOT NULL").select("entity").distinct())
+    return Feed(refs, provides, rows.where("deleted_at IS NOT NULL AND entity IS NOT NULL").select("entity", F.col("deleted_at").alias("at")))
 
 
 def found(pending: DataFrame) -> DataFrame:
@@ -140,7 +170,7 @@ def feed_until(feed: Feed, lower: str | None, upper: str | None) -> Feed:
         keep = low & high
         return df.where(F.coalesce(keep, F.lit(lower is None)))
 
-    return Feed(part(feed.refs), part(feed.provides), feed.dead)
+    return Feed(part(feed.refs), part(feed.provides), part(feed.dead))
 
 
 def empty_state(spark: SparkSession) -> OrphanState:
@@ -148,6 +178,6 @@ def empty_state(spark: SparkSession) -> OrphanState:
     return OrphanState(
         make("relation string, key string, holder string, entity string, at timestamp_ntz"),
         make("relation string, key string, entity string, at timestamp_ntz"),
-        make("entity string"),
+        make("entity string, at timestamp_ntz"),
         make("relation string, key string, holder string, at timestamp_ntz, cause string"),
     )

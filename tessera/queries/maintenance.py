@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.catalogue import query
 from tessera.operators import orphans, snapshots
@@ -33,9 +34,16 @@ def _feed(spark: SparkSession, root: str) -> orphans.Feed:
     return orphans.index_feed(*(table(spark, root, t) for t in ("branch_chunks", "chunks", "chunk_embeddings")))
 
 
+def _last(spark: SparkSession, root: str, unit: str) -> list[str]:
+    """When the last day or month of the memberships begins."""
+    last = table(spark, root, "branch_chunks").agg(F.date_trunc(unit, F.max("added_at")).alias("t")).first()["t"]
+    return [str(last)] if last else []
+
+
 @query("p1_found", ORPHAN_CTES + "SELECT DISTINCT relation AS table_name, holder AS holder_key, key AS missing_key FROM pending")
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return orphans.found(orphans.advance(None, _feed(spark, root)).pending)
+    """Read off the state replayed in two steps: all but the last day, then what came since."""
+    return orphans.found(orphans.replay(_feed(spark, root), _last(spark, root, "day"))[0].pending)
 
 
 @query(
@@ -46,11 +54,27 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 FROM pending GROUP BY ALL""",
 )
 def p1_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Replays the feed in two batches, the first half year and the rest: the second one resolves
-    and reopens what the first left pending."""
-    feed, cutoff = _feed(spark, root), "2025-07-01"
-    state = orphans.advance(None, orphans.feed_until(feed, None, cutoff)).written()
-    return orphans.counts(orphans.advance(state, orphans.feed_until(feed, cutoff, None)).pending)
+    """Counts of the state replayed in two steps, up to the last month and that month."""
+    return orphans.counts(orphans.replay(_feed(spark, root), _last(spark, root, "month"))[0].pending)
+
+
+COUNTED = """relation AS table_name, strftime(seen, '%Y-%m') AS month, count(*)::BIGINT AS n_orphans,
+  sum(CASE WHEN cause = 'absent' THEN 1 ELSE 0 END)::BIGINT AS n_absent, sum(CASE WHEN cause = 'late' THEN 1 ELSE 0 END)::BIGINT AS n_late
+FROM pending GROUP BY ALL"""
+LAST_MONTH = "(SELECT date_trunc('month', max(added_at)) FROM branch_chunks)"
+BEFORE = (
+    ORPHAN_CTES.replace("FROM chunks)", f"FROM chunks WHERE indexed_at IS NULL OR indexed_at < {LAST_MONTH})")
+    .replace("FROM chunk_embeddings GROUP", f"FROM chunk_embeddings WHERE make_timestamp(created_at * 1000) < {LAST_MONTH} GROUP")
+    .replace("FROM branch_chunks GROUP", f"FROM branch_chunks WHERE added_at IS NULL OR added_at < {LAST_MONTH} GROUP")
+    .replace("SELECT DISTINCT id FROM c WHERE deleted_at IS NOT NULL", f"SELECT DISTINCT lower(trim(chunk_id, chr(9)||chr(10)||chr(13)||' ')) AS id FROM chunks WHERE deleted_at < {LAST_MONTH}")
+)
+
+
+@query("p1_history", f"SELECT * FROM ({BEFORE} SELECT 0::INT AS step, {COUNTED}) UNION ALL SELECT * FROM ({ORPHAN_CTES} SELECT 1::INT AS step, {COUNTED})")
+def p1_history(spark: SparkSession, root: str) -> DataFrame:
+    """The counts after each of the two steps of p1_counts: the second resolves, adds and reopens."""
+    first, second = orphans.replay(_feed(spark, root), _last(spark, root, "month"))[1]
+    return first.unionByName(second)
 
 
 TREE_CTES = r"""
@@ -76,6 +100,4 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 @query("p3_counts", TREE_CTES + "SELECT repo, branch, snapshot_no, change_kind, count(*)::BIGINT AS n FROM changes GROUP BY ALL")
 def p3_counts(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return snapshots.tree_changes(table(spark, root, "merkle_nodes")).groupBy("repo", "branch", "snapshot_no", "change_kind").agg(F.count("*").alias("n"))

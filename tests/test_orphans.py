@@ -82,3 +82,41 @@ def test_stream_gives_the_same_as_a_batch(spark, rows, tmp_path):
 def test_counts_by_month(spark, rows):
     got = rows(o.counts(o.advance(None, feed(spark, *CASE)).pending))
     assert ("branch_chunks", "2025-01", 3, 2, 1) in got and sum(r[2] for r in got) == len(WANT)
+
+
+def test_deletions_reopen_and_history_is_kept(spark, rows, tmp_path):
+    """The second batch deletes what the first one found; only its keys are looked at again."""
+    first = feed(spark, [("main", "c1", 0), ("main", "c2", 0)], [("c1", None, 0, None)], [])
+    second = feed(spark, [], [("c1", None, 0, 40), ("c2", None, 1, None)], [])
+    state = o.advance(None, first)
+    assert rows(o.found(state.pending)) == [("branch_chunks", "main", "c2")]
+    after = o.advance(state.written(), second)
+    assert rows(o.found(after.pending)) == [("branch_chunks", "main", "c1")]
+    path = str(tmp_path / "s")
+    write = orphan_stream.sink(spark, path)
+    for n, f in enumerate((first, second, second)):
+        write(orphan_stream.changes(f), min(n, 1))
+    assert rows(o.found(orphan_stream.load(spark, path, 1).pending)) == [("branch_chunks", "main", "c1")]
+    assert rows(orphan_stream.history(spark, path).select("batch", "n_orphans")) == [(0, 1), (1, 1)]
+
+
+def test_stream_state_is_compacted(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(orphan_stream, "COMPACT", 2)
+    path = str(tmp_path / "s")
+    write = orphan_stream.sink(spark, path)
+    for n in range(4):
+        write(orphan_stream.changes(feed(spark, *[part[n::4] for part in CASE])), n)
+    assert rows(o.found(orphan_stream.load(spark, path, 3).pending)) == sorted(WANT)
+    assert "delta/refs/batch=0" not in "".join(orphan_stream.load(spark, path, 3).refs.inputFiles())
+
+
+def test_references_without_a_record_stay_out_of_the_join(spark):
+    """A third of all rows has no record; no partition gets them all."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gone = spark.createDataFrame([("x",)], "entity string")
+        held = spark.range(9_000).selectExpr("'r' AS relation", "cast(id AS string) AS key", "'h' AS holder", "if(id % 3 = 0, NULL, cast(id AS string)) AS entity", "timestamp_ntz'2025-01-01 00:00:00' AS at")
+        sizes = [len(p) for p in o._alive(held, gone).select("key").rdd.glom().collect()]
+        assert sum(sizes) == 9_000 and max(sizes) < 9_000 / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import glob_regex
@@ -104,3 +104,28 @@ def best_enclosing(symbols: DataFrame, chunks: DataFrame, file: list[str], symbo
         F.col("c.chunk_id").alias("chunk_id"),
     )
     return s.join(c, on & inside).groupBy(F.col(f"s.{symbol}").alias(symbol)).agg(F.min(rank).alias("r")).select(symbol, F.col("r.chunk_id").alias("chunk_id"))
+
+
+def missing_keys(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't stored."""
+    return rows.join(stored.select(key).distinct(), key, "left_anti")
+
+
+def cap_drops(chunks: DataFrame, file: list[str], most: int) -> DataFrame:
+    """How many chunks of each file go beyond the most a file may have."""
+    return chunks.groupBy(*file).agg((F.count("*") - most).alias("dropped")).where("dropped > 0")
+
+
+def kept_under_cap(chunks: DataFrame, file: list[str], order: list[str], most: int) -> DataFrame:
+    """The first chunks of each file, up to the most it may have."""
+    return chunks.withColumn("_n", F.row_number().over(Window.partitionBy(*file).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def diff_by_key(old: DataFrame, new: DataFrame, every: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Per group of ``every``: keys in both versions, only in the new and only in the old one."""
+    mark = lambda df, o, n: df.select(*group, key, F.lit(o).alias("o"), F.lit(n).alias("n"))
+    rows = mark(old, 1, 0).unionByName(mark(new, 0, 1)).unionByName(mark(every, 0, 0))
+    per = rows.groupBy(*group, key).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    o, n = F.col("o") == 1, F.col("n") == 1
+    return per.groupBy(*group).agg(count(o & n).alias("kept"), count(n & ~o).alias("added"), count(o & ~n).alias("removed"))

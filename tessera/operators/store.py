@@ -103,3 +103,16 @@ def latest_active(versions: DataFrame) -> DataFrame:
 def prune_runs(runs: DataFrame, before: str) -> DataFrame:
     """Without completed runs older than a time."""
     return runs.where(~F.coalesce((F.col("status") == "completed") & (F.col("completed_at") < F.lit(before).cast("timestamp_ntz")), F.lit(False)))
+
+
+def lookup_orphans(rows: DataFrame, referenced: DataFrame, key: str) -> DataFrame:
+    """Rows whose key nothing refers to."""
+    return rows.join(referenced.select(key).distinct(), key, "left_anti")
+
+
+def orphan_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end that isn't among ids (id); an unresolved end is none."""
+    known = ids.select(F.col("id").alias("_id")).distinct()
+    lost = edges.join(known, edges["from_symbol_id"] == known["_id"], "left_anti")
+    kept = edges.join(known, edges["from_symbol_id"] == known["_id"], "left_semi").where("to_symbol_id IS NOT NULL")
+    return lost.unionByName(kept.join(known, kept["to_symbol_id"] == known["_id"], "left_anti"))

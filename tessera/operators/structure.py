@@ -82,3 +82,17 @@ def handoff(edges: DataFrame, ids: DataFrame) -> DataFrame:
     outside = out.where("to_symbol_id IS NOT NULL").join(a, out["to_symbol_id"] == a["_i"], "left_anti")
     rows = back.select(F.lit("caller").alias("role"), F.col("from_symbol_id").alias("id")).unionByName(outside.select(F.lit("callee").alias("role"), F.col("to_symbol_id").alias("id"))).unionByName(out.where("to_symbol_id IS NULL").select(F.lit("unresolved").alias("role"), F.col("target_name").alias("id")))
     return rows.groupBy("role", "id").agg(F.count("*").alias("calls"))
+
+
+def frontier(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """One level of a walk both ways: the edges into and out of ids, with their direction."""
+    i = ids.select(F.col("id").alias("_i")).distinct()
+    into = edges.join(i, edges["to_symbol_id"] == i["_i"], "left_semi").withColumn("direction", F.lit("caller"))
+    out = edges.join(i, edges["from_symbol_id"] == i["_i"], "left_semi").withColumn("direction", F.lit("callee"))
+    return into.unionByName(out)
+
+
+def chunks_of_symbols(links: DataFrame, chunks: DataFrame, membership: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks linked with the wanted symbols (symbol_id) that are on the branch of membership."""
+    mine = links.join(wanted.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    return mine.join(chunks, "chunk_id").join(membership.select("chunk_id").distinct(), "chunk_id", "left_semi")

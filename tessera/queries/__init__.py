@@ -1,3 +1,3 @@
 """Importing this package fills tessera.catalogue."""
 
-from tessera.queries import catalog, changes, evaluation, graphs, maintenance, retrieval, values  # noqa: F401
+from tessera.queries import index_store, catalog, changes, evaluation, graphs, maintenance, retrieval, values  # noqa: F401

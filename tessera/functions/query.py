@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import intent
+
 # Weights and limits of the search recipes by task.
 RECIPES = [
     # task, bm25, dense, second dense, rerank pool, graph depth
@@ -14,21 +16,15 @@ RECIPES = [
     ("test_debug", 0.4, 0.2, 0.4, 20, 1),
     ("semantic", 0.1, 0.7, 0.2, 0, 0),
 ]
-# Phrases that tell a task; words end where ASCII letters, digits and underscores do.
-BUG = r"(?i)(?<![A-Za-z0-9_])(error|exception|traceback|stack trace|crash(es|ed)?|fails?|failing|broken|bug|panic|segfault)(?![A-Za-z0-9_])"
-TEST = r"(?i)(?<![A-Za-z0-9_])(tests?|specs?|fixtures?|mock(s|ed)?|assert(ion)?s?)(?![A-Za-z0-9_])"
-DEFINITION = r"(?i)(?<![A-Za-z0-9_])(where is|defin(e|ed|ition)|declar(e|ed|ation)|implement(ed|ation)? of|signature)(?![A-Za-z0-9_])"
-CALLERS = r"(?i)(?<![A-Za-z0-9_])(who calls|callers? of|called from|used by|references? to)(?![A-Za-z0-9_])"
-CALLEES = r"(?i)(?<![A-Za-z0-9_])(what does .* call|callees? of|calls made by|depends on)(?![A-Za-z0-9_])"
 
 
 def task_type(query: Column) -> Column:
-    """definition, test_debug, bug, semantic (relationships) or general; the first that fits."""
-    return F.when(query.rlike(TEST) & query.rlike(BUG), "test_debug").when(query.rlike(DEFINITION), "definition").when(query.rlike(BUG), "bug").when(query.rlike(TEST), "test_debug").otherwise("general")
+    """See tessera.functions.intent."""
+    return intent.task_type(query)
 
 
 def relation(query: Column) -> Column:
-    return F.when(query.rlike(CALLEES), "callees").when(query.rlike(CALLERS), "callers")
+    return intent.relation(query)
 
 
 def recipes(spark: SparkSession) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Boosts by chunk type, penalties and bonuses of the ranking.
-TYPE_BOOSTS = {"function": 0.2, "method": 0.2, "class": 0.2, "interface": 0.1, "type": 0.1, "other": -0.1, "module": -0.12}
+from tessera.functions import identifiers
+
+# Penalties of the ranking.
 TEST_FACTOR, COARSE_FACTOR = 0.05, 0.75
 
 
@@ -23,7 +24,7 @@ def fusion_weights(bm25: Column, dense: Column, hybrid: float) -> tuple[Column,
 
 
 def type_boost(kind: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_BOOSTS.items() for x in kv]), kind), F.lit(0.0))
+    return identifiers.type_boost(kind)
 
 
 def task_factor(task: Column, is_test: Column, coarse: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import identifiers
+
 RAW_TOKEN = r"[\p{L}\p{N}_/.\\-]+"
-# Path parts and extensions the ranking treats apart, stop words, and languages by extension.
+# Path parts and extensions the ranking treats apart, and languages by extension.
 TEST_OR_DOC = ["/tests/", "__tests__", ".test.", ".spec.", "/docs/", "README", "CHANGELOG", ".md"]
-STOP_WORDS = "a an and are as at be but by can do does for from how in into is it its of on or that the their then there these this to was what when where which who why will with you your".split()
 LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "py": "python", "pyi": "python", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sh": "bash", "bash": "bash", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown"}
 
 
@@ -38,9 +39,8 @@ def identifier_words(name: str | Column) -> Column:
 
 
 def ranking_tokens(text: str | Column) -> Column:
-    """Distinct lower-case ASCII words longer than one character, without stop words."""
-    words = F.split(F.lower(_col(text)), r"[^a-z0-9_]+")
-    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 1), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    """See tessera.functions.identifiers."""
+    return identifiers.tokens(_col(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -79,17 +79,26 @@ def ancestors(path: str | Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A glob as an anchored regular expression: ** crosses directories, * and ? don't, {a,b} is a choice."""
-    out, i = "", 0
+    """A glob as an anchored regular expression: ** crosses directories, * doesn't, ? is any character, {a,b} a choice."""
+    out, i, depth = "", 0, 0
     if pattern.startswith("**/"):
         out, i = "(?:.*/)?", 3
     while i < len(pattern):
         c = pattern[i]
+        step = 1
         if pattern[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
-            continue
-        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}.get(c, "\\" + c if c in ".+()[]^$|\\" else c)
-        i += 1
+            out, step = out + ".*", 2
+        elif c in "*?":
+            out += "[^/]*" if c == "*" else "."
+        elif c == "{" and "}" in pattern[i:]:
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += "\\" + c if c in ".+()[]^$|\\{}" else c
+        i += step
     return f"^{out}$"
 
 

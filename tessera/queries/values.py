@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalogue import query
 from tessera.functions import query as q
 from tessera.functions import text as t
+from tessera.queries.understanding import TASK
 from tessera.session import table
 
 WORDS = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(name, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu}+)(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[^\p{L}\p{N}]+', ' ', 'g'))"
@@ -20,10 +21,8 @@ def identifier_variants(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("name", "words", F.replace(w, F.lit(" "), F.lit("")).alias("compact"), F.replace(w, F.lit(" "), F.lit("_")).alias("snake"), F.replace(w, F.lit(" "), F.lit("-")).alias("kebab"))
 
 
-@query("task_types", r"""
-WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL),
-f AS (SELECT doc_id, regexp_matches(t, '(?i)\b(error|exception|traceback|stack trace|crash(es|ed)?|fails?|failing|broken|bug|panic|segfault)\b') AS bug, regexp_matches(t, '(?i)\b(tests?|specs?|fixtures?|mock(s|ed)?|assert(ion)?s?)\b') AS test, regexp_matches(t, '(?i)\b(where is|defin(e|ed|ition)|declar(e|ed|ation)|implement(ed|ation)? of|signature)\b') AS def FROM d)
-SELECT doc_id, CASE WHEN test AND bug THEN 'test_debug' WHEN def THEN 'definition' WHEN bug THEN 'bug' WHEN test THEN 'test_debug' ELSE 'general' END AS task FROM f""")
+@query("task_types", rf"""
+WITH d AS (SELECT doc_id, text AS query FROM documents WHERE text IS NOT NULL) SELECT doc_id, {TASK} AS task FROM d""")
 def task_types(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", q.task_type(F.col("text")).alias("task"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions.text import glob_regex, language_of
 
 # Files whose presence marks a project's root.
-MARKERS = (".git", "package.json", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py", "pom.xml", "build.gradle")
+MARKERS = (".git", "package.json", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py", "requirements.txt", "Gemfile", "composer.json", "pom.xml", "build.gradle", "CMakeLists.txt", "Makefile", ".opencode")
 GOLDEN = T.StructType(
     [
         T.StructField("version", T.StringType()),
@@ -24,10 +24,10 @@ GOLDEN = T.StructType(
 
 
 def matches(path: Column, patterns: list[str]) -> Column:
-    """Whether any pattern fits: ``dir/`` is a prefix, others are globs."""
+    """Whether any pattern fits: ``dir/`` is that directory from the root and all in it, others are globs."""
     out = F.lit(False)
     for p in patterns:
-        out = out | (path.startswith(p) | path.contains("/" + p) if p.endswith("/") else path.rlike(glob_regex(p)))
+        out = out | ((path == p[:-1]) | path.startswith(p) if p.endswith("/") else path.rlike(glob_regex(p)))
     return out
 
 
@@ -69,20 +69,22 @@ def golden_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def substituted(value: object, env: dict[str, str] | None = None, key: str = "$root") -> object:
-    """{env:NAME} in the strings of a configuration, replaced; an unset name raises with its place."""
+    """Strings that are {env:NAME} or $NAME as a whole, replaced; an unset name, or such a reference inside a longer
+    string, raises with its place."""
     env = dict(os.environ) if env is None else env
     if isinstance(value, dict):
         return {k: substituted(v, env, f"{key}.{k}") for k, v in value.items()}
     if isinstance(value, list):
         return [substituted(v, env, f"{key}[{i}]") for i, v in enumerate(value)]
     if isinstance(value, str):
-
-        def swap(m: re.Match) -> str:
-            if m[1] not in env:
-                raise KeyError(f"{key}: environment variable {m[1]} is not set")
-            return env[m[1]]
-
-        return re.sub(r"\{env:([A-Za-z_]\w*)\}", swap, value)
+        m = re.fullmatch(r"\{env:([A-Z_][A-Z0-9_]*)\}|\$([A-Z_][A-Z0-9_]*)", value)
+        if m:
+            name = m[1] or m[2]
+            if name not in env:
+                raise KeyError(f"{key}: environment variable {name} is not set")
+            return env[name]
+        if re.search(r"\{env:[^}]+\}", value):
+            raise ValueError(f"{key}: a reference to an environment variable must be the whole string")
     return value
 
 

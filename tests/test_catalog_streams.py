@@ -154,7 +154,20 @@ def test_golden_and_config(spark, tmp_path):
     bad.write_text(json.dumps({"queries": [{"id": "a"}, {"id": "a"}]}))
     with pytest.raises(ValueError, match="repeated"):
         files.golden_queries(spark, str(bad))
-    assert files.substituted({"k": ["{env:A}-x"]}, {"A": "1"}) == {"k": ["1-x"]}
+    assert files.substituted({"k": ["{env:A}", "$A", "$a", "x"]}, {"A": "1"}) == {"k": ["1", "1", "$a", "x"]}
+    with pytest.raises(ValueError, match=r"\$root.k\[0\]"):
+        files.substituted({"k": ["{env:A}-x"]}, {"A": "1"})
     with pytest.raises(KeyError):
         files.substituted("{env:NOPE_NOT_SET}", {})
     assert files.Config(min_score=7, rrf_k=0).min_score == 1.0
+
+
+def test_globs_and_excluded_folders(spark):
+    import re
+
+    from tessera.functions.text import glob_regex
+
+    for pattern, yes, no in (("a,b", "a,b", "a"), ("**/*.{ts,tsx}", "a/b.ts", "b.js"), ("src/?.py", "src/a.py", "src/ab.py"), ("a{b", "a{b", "ab")):
+        assert re.match(glob_regex(pattern), yes) and not re.match(glob_regex(pattern), no)
+    rows = spark.createDataFrame([("docs",), ("docs/a.md",), ("src/docs/a.md",), ("docs2/a",)], "p string")
+    assert sorted(r[0] for r in rows.where(files.matches(F.col("p"), ["docs/"])).collect()) == ["docs", "docs/a.md"]

@@ -56,8 +56,8 @@ def test_paging(spark):
 
 
 def test_scores(spark):
-    r = spark.range(1).select(ranking.sigmoid(F.lit(0.0)), ranking.sigmoid(F.lit(-800.0)), *ranking.fusion_weights(F.lit(-1.0), F.lit(2.0), 0.5), ranking.path_fits(F.lit("a/b.ts"), F.lit("b.ts")), ranking.overlaps(F.lit(1), F.lit(3), F.lit(3), F.lit(9)), query.task_type(F.lit("where is the parser defined")), query.relation(F.lit("who calls parse"))).first()
-    assert tuple(r) == (0.5, 0.0, 0.0, 1.0, True, True, "definition", "callers")
+    r = spark.range(1).select(ranking.sigmoid(F.lit(0.0)), ranking.sigmoid(F.lit(-800.0)), *ranking.fusion_weights(F.lit(-1.0), F.lit(2.0), 0.5), ranking.path_fits(F.lit("a/b.ts"), F.lit("b.ts")), ranking.overlaps(F.lit(1), F.lit(3), F.lit(3), F.lit(9)), query.task_type(F.lit("what calls the parser")), query.relation(F.lit("who calls parse"))).first()
+    assert tuple(r) == (0.5, 0.0, 0.0, 1.0, True, True, "definition", "caller")
     assert ranking.token_budget(8000) == 6400
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 4096, 65536
+#: Bytes of a block's vectors, and similarities a task holds at once.
+BLOCK_BYTES, CELLS = 64 << 20, 4_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -26,7 +27,9 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, query: str, item: str, vect
     within = within or []
     usable = lambda d: d.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
     queries, rows = usable(queries), usable(rows)
-    qb, rb = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(rows.count() / ROW_BLOCK))
+    width = queries.agg(F.max(F.size(vector))).first()[0] or 1
+    block_rows = max(1, BLOCK_BYTES // (8 * width))
+    qb, rb = (max(1, math.ceil(d.count() / block_rows)) for d in (queries, rows))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select(F.col(query).cast("bigint").alias("id"), F.lit(True).alias("asks"), F.col(vector).alias("v"), *within, spread(query, qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
     r = rows.select(F.col(item).cast("bigint").alias("id"), F.lit(False).alias("asks"), F.col(vector).alias("v"), *within, F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), spread(item, rb).alias("rb"))
@@ -37,14 +40,24 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, query: str, item: str, vect
         if not asks.any() or asks.all():
             return pd.DataFrame(out)
         qi, ri = pdf["id"].to_numpy()[asks], pdf["id"].to_numpy()[~asks]
-        sims = _matrix(pdf["v"][asks]) @ _matrix(pdf["v"][~asks]).T
-        sims = np.where(qi[:, None] == ri[None], -np.inf, np.round(sims, 6))
+        left, right = _matrix(pdf["v"][asks]), _matrix(pdf["v"][~asks])
         n = min(k, len(ri))
-        # ties are settled by id
-        best = np.lexsort((np.broadcast_to(ri, sims.shape), -sims), axis=1)[:, :n]
-        score = np.take_along_axis(sims, best, 1).ravel()
-        keep = np.isfinite(score)
-        return pd.DataFrame({"q": np.repeat(qi, n)[keep], "i": ri[best.ravel()][keep], "score": score[keep]})
+        # ties are settled by id: one whole number orders by the rounded score, then by the place of the id
+        place = np.empty(len(ri), np.int64)
+        place[np.argsort(ri, kind="stable")] = np.arange(len(ri))
+        parts = []
+        step = max(1, CELLS // len(ri))
+        for at in range(0, len(qi), step):
+            mine = qi[at : at + step]
+            score = np.rint((left[at : at + step] @ right.T) * 1e6).astype(np.int64)
+            key = score * len(ri) - place
+            key[mine[:, None] == ri[None]] = -np.iinfo(np.int64).max
+            best = np.argpartition(-key, n - 1, axis=1)[:, :n] if n < len(ri) else np.broadcast_to(np.arange(len(ri)), key.shape)
+            rows_ = np.repeat(np.arange(len(mine)), n)
+            cols = best.ravel()
+            keep = key[rows_, cols] != -np.iinfo(np.int64).max
+            parts.append(pd.DataFrame({"q": mine[rows_[keep]], "i": ri[cols[keep]], "score": score[rows_[keep], cols[keep]] / 1e6}))
+        return pd.concat(parts)
 
     found = q.unionByName(r).groupBy(*within, "qb", "rb").applyInPandas(lambda pdf: block(pdf), "q bigint, i bigint, score double")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")

@@ -92,11 +92,17 @@ def collect_garbage(chunks: DataFrame, membership: DataFrame, vectors: DataFrame
     return orphan.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")).unionByName(unused.select(F.lit("vector").alias("kind"), F.col("embedding_input_hash").alias("id")))
 
 
+#: Lines of a bucket: a file's chunks and symbols only meet in the buckets they share.
+LINES = 512
+
+
 def best_enclosing(symbols: DataFrame, chunks: DataFrame, file: list[str], symbol: str) -> DataFrame:
-    """For each symbol (start, end, name) the chunk of its file that contains it: same name first, then the shortest, then by id."""
-    s = symbols.alias("s")
-    c = chunks.alias("c")
-    on = reduce(lambda a, b: a & b, [F.col(f"s.{f}") == F.col(f"c.{f}") for f in file])
+    """For each symbol (start, end, name) the chunk of its file that contains it: same name first, then the shortest, then by id.
+    A chunk is in every bucket of lines it covers, a symbol in that of its first line, so a long file isn't one task."""
+    bucket = lambda c: F.floor(F.col(c) / LINES).cast("int")
+    s = symbols.withColumn("_b", bucket("start_line")).alias("s")
+    c = chunks.withColumn("_b", F.explode(F.sequence(bucket("start_line"), F.greatest(bucket("start_line"), bucket("end_line"))))).alias("c")
+    on = reduce(lambda a, b: a & b, [F.col(f"s.{f}") == F.col(f"c.{f}") for f in [*file, "_b"]])
     inside = (F.col("c.start_line") <= F.col("s.start_line")) & (F.col("c.end_line") >= F.col("s.end_line"))
     rank = F.struct(
         F.when(F.col("c.name").eqNullSafe(F.col("s.name")), 0).otherwise(1).alias("a"),

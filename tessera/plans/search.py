@@ -22,7 +22,7 @@ class Settings:
 
 def lanes(queries: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: DataFrame, s: Settings) -> DataFrame:
     """(query_id, doc_id, lane, rank, score) of the sparse and the dense lane."""
-    index = SparseIndex(docs, "doc_id", "text")
+    index = SparseIndex.of(docs, "doc_id", "text")
     sparse = index.search(query_terms(queries, "query_id", "text"), "query_id", s.lane_size + 1)
     sparse = fusion.top(sparse.where("query_id <> doc_id").drop("rank"), "query_id", [F.col("score").desc(), F.col("doc_id")], s.lane_size)
     near = dense.cosine_topk(query_vectors, vectors, "query_id", "doc_id", "embedding", s.lane_size)

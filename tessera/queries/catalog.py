@@ -88,13 +88,16 @@ def catalog_stats(spark: SparkSession, root: str) -> DataFrame:
     return one(live(spark, root), "chunks", F.count("*")).join(m, how="cross").join(v, how="cross").select("chunks", "memberships", "branches", "vectors")
 
 
-@query("best_enclosing_chunk", LIVE + """, s AS (SELECT DISTINCT pending_id, repo, file_path, symbol_name AS name, start_line, end_line FROM pending_chunks WHERE end_line IS NOT NULL)
-SELECT pending_id, chunk_id FROM (SELECT s.pending_id, lc.chunk_id, row_number() OVER (PARTITION BY s.pending_id ORDER BY CASE WHEN lc.name IS NOT DISTINCT FROM s.name THEN 0 ELSE 1 END, lc.end_line - lc.start_line, lc.chunk_id) AS n
+@query("best_enclosing_chunk", LIVE + """, s AS (SELECT DISTINCT 'p' || pending_id AS symbol, repo, file_path, symbol_name AS name, start_line, end_line FROM pending_chunks WHERE end_line IS NOT NULL UNION ALL SELECT chunk_id, repo, file_path, name, start_line, end_line FROM lc WHERE name IS NOT NULL)
+SELECT symbol, chunk_id FROM (SELECT s.symbol, lc.chunk_id, row_number() OVER (PARTITION BY s.symbol ORDER BY CASE WHEN lc.name IS NOT DISTINCT FROM s.name THEN 0 ELSE 1 END, lc.end_line - lc.start_line, lc.chunk_id) AS n
 FROM s JOIN lc ON s.repo = lc.repo AND s.file_path = lc.file_path AND lc.start_line <= s.start_line AND lc.end_line >= s.end_line) WHERE n = 1""")
 def best_enclosing_chunk(spark: SparkSession, root: str) -> DataFrame:
-    p = table(spark, root, "pending_chunks")
-    symbols = p.select("pending_id", "repo", "file_path", F.col("symbol_name").alias("name"), "start_line", "end_line").distinct().where("end_line IS NOT NULL")
-    return c.best_enclosing(symbols, live(spark, root), ["repo", "file_path"], "pending_id")
+    """The chunk around each symbol: of the pending ones and of those that name a chunk."""
+    chunks = live(spark, root)
+    columns = ["symbol", "repo", "file_path", "name", "start_line", "end_line"]
+    pending = table(spark, root, "pending_chunks").where("end_line IS NOT NULL").select(F.concat(F.lit("p"), "pending_id").alias("symbol"), "repo", "file_path", F.col("symbol_name").alias("name"), "start_line", "end_line").distinct()
+    named = chunks.where("name IS NOT NULL").withColumnRenamed("chunk_id", "symbol").select(columns)
+    return c.best_enclosing(pending.unionByName(named), chunks, ["repo", "file_path"], "symbol")
 
 
 @query("call_site_chunk", LIVE + """SELECT query_id, hit, chunk_id FROM (SELECT r.query_id, r.chunk_id AS hit, lc.chunk_id, row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY lc.end_line - lc.start_line, lc.chunk_id) AS n

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.catalogue import query
 from tessera.operators import graph as g
 from tessera.operators import snapshots, tree
-from tessera.session import table
+from tessera.session import clean_key, table
 
 EDGES = """
 WITH RECURSIVE o AS (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS nxt FROM events),
@@ -43,17 +43,17 @@ def degrees(spark: SparkSession, root: str) -> DataFrame:
     return g.degrees(calls(spark, root))
 
 
-@query("callers_with_context", CALLS + "SELECT dst AS target, s_name AS caller, n_name AS caller_file, count(*)::BIGINT AS sites FROM c JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY ALL")
+@query("callers_with_context", CALLS + "SELECT dst AS target, s_name AS caller, n_name AS caller_file, count(*)::BIGINT AS sites FROM c JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def callers_with_context(spark: SparkSession, root: str) -> DataFrame:
     """Call sites summed by supplier and part before names are joined on."""
-    sites = calls(spark, root).where("l_returnflag = 'R'").groupBy("dst", "l_suppkey").agg(F.count("*").alias("sites"))
+    sites = calls(spark, root).groupBy("dst", "l_suppkey").agg(F.count("*").alias("sites"))
     named = sites.join(table(spark, root, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(spark, root, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return named.groupBy(F.col("dst").alias("target"), F.col("s_name").alias("caller"), F.col("n_name").alias("caller_file")).agg(F.sum("sites").cast("bigint").alias("sites"))
 
 
-@query("callees_batch", CALLS + "SELECT src, count(DISTINCT dst)::BIGINT AS callees, min(l_linenumber)::INTEGER AS first_line FROM c WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY src")
+@query("callees_batch", CALLS + "SELECT src, count(DISTINCT dst)::BIGINT AS callees, min(l_linenumber)::INTEGER AS first_line FROM c WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY src")
 def callees_batch(spark: SparkSession, root: str) -> DataFrame:
-    wanted = table(spark, root, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    wanted = table(spark, root, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
     return calls(spark, root).join(wanted, "l_suppkey", "left_semi").groupBy("src").agg(F.count_distinct("dst").cast("bigint").alias("callees"), F.min("l_linenumber").cast("int").alias("first_line"))
 
 
@@ -119,7 +119,7 @@ def call_chain(spark: SparkSession, root: str) -> DataFrame:
 
 
 RESOLVE = r"""
-WITH s AS (SELECT DISTINCT chunk_id AS id, repo || '/' || file_path AS file, name, symbol_kind AS kind, start_line FROM chunks WHERE name IS NOT NULL AND starts_with(chunk_id, 'chunk_')),
+WITH s AS (SELECT DISTINCT lower(trim(chunk_id, chr(9)||chr(10)||chr(13)||' ')) AS id, repo || '/' || file_path AS file, name, symbol_kind AS kind, start_line FROM chunks WHERE name IS NOT NULL),
 e AS (SELECT DISTINCT pending_id AS id, repo || '/' || file_path AS caller_file, symbol_name AS target_name, CASE WHEN start_byte % 2 = 0 THEN repo || '/' || file_path END AS target_file, CASE WHEN start_line % 3 = 0 THEN symbol_kind END AS target_kind FROM pending_chunks WHERE symbol_name IS NOT NULL),
 m AS (SELECT e.id, e.caller_file, e.target_file, s.id AS sid, s.file, s.start_line FROM e LEFT JOIN s ON e.target_name = s.name AND (e.target_kind IS NULL OR lower(e.target_kind) = lower(s.kind))),
 a AS (SELECT id, count(sid) AS total, count(DISTINCT file) AS files, count(CASE WHEN file = caller_file THEN sid END) AS own,
@@ -132,7 +132,7 @@ SELECT id, target[2] AS to_id, target[3] AS to_file, pass::INTEGER AS pass FROM
 @query("resolve_edges", RESOLVE)
 def resolve_edges(spark: SparkSession, root: str) -> DataFrame:
     name = F.concat_ws("/", "repo", "file_path")
-    s = table(spark, root, "chunks").where("name IS NOT NULL AND startswith(chunk_id, 'chunk_')").select(F.col("chunk_id").alias("id"), name.alias("file"), "name", F.col("symbol_kind").alias("kind"), "start_line").distinct()
+    s = table(spark, root, "chunks").where("name IS NOT NULL").select(clean_key("chunk_id").alias("id"), name.alias("file"), "name", F.col("symbol_kind").alias("kind"), "start_line").distinct()
     p = table(spark, root, "pending_chunks").where("symbol_name IS NOT NULL")
     e = p.select(F.col("pending_id").alias("id"), name.alias("caller_file"), F.col("symbol_name").alias("target_name"), F.when(F.col("start_byte") % 2 == 0, name).alias("target_file"), F.when(F.col("start_line") % 3 == 0, F.col("symbol_kind")).alias("target_kind")).distinct()
     return g.resolve_edges(e, s)

@@ -43,7 +43,7 @@ def _terms(docs: DataFrame) -> DataFrame:
 )
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
     docs = _docs(spark, root)
-    return SparseIndex(docs, "doc_id", "text").search(_terms(docs), "query_id", 10)
+    return SparseIndex.of(docs, "doc_id", "text").search(_terms(docs), "query_id", 10)
 
 
 @query(
@@ -56,7 +56,7 @@ SELECT * FROM (SELECT query_id, doc_id, round(raw / greatest(1.0, top), 6) AS sc
 def bm25_repo_topk(spark: SparkSession, root: str) -> DataFrame:
     """Candidates of one repository only; the corpus figures stay global."""
     docs = _docs(spark, root)
-    return SparseIndex(docs, "doc_id", "text").search(_terms(docs), "query_id", 10, docs.where("repo = 'lumen-index'").select("doc_id"))
+    return SparseIndex.of(docs, "doc_id", "text").search(_terms(docs), "query_id", 10, docs.where("repo = 'lumen-index'").select("doc_id"))
 
 
 @query(
@@ -65,7 +65,7 @@ def bm25_repo_topk(spark: SparkSession, root: str) -> DataFrame:
 )
 def corpus_figures(spark: SparkSession, root: str) -> DataFrame:
     docs = _docs(spark, root)
-    index = SparseIndex(docs, "doc_id", "text")
+    index = SparseIndex.of(docs, "doc_id", "text")
     terms = index.postings.groupBy("term").agg(F.count("*").alias("n")).agg(F.sum("n").cast("bigint").alias("postings"), F.count("*").cast("bigint").alias("terms"))
     sizes = index.docs.agg(F.round(F.avg("len"), 6).alias("avg_length"))  # one row each
     return terms.select(F.lit(index.total).cast("bigint").alias("documents"), "postings", "terms").join(sizes, how="cross")

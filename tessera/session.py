@@ -83,6 +83,7 @@ def release(spark: SparkSession) -> None:
         folder = context._jvm.org.apache.hadoop.fs.Path(context._tessera_dir)
         files = folder.getFileSystem(context._jsc.hadoopConfiguration())
         files.delete(folder, True)
+        context.__dict__.pop("_tessera_indexes", None)
         files.mkdirs(folder)
 
 

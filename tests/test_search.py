@@ -75,3 +75,24 @@ def test_globs():
 
     for glob, path, fits in [("**/*.ts", "a/b.ts", True), ("**/*.ts", "b.ts", True), ("*.ts", "a/b.ts", False), ("src/**/x.{js,ts}", "src/a/b/x.ts", True), ("a?.py", "ab.py", True), ("a.py", "abpy", False)]:
         assert bool(re.match(t.glob_regex(glob), path)) is fits
+
+
+def test_index_is_saved_loaded_and_updated(spark, rows, tmp_path):
+    first = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "gamma")], "i bigint, t string")
+    later = spark.createDataFrame([(2, "delta"), (4, "alpha gamma")], "i bigint, t string")
+    whole = spark.createDataFrame([(1, "alpha beta"), (2, "delta"), (4, "alpha gamma")], "i bigint, t string")
+    SparseIndex(first, "i", "t").save(str(tmp_path / "x"))
+    index = SparseIndex.load(spark, str(tmp_path / "x")).updated(later, "t", spark.createDataFrame([(3,)], "i bigint"))
+    terms = query_terms(spark.createDataFrame([(9, "alpha delta gamma")], "q bigint, t string"), "q", "t")
+    assert index.total == 3
+    assert rows(index.search(terms, "q", 5)) == rows(SparseIndex(whole, "i", "t").search(terms, "q", 5))
+
+
+def test_many_terms_go_by_join_and_give_the_same(spark, rows, monkeypatch):
+    from tessera.operators import sparse
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(60)], "i bigint, t string")
+    terms = query_terms(docs.where("i % 20 = 0").withColumnRenamed("i", "q"), "q", "t")
+    here = rows(SparseIndex(docs, "i", "t").search(terms, "q", 4))
+    monkeypatch.setattr(sparse, "QUERY_TERMS", 1)
+    assert rows(SparseIndex(docs, "i", "t").search(terms, "q", 4)) == here

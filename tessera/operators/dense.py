@@ -1,4 +1,4 @@
-"""Exact vector search of a query set against all rows, in blocks."""
+"""Vector search of a query set against all rows, in blocks: exact, or over one-byte codes with exact reranking."""
 
 from __future__ import annotations
 
@@ -8,12 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a block's vectors, and similarities a task holds at once.
 BLOCK_BYTES, CELLS = 64 << 20, 4_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
+    if isinstance(column.iloc[0], bytes):  # one-byte codes
+        m = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     m = np.array([np.asarray(v, np.float64) for v in column], np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -25,9 +29,10 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, query: str, item: str, vect
 
     Null, empty and all-zero vectors take no part."""
     within = within or []
-    usable = lambda d: d.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
+    coded = isinstance(rows.schema[vector].dataType, T.BinaryType)
+    usable = lambda d: d.where(F.col(vector).isNotNull() if coded else F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
     queries, rows = usable(queries), usable(rows)
-    width = queries.agg(F.max(F.size(vector))).first()[0] or 1
+    width = queries.agg(F.max(F.octet_length(vector) if coded else F.size(vector))).first()[0] or 1
     block_rows = max(1, BLOCK_BYTES // (8 * width))
     qb, rb = (max(1, math.ceil(d.count() / block_rows)) for d in (queries, rows))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -63,3 +68,32 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, query: str, item: str, vect
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
+
+
+def quantised(rows: DataFrame, key: str, vector: str, keep: list[str] | None = None) -> DataFrame:
+    """(key, codes): vectors as one byte a dimension, a quarter of their size, to be written as an index. Null, empty and
+    all-zero vectors have none."""
+    keep = keep or []
+
+    @F.pandas_udf("binary")
+    def codes(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            x = np.asarray(v, np.float64)
+            out.append(np.rint(x / np.abs(x).max() * 127).astype(np.int8).tobytes())
+        return pd.Series(out)
+
+    usable = rows.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
+    return usable.select(key, codes(F.col(vector).cast("array<float>")).alias("codes"), *keep)
+
+
+def quantised_topk(queries: DataFrame, index: DataFrame, rows: DataFrame, query: str, item: str, vector: str, k: int, oversample: int = 4) -> DataFrame:
+    """(query, item, score, rank) as cosine_topk: the best k x oversample by their codes (index), then by exact cosine of the
+    vectors themselves (rows)."""
+    near = cosine_topk(quantised(queries, query, vector), index, query, item, "codes", k * oversample)
+    pairs = near.select(query, item).join(queries.select(query, F.col(vector).alias("_q")), query).join(rows.select(item, F.col(vector).alias("_v")), item)
+    total = lambda a, b: F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    score = F.round(total("_q", "_v") / F.sqrt(total("_q", "_q") * total("_v", "_v")), 6)
+    order = Window.partitionBy(query).orderBy(F.col("score").desc(), item)
+    ranked = pairs.select(query, item, score.alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col("rank") <= k)

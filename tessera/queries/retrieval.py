@@ -9,7 +9,7 @@ from tessera.catalogue import query
 from tessera.operators import dense, fusion
 from tessera.operators.sparse import SparseIndex, query_terms
 from tessera.plans.search import Settings, hybrid, lanes
-from tessera.session import table
+from tessera.session import cut, table
 
 POSTINGS = r"""
 raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_/.\\-]+')) AS w FROM documents),
@@ -88,6 +88,14 @@ def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
     return dense.cosine_topk(_query_vectors(v), v, "query_id", "doc_id", "embedding", 10)
 
 
+@query("quantised_topk", f"WITH c AS ({COSINE}) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM c) WHERE rank <= 10")
+def quantised_topk(spark: SparkSession, root: str) -> DataFrame:
+    """As cosine_topk, over an index of one-byte codes written once and reranked by the vectors."""
+    v = _vectors(spark, root)
+    index = cut(dense.quantised(v, "doc_id", "embedding"))
+    return dense.quantised_topk(_query_vectors(v), index, v, "query_id", "doc_id", "embedding", 10)
+
+
 @query("cosine_label_topk", f"WITH c AS ({COSINE} AND q.label = v.label) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM c) WHERE rank <= 5")
 def cosine_label_topk(spark: SparkSession, root: str) -> DataFrame:
     """The filter holds inside the search: only rows of the query's label are met."""

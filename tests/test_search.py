@@ -96,3 +96,16 @@ def test_many_terms_go_by_join_and_give_the_same(spark, rows, monkeypatch):
     here = rows(SparseIndex(docs, "i", "t").search(terms, "q", 4))
     monkeypatch.setattr(sparse, "QUERY_TERMS", 1)
     assert rows(SparseIndex(docs, "i", "t").search(terms, "q", 4)) == here
+
+
+def test_codes_find_what_the_vectors_find(spark, rows):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 24)))] + [(900, None), (901, [0.0] * 24), (902, [])]
+    v = spark.createDataFrame(data, "i bigint, v array<float>")
+    q = v.where("i % 20 = 0").withColumnRenamed("i", "q")
+    exact = {(r["q"], r["i"]) for r in dense.cosine_topk(q, v, "q", "i", "v", 10).collect()}
+    near = {(r["q"], r["i"]) for r in dense.quantised_topk(q, dense.quantised(v, "i", "v"), v, "q", "i", "v", 10).collect()}
+    assert len(exact & near) / len(exact) >= 0.98
+    assert dense.quantised_topk(q.limit(0), dense.quantised(v, "i", "v"), v, "q", "i", "v", 3).count() == 0

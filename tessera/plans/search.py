@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, fusion
+from tessera.operators import dense, fusion, rerank
 from tessera.operators.sparse import SparseIndex, query_terms
 
 
@@ -38,3 +38,22 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, query_vector
     source = fusion.union_lanes(both, "query_id", "doc_id").select("query_id", "doc_id", "lane")
     ranked = fused.where(F.col("score") >= s.min_score).join(source, ["query_id", "doc_id"])
     return fusion.top(ranked, "query_id", [F.col("score").desc(), F.col("doc_id")], s.limit)
+
+
+def rank_hybrid(lanes_: DataFrame, meta: DataFrame, weights: dict[str, float], limit: int, top_n: int, task: str = "general", preference: str = "auto", rrf_k: int = fusion.RRF_K) -> DataFrame:
+    """(query_id, id, score, place): lanes (query_id, id, lane, rank, score) fused by reciprocal rank, over-fetched, and reranked
+    deterministically by query, name, path and kind (meta: query_id, query, id, path, name, kind)."""
+    fused = fusion.reciprocal_rank_fusion(lanes_, weights, "query_id", "id", rrf_k)
+    size = max(4 * limit, 3 * top_n, 6 * limit)
+    head = fusion.top(fused, "query_id", [F.col("score").desc(), F.col("id")], size, "position")
+    rows = head.join(meta, ["query_id", "id"])
+    order = rerank.deterministic(rows, top_n, task, preference)
+    return rows.select("query_id", "id", "score").join(order.select("query_id", "id", "place"), ["query_id", "id"]).where(F.col("place") <= limit)
+
+
+def rank_one_lane(lane: DataFrame, meta: DataFrame, limit: int, top_n: int, task: str = "semantic", preference: str = "source") -> DataFrame:
+    """The same for one lane whose scores stay: what a search by a snippet of code gives."""
+    head = fusion.top(lane, "query_id", [F.col("score").desc(), F.col("id")], 4 * limit, "position")
+    rows = head.select("query_id", "id", "score", "position").join(meta, ["query_id", "id"])
+    order = rerank.deterministic(rows, top_n, task, preference)
+    return rows.select("query_id", "id", "score").join(order.select("query_id", "id", "place"), ["query_id", "id"]).where(F.col("place") <= limit)

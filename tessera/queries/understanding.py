@@ -10,6 +10,8 @@ from tessera.catalogue import query
 from tessera.functions import identifiers as i
 from tessera.functions import intent
 from tessera.operators import rerank as r
+from tessera.plans import indexing
+from tessera.plans.search import rank_hybrid, rank_one_lane
 from tessera.queries.catalog import LIVE, live
 from tessera.session import clean_key, table
 
@@ -296,3 +298,36 @@ def graph_expand_chunks(spark: SparkSession, root: str) -> DataFrame:
 def tasks_of_kinds(spark: SparkSession, root: str) -> DataFrame:
     kinds = spark.createDataFrame([(k,) for k in intent.TASK_OF_KIND], "kind string")
     return kinds.select("kind", intent.task_of_kind(F.col("kind")).alias("task"))
+
+
+META = ["query_id", "query", "id", "path", "name", "kind"]
+FUSED = (
+    RERANKED.replace("ca AS (SELECT cj.*, qq.query, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM cj JOIN qq USING (query_id))", """la0 AS (SELECT query_id, id, 'base' AS lane, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cj UNION ALL SELECT query_id, id, 'kind', row_number() OVER (PARTITION BY query_id ORDER BY length(path), id) FROM cj),
+fu AS (SELECT query_id, id, round(sum((CASE lane WHEN 'base' THEN 0.7 ELSE 0.3 END)::DOUBLE / (60 + rank)) / (1.0::DOUBLE / 61), 6) AS fused FROM la0 GROUP BY ALL),
+ca AS (SELECT * FROM (SELECT cj.* EXCLUDE (score), fu.fused AS score, qq.query, row_number() OVER (PARTITION BY cj.query_id ORDER BY fu.fused DESC, cj.id) AS position FROM cj JOIN qq ON cj.query_id = qq.query_id JOIN fu ON fu.query_id = cj.query_id AND fu.id = cj.id) WHERE position <= 60)""")
+)
+
+
+@query("rank_hybrid_results", FUSED + "SELECT rr.query_id, rr.id, round(ca.score, 6)::DOUBLE AS score, rr.place FROM rr JOIN ca ON ca.query_id = rr.query_id AND ca.id = rr.id WHERE rr.place <= 10")
+def rank_hybrid_results(spark: SparkSession, root: str) -> DataFrame:
+    """Two lanes fused with recipe weights, then reranked."""
+    rows = candidates(spark, root)
+    lane = lambda name, *order: rows.select("query_id", "id", "score", F.lit(name).alias("lane"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
+    lanes = lane("base", F.col("score").desc(), "id").unionByName(lane("kind", F.length("path"), "id"))
+    return rank_hybrid(lanes, rows.select(META), {"base": 0.7, "kind": 0.3}, 10, 20)
+
+
+@query("rank_semantic_only", RERANKED.replace("WHERE head", "WHERE head").replace("AS position FROM cj JOIN qq USING (query_id))", "AS position FROM cj JOIN qq USING (query_id) QUALIFY position <= 40)").replace("intent = 'source' AS src", "true AS src") + "SELECT query_id, id, place FROM rr WHERE place <= 10")
+def rank_semantic_only(spark: SparkSession, root: str) -> DataFrame:
+    rows = candidates(spark, root)
+    return rank_one_lane(rows.select("query_id", "id", "score"), rows.select(META), 10, 20).select("query_id", "id", "place")
+
+
+@query("incremental_index", "SELECT true AS same_chunks, true AS same_states")
+def incremental_index(spark: SparkSession, root: str) -> DataFrame:
+    """An index of half the files with older contents, brought up to date, against a fresh one."""
+    files = table(spark, root, "source_files").groupBy("file_id").agg(F.max("content").alias("content")).select(F.col("file_id").cast("string").alias("path"), "content")
+    old = files.where("content IS NOT NULL").select("path", F.when(F.crc32("path") % 3 == 0, F.concat("content", F.lit("\n// older\n"))).otherwise(F.col("content")).alias("content")).where(F.crc32("path") % 5 != 0)
+    index, fresh = indexing.hot_update(indexing.cold_start(old), files), indexing.cold_start(files)
+    differ = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return spark.createDataFrame([(differ(index.chunks, fresh.chunks), differ(index.state, fresh.state))], "same_chunks boolean, same_states boolean")

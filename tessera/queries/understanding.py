@@ -303,18 +303,18 @@ def tasks_of_kinds(spark: SparkSession, root: str) -> DataFrame:
 META = ["query_id", "query", "id", "path", "name", "kind"]
 FUSED = (
     RERANKED.replace("ca AS (SELECT cj.*, qq.query, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM cj JOIN qq USING (query_id))", """la0 AS (SELECT query_id, id, 'base' AS lane, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cj UNION ALL SELECT query_id, id, 'kind', row_number() OVER (PARTITION BY query_id ORDER BY length(path), id) FROM cj),
-fu AS (SELECT query_id, id, round(sum((CASE lane WHEN 'base' THEN 0.7 ELSE 0.3 END)::DOUBLE / (60 + rank)) / (1.0::DOUBLE / 61), 6) AS fused FROM la0 GROUP BY ALL),
+fu AS (SELECT query_id, id, round(sum((CASE lane WHEN 'base' THEN 0.6 ELSE 0.2 END)::DOUBLE / (60 + rank)) / (0.8::DOUBLE / 61), 6) AS fused FROM la0 GROUP BY ALL),
 ca AS (SELECT * FROM (SELECT cj.* EXCLUDE (score), fu.fused AS score, qq.query, row_number() OVER (PARTITION BY cj.query_id ORDER BY fu.fused DESC, cj.id) AS position FROM cj JOIN qq ON cj.query_id = qq.query_id JOIN fu ON fu.query_id = cj.query_id AND fu.id = cj.id) WHERE position <= 60)""")
 )
 
 
 @query("rank_hybrid_results", FUSED + "SELECT rr.query_id, rr.id, round(ca.score, 6)::DOUBLE AS score, rr.place FROM rr JOIN ca ON ca.query_id = rr.query_id AND ca.id = rr.id WHERE rr.place <= 10")
 def rank_hybrid_results(spark: SparkSession, root: str) -> DataFrame:
-    """Two lanes fused with recipe weights, then reranked."""
+    """Two lanes fused with the weights of the general recipe, then reranked."""
     rows = candidates(spark, root)
     lane = lambda name, *order: rows.select("query_id", "id", "score", F.lit(name).alias("lane"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
     lanes = lane("base", F.col("score").desc(), "id").unionByName(lane("kind", F.length("path"), "id"))
-    return rank_hybrid(lanes, rows.select(META), {"base": 0.7, "kind": 0.3}, 10, 20)
+    return rank_hybrid(lanes, rows.select(META), {"base": 0.6, "kind": 0.2}, 10, 20)
 
 
 @query("rank_semantic_only", RERANKED.replace("WHERE head", "WHERE head").replace("AS position FROM cj JOIN qq USING (query_id))", "AS position FROM cj JOIN qq USING (query_id) QUALIFY position <= 40)").replace("intent = 'source' AS src", "true AS src") + "SELECT query_id, id, place FROM rr WHERE place <= 10")

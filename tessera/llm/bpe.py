@@ -6,7 +6,7 @@ log(n) steps, until the root holds no mergeable pair: n log n for a pre-token of
 run of a million letters is no trap.
 
 Defined cases: a null or empty text has an empty list of ids; marker-like strings are plain text;
-lone surrogates count as the replacement character; rows keep their identifiers, repeated ones too.
+lone surrogates, which no UTF-8 holds, count as a question mark; rows keep their identifiers, repeated ones too.
 """
 
 from __future__ import annotations

@@ -321,17 +321,17 @@ def extract(texts: DataFrame, key: str, text: str, bits: list[list[float]]) -> D
                     features.append(f)
                     labels.append(weak_label(f))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(lines, pa.int32()), pa.array(spans, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.float64())), pa.array(labels, pa.int32())],
+                [pa.array(keys, pa.string()), pa.array(lines, pa.int32()), pa.array(spans, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.float32())), pa.array(labels, pa.int32())],
                 ["k", "line_no", "spans", "features", "label"],
             )
 
     kept = texts.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), text)
-    return kept.mapInArrow(run, "k string, line_no int, spans array<int>, features array<double>, label int").withColumnRenamed("k", key)
+    return kept.mapInArrow(run, "k string, line_no int, spans array<int>, features array<float>, label int").withColumnRenamed("k", key)
 
 
 def path_features(path: Column) -> Column:
     low = F.lower(F.coalesce(path, F.lit("")))
-    flag = lambda pattern: F.when(low.rlike(pattern), 1.0).otherwise(0.0)
+    flag = lambda pattern: F.when(low.rlike(pattern), 1.0).otherwise(0.0).cast("float")
     return F.array(flag(r"\.(json|ya?ml|toml|env|ini|cfg|properties|sh|bash)$"), flag(r"(^|/)(tests?|spec|fixtures?|examples?|docs?)/"), flag(r"^$"))
 
 
@@ -386,7 +386,7 @@ def scored(rows: DataFrame, paths: DataFrame, key: str, text: str) -> DataFrame:
     sample = found.where("label >= 0").where(F.pmod(order, F.lit(1 << 20)) < share).orderBy(order).limit(SAMPLE).select("features", "path_features", "label").collect()
     w, scale, offset = train(sample)
     weights = F.array(*[F.lit(float(v)) for v in w])
-    z = F.aggregate(F.zip_with(F.concat("features", "path_features"), weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    z = F.aggregate(F.zip_with(F.concat("features", "path_features"), weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
     return found.withColumn("probability", 1 / (1 + F.exp(-(z * scale + offset))))
 
 

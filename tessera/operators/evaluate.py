@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranking import overlaps, path_fits
+from tessera.session import bounded
+
 
 def per_query(results: DataFrame, queries: DataFrame, query: str, k: int = 10) -> DataFrame:
     """results (query, rank, relevant): hits at 1, 3, 5 and 10, reciprocal rank and nDCG at k. The ideal order is that of
@@ -56,3 +59,28 @@ def gate(comparison: DataFrame, max_drop: dict[str, float]) -> DataFrame:
     """Measures that fell by more than allowed."""
     limits = F.create_map(*[F.lit(x) for kv in max_drop.items() for x in kv])
     return comparison.withColumn("allowed_drop", F.try_element_at(limits, F.col("measure"))).withColumn("passes", F.coalesce(-F.col("change") <= F.col("allowed_drop"), F.lit(True)))
+
+GOLDEN_ROWS = 100_000
+
+
+def expected_hits(results: DataFrame, golden: DataFrame) -> DataFrame:
+    """results (query_id, path, name, start_line, end_line, ...) with ``relevant``: the path fits one of the query's paths, and symbol
+    and lines fit where the query expects any. golden: query_id, paths, symbol, first_line, last_line."""
+    met = results.join(bounded(golden, GOLDEN_ROWS), "query_id", "left")
+    path = F.exists(F.coalesce("paths", F.array().cast("array<string>")), lambda p: path_fits(F.col("path"), p))
+    symbol = F.col("symbol").isNull() | F.col("name").eqNullSafe(F.col("symbol"))
+    lines = F.col("first_line").isNull() | F.col("last_line").isNull() | overlaps(F.col("start_line"), F.col("end_line"), F.col("first_line"), F.col("last_line"))
+    return met.withColumn("relevant", F.coalesce(path & symbol & lines, F.lit(False))).drop("paths", "symbol", "first_line", "last_line")
+
+
+IDENTITY = ["path", "kind", "start_line", "end_line", "name"]
+
+
+def same_results(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(query_id, place, other): where each result of one run stands in the other, by query and the five columns of IDENTITY,
+    nulls being equal; null where it doesn't."""
+    a, b = left.alias("a"), right.groupBy("query_id", *IDENTITY).agg(F.min("place").alias("place")).alias("b")
+    on = F.col("a.query_id") == F.col("b.query_id")
+    for c in IDENTITY:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, on, "left").select(F.col("a.query_id").alias("query_id"), F.col("a.place").alias("place"), F.col("b.place").alias("other"))

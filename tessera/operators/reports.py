@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import content
@@ -106,3 +106,20 @@ def tree_after(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     last file, as folders are what lies above files."""
     kept = snapshot.join(changes.select("path"), "path", "left_anti")
     return kept.unionByName(changes.where("hash IS NOT NULL").select(*kept.columns))
+
+
+def cost(tokens: Column, price_per_million: Column) -> Column:
+    return tokens / 1_000_000 * price_per_million
+
+
+def symbol_candidates(chunks: DataFrame) -> DataFrame:
+    """(path, symbol, exported): named functions and classes of files (path, name, kind, text), each once; an exported one goes
+    before another of its name."""
+    exported = F.col("text").rlike(r"(?:^|\n)\s*export\s+") | F.col("text").rlike(r"module\.exports|exports\.")
+    rows = chunks.where(F.col("name").isNotNull() & F.col("kind").isin("function", "method", "class")).select("path", F.col("name").alias("symbol"), F.coalesce(exported, F.lit(False)).alias("exported"))
+    return rows.groupBy("path", "symbol").agg(F.max("exported").alias("exported"))
+
+
+def drained(jobs: DataFrame, place: str, most: int | None = None) -> DataFrame:
+    """The jobs a worker takes now: all, or the first so many in the queue's order."""
+    return jobs if most is None else jobs.where(F.col(place) <= most)

@@ -20,6 +20,7 @@ LANE_EXACT_FILE, LANE_BASE, LANE_SCALE = 0.995, 0.9, 0.09
 PENALTIES = {"wrapper-export": 0.05, "options-shape": 0.08, "type-interface": 0.06, "module": 0.04}
 BONUS, SAME_FILE_BONUS = 0.035, 0.025
 PENALTY_BY_TASK = {"definition": 0.5, "semantic": 0.45}
+SYMBOL_EXACT, SYMBOL_FUZZY = 0.99, 0.88
 POOL = 50
 
 
@@ -209,3 +210,21 @@ def with_graph(rows: DataFrame, reached: DataFrame) -> DataFrame:
 def scored_stage(stages: Column, name: str, kind: str, before: Column, after: Column, reason: Column) -> Column:
     """The stages that explain a score with one more."""
     return F.array_append(stages, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"), reason.alias("reason")))
+
+
+def definition_lane(queries: DataFrame, symbols: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """(query_id, chunk_id, score, place): symbols whose name is an identifier of the query (0.99), or is one but for its signs (0.88),
+    with the chunk of each (symbols: id, name; chunks: symbol_id, chunk_id). Names meet by equality, hot ones as often as queries ask."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(i.hints(F.col("query")))).alias("h")).withColumn("key", i.compact(F.col("h")))
+    named = symbols.select(F.col("id").alias("symbol_id"), F.lower("name").alias("n")).withColumn("key", i.compact(F.col("n")))
+    met = wanted.join(named, "key").withColumn("s", F.when(F.col("h") == F.col("n"), SYMBOL_EXACT).otherwise(SYMBOL_FUZZY))
+    rows = met.join(chunks, "symbol_id").groupBy("query_id", "chunk_id").agg(F.max("s").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= limit)
+
+
+def with_definitions(rows: DataFrame, lane: DataFrame) -> DataFrame:
+    """Result lists with the definition lane: each of its chunks at least at the lane's score, in a new order."""
+    both = rows.select("query_id", "id", "score").join(lane.select("query_id", F.col("chunk_id").alias("id"), F.col("score").alias("floor")), ["query_id", "id"], "full")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return both.select("query_id", "id", F.greatest("score", "floor").alias("score")).withColumn("place", F.row_number().over(order).cast("bigint"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.catalogue import query
 from tessera.functions import identifiers as i
 from tessera.functions import intent
+from tessera.operators import evaluate, reports
 from tessera.operators import rerank as r
 from tessera.plans import indexing
 from tessera.plans.search import rank_hybrid, rank_one_lane
@@ -331,3 +332,48 @@ def incremental_index(spark: SparkSession, root: str) -> DataFrame:
     index, fresh = indexing.hot_update(indexing.cold_start(old), files), indexing.cold_start(files)
     differ = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     return spark.createDataFrame([(differ(index.chunks, fresh.chunks), differ(index.state, fresh.state))], "same_chunks boolean, same_states boolean")
+
+
+LANE = f""", dl AS (SELECT query_id, unnest(list_distinct({HINTS})) AS h FROM qq), dn AS (SELECT chunk_id, lower(name) AS n FROM lc WHERE name IS NOT NULL),
+dm AS (SELECT query_id, chunk_id, max(CASE WHEN h = n THEN 0.99 ELSE 0.88 END)::DOUBLE AS score FROM dl JOIN dn ON regexp_replace(h, '[^a-z0-9]', '', 'g') = regexp_replace(n, '[^a-z0-9]', '', 'g') GROUP BY ALL),
+dp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS place FROM dm) WHERE place <= 20)"""
+
+
+def _lane(spark: SparkSession, root: str) -> DataFrame:
+    named = live(spark, root).where("name IS NOT NULL")
+    links = named.select(F.col("chunk_id").alias("symbol_id"), "chunk_id")
+    return r.definition_lane(questions(spark, root), named.select(F.col("chunk_id").alias("id"), "name"), links, 20)
+
+
+@query("symbol_definition_lane", CANDIDATES.rstrip() + LANE + " SELECT query_id, chunk_id, score, place FROM dp")
+def symbol_definition_lane(spark: SparkSession, root: str) -> DataFrame:
+    return _lane(spark, root)
+
+
+@query("promoted_definitions", CANDIDATES.rstrip() + LANE + " SELECT coalesce(ca.query_id, dp.query_id) AS query_id, coalesce(ca.id, dp.chunk_id) AS id, greatest(ca.score, dp.score)::DOUBLE AS score FROM ca FULL JOIN dp ON ca.query_id = dp.query_id AND ca.id = dp.chunk_id")
+def promoted_definitions(spark: SparkSession, root: str) -> DataFrame:
+    return r.with_definitions(candidates(spark, root), _lane(spark, root)).select("query_id", "id", "score")
+
+
+@query("expected_hits", CANDIDATES + ", gl AS (SELECT query_id, path AS wanted, name AS symbol FROM ca WHERE position = 2) SELECT ca.query_id, ca.id, coalesce((ca.path = wanted OR ends_with(ca.path, '/' || wanted) OR ends_with(wanted, '/' || ca.path)) AND (symbol IS NULL OR ca.name IS NOT DISTINCT FROM symbol), false) AS relevant FROM ca LEFT JOIN gl USING (query_id)")
+def expected_hits(spark: SparkSession, root: str) -> DataFrame:
+    rows = candidates(spark, root)
+    golden = rows.where("position = 2").select("query_id", F.array("path").alias("paths"), F.col("name").alias("symbol"), F.lit(None).cast("int").alias("first_line"), F.lit(None).cast("int").alias("last_line"))
+    results = rows.select("query_id", "id", "path", "name", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    return evaluate.expected_hits(results, golden).select("query_id", "id", "relevant")
+
+
+@query("result_positions", CANDIDATES + ", x AS (SELECT query_id, path, kind, name, position AS place FROM ca), y AS (SELECT query_id, path, kind, name, min(place) AS other FROM (SELECT query_id, path, kind, name, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS place FROM ca) WHERE place <= 30 GROUP BY ALL) SELECT x.query_id, x.place::BIGINT AS place, y.other::BIGINT AS other FROM x LEFT JOIN y ON x.query_id = y.query_id AND x.path = y.path AND x.kind IS NOT DISTINCT FROM y.kind AND x.name IS NOT DISTINCT FROM y.name")
+def result_positions(spark: SparkSession, root: str) -> DataFrame:
+    """Where each result stands in another run."""
+    rows = candidates(spark, root).withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
+    left = rows.withColumn("place", F.col("position").cast("bigint"))
+    right = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("id").desc())).cast("bigint")).where("place <= 30")
+    return evaluate.same_results(left, right)
+
+
+@query("symbol_candidates", LIVE + r", c AS (SELECT repo || '/' || file_path AS path, name AS symbol, coalesce(regexp_matches(t, '(?:^|\n)\s*export\s+') OR regexp_matches(t, 'module\.exports|exports\.'), false) AS exported FROM lc LEFT JOIN (SELECT lower(trim(content_hash)) AS h, max(chunk_text) AS t FROM chunk_embeddings GROUP BY ALL) ON h = content_hash WHERE name IS NOT NULL AND lower(symbol_kind) IN ('function', 'method', 'class')) SELECT path, symbol, bool_or(exported) AS exported FROM c GROUP BY ALL")
+def symbol_candidates(spark: SparkSession, root: str) -> DataFrame:
+    texts = table(spark, root, "chunk_embeddings").groupBy(clean_key("content_hash").alias("content_hash")).agg(F.max("chunk_text").alias("text"))
+    rows = live(spark, root).join(texts, "content_hash", "left")
+    return reports.symbol_candidates(rows.select(F.concat_ws("/", "repo", "file_path").alias("path"), "name", F.lower("symbol_kind").alias("kind"), "text"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.content import repository_path
 from tessera.functions.text import glob_regex, language_of
 
 # Files whose presence marks a project's root.
@@ -53,6 +54,45 @@ def load_snapshot(spark: SparkSession, path: str, branch: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("branch") == branch)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete_snapshot(spark: SparkSession, path: str, branch: str) -> None:
+    _drop(spark, f"{path}/branch={branch}")
+
+
+def clear_snapshots(spark: SparkSession, path: str) -> None:
+    _drop(spark, path)
+
+
+def scan_path(spark: SparkSession, root: str, changed: str, include: list[str], exclude: list[str], ignore: list[str], max_bytes: int) -> DataFrame:
+    """The scan of one path: a row if it is there and kept, else none."""
+    rows = scan(spark, root, include, exclude, ignore, max_bytes)
+    wanted = spark.range(1).select(repository_path(F.lit(changed), os.path.abspath(root)).alias("p")).first()["p"]
+    return rows.where((F.col("file_path") == wanted) & F.col("reason").isNull()) if wanted else rows.limit(0)
+
+
+# Thresholds of an evaluation budget, and the other name two of them may have.
+THRESHOLDS = ("hitAt1MaxDrop", "hitAt5MaxDrop", "mrrAt10MaxDrop", "combinedRecallAt10MaxDrop", "expansionHitRateMaxDrop", "p95LatencyMaxMultiplier", "p95LatencyMaxAbsoluteMs", "minHitAt1", "minHitAt5", "minMrrAt10")
+OTHER_NAMES = {"combinedRecallAt10MaxDrop": "combinedRecallAt10", "expansionHitRateMaxDrop": "expansionHitRate"}
+
+
+def load_budget(path: str) -> dict[str, float]:
+    """The thresholds a budget file gives; one that isn't a number of at least 0 raises with its place."""
+    with open(path) as f:
+        given = json.load(f).get("thresholds", {})
+    out = {}
+    for name in THRESHOLDS:
+        value = given.get(name, given.get(OTHER_NAMES.get(name, "")))
+        if value is not None:
+            if isinstance(value, bool) or not isinstance(value, (int, float)) or value < 0:
+                raise ValueError(f"{path}: thresholds.{name} is not a number of at least 0")
+            out[name] = float(value)
+    return out
+
+
 def migrated(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Older tables under a newer schema: missing columns are null, others are cast."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

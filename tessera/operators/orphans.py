@@ -20,21 +20,24 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import bounded, clean_key, cut
+from tessera.session import bounded, clean_key, cut, discard
 
 KEY = ["relation", "key"]
 GRACE_HOURS = 24
 #: Keys with more references than this, and than a MOST_HOT-th of all, are spread over SALTS; so there are at most MOST_HOT.
 HOT_ROWS = 200_000
 MOST_HOT = 20_000
-#: Keys a batch touches up to which they are broadcast.
+#: Keys a batch touches, or records that are deleted, up to which they are broadcast.
 TOUCHED = 1_000_000
 SALTS = 64
+#: The step of rows without a time, before all months.
+UNTIMED = -(2**31)
 
 
 @dataclass
@@ -51,11 +54,15 @@ class OrphanState(Feed):
     pending: DataFrame
     #: which tables aren't files of their own yet
     loose: tuple[str, ...] = ("refs", "provides", "dead", "pending")
+    #: files that only the making of pending reads
+    scratch: tuple[DataFrame, ...] = ()
 
     def written(self) -> OrphanState:
         """The state as files in the shared folder."""
         tables = {t: getattr(self, t) for t in ("refs", "provides", "dead", "pending")}
-        return OrphanState(**{t: cut(df) if t in self.loose else df for t, df in tables.items()}, loose=())
+        state = OrphanState(**{t: cut(df) if t in self.loose else df for t, df in tables.items()}, loose=())
+        discard(*self.scratch)
+        return state
 
 
 REF, PROVIDE = ["relation", "key", "holder", "entity"], ["relation", "key", "entity"]
@@ -78,7 +85,7 @@ def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
 def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours: int = GRACE_HOURS) -> DataFrame:
     """Orphans among refs: key without a living parent ("absent") or with one that came more than
     grace_hours after the reference ("late")."""
-    gone = dead.select("entity").distinct()
+    gone = bounded(dead.select("entity").distinct(), TOUCHED)
     living = _merge(_alive(provides, gone), KEY).withColumnRenamed("at", "parent_at")
     asking = _alive(refs, gone)
     hot = _hot(refs)
@@ -93,7 +100,7 @@ def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours:
 
 def touched_keys(state: Feed, batch: Feed) -> DataFrame:
     """The keys whose references or parents a batch may change."""
-    newly = batch.dead.select("entity").distinct().join(state.dead.select("entity"), "entity", "left_anti")
+    newly = bounded(batch.dead.select("entity").distinct().join(state.dead.select("entity"), "entity", "left_anti"), TOUCHED)
     held = lambda rows: rows.where("entity IS NOT NULL").join(newly, "entity", "left_semi").select(*KEY)
     keys = batch.refs.select(*KEY).unionByName(batch.provides.select(*KEY))
     for table in (state.refs, state.provides):
@@ -110,20 +117,37 @@ def advance(state: OrphanState | None, batch: Feed, grace_hours: int = GRACE_HOU
     keys = cut(touched_keys(state, batch))
     touched = bounded(keys, TOUCHED)
     both = Feed(state.refs.unionByName(batch.refs.select(*state.refs.columns)), state.provides.unionByName(batch.provides.select(*state.provides.columns)), state.dead.unionByName(dead))
-    refs, provides = (cut(_merge(rows.join(touched, KEY, "left_semi"), by)) for rows, by in ((both.refs, REF), (both.provides, PROVIDE)))
+    refs, provides = (_merge(rows.join(touched, KEY, "left_semi"), by) for rows, by in ((both.refs, REF), (both.provides, PROVIDE)))
+    refs = cut(refs)  # read more than once
     again = evaluate(refs, provides, both.dead, grace_hours)
-    return OrphanState(both.refs, both.provides, both.dead, state.pending.join(touched, KEY, "left_anti").unionByName(again))
+    pending = state.pending.join(touched, KEY, "left_anti").unionByName(again)
+    return OrphanState(both.refs, both.provides, both.dead, pending, scratch=(keys, refs))
 
 
-def replay(feed: Feed, times: list[str]) -> tuple[OrphanState, list[DataFrame]]:
-    """The state after a feed that comes in steps, the first up to the first time and so on, and the counts after each step."""
-    state, history = None, []
-    for step, (lower, upper) in enumerate(zip([None, *times], [*times, None], strict=True)):
-        state = advance(state, feed_until(feed, lower, upper))
-        if upper is not None:
-            state = state.written()
-        history.append(counts(state.pending).select(F.lit(step).alias("step"), "*"))
-    return state, history
+def replay(feed: Feed) -> Iterator[tuple[int, OrphanState]]:
+    """The whole feed month by month: after every month that has rows its number (``month_number``, or UNTIMED) and the state.
+    The feed is written once, by months, and is the state's refs, provides and dead as far as it has come; a step's
+    pending is gone when the next is asked for."""
+    stepped = (df.withColumn("step", F.coalesce(month_number("at"), F.lit(UNTIMED))) for df in (feed.refs, feed.provides, feed.dead))
+    log = Feed(*(cut(df.hint("rebalance", "step"), "step") for df in stepped))  # else every task would write a file a month
+    state = empty_state(feed.refs.sparkSession)
+    for step in months(log):
+        batch, whole = (Feed(*(df.where(upto).drop("step") for df in (log.refs, log.provides, log.dead))) for upto in (F.col("step") == step, F.col("step") <= step))
+        after = advance(state, batch)
+        before, state = state, OrphanState(whole.refs, whole.provides, whole.dead, after.pending, ("pending",), after.scratch).written()
+        discard(before.pending)
+        yield step, state
+
+
+def month_number(at: str | Column) -> Column:
+    at = F.col(at) if isinstance(at, str) else at
+    return F.year(at) * 12 + F.month(at) - 1
+
+
+def months(log: Feed) -> list[int]:
+    """The steps that have rows, in order: a number a month of the feed's span."""
+    steps = log.refs.select("step").unionByName(log.provides.select("step")).unionByName(log.dead.select("step"))
+    return sorted(r["step"] for r in steps.distinct().collect())
 
 
 def _epoch_ms(column: str) -> Column:
@@ -161,18 +185,6 @@ def counts(pending: DataFrame) -> DataFrame:
     )
 
 
-def feed_until(feed: Feed, lower: str | None, upper: str | None) -> Feed:
-    """The part of a feed with lower <= at < upper; rows without a time belong to the first part."""
-
-    def part(df: DataFrame) -> DataFrame:
-        low = F.lit(True) if lower is None else F.col("at") >= F.lit(lower).cast("timestamp_ntz")
-        high = F.lit(True) if upper is None else F.col("at") < F.lit(upper).cast("timestamp_ntz")
-        keep = low & high
-        return df.where(F.coalesce(keep, F.lit(lower is None)))
-
-    return Feed(part(feed.refs), part(feed.provides), part(feed.dead))
-
-
 def empty_state(spark: SparkSession) -> OrphanState:
     make = lambda ddl: spark.createDataFrame([], ddl)
     return OrphanState(

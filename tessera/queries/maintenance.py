@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue import query
 from tessera.operators import orphans, snapshots
-from tessera.session import table
+from tessera.session import cut, table
 
 ORPHAN_CTES = """
 WITH c AS (SELECT lower(trim(chunk_id, chr(9)||chr(10)||chr(13)||' ')) AS id, lower(trim(content_hash, chr(9)||chr(10)||chr(13)||' ')) AS h, indexed_at AS seen, deleted_at FROM chunks),
@@ -34,16 +34,18 @@ def _feed(spark: SparkSession, root: str) -> orphans.Feed:
     return orphans.index_feed(*(table(spark, root, t) for t in ("branch_chunks", "chunks", "chunk_embeddings")))
 
 
-def _last(spark: SparkSession, root: str, unit: str) -> list[str]:
-    """When the last day or month of the memberships begins."""
-    last = table(spark, root, "branch_chunks").agg(F.date_trunc(unit, F.max("added_at")).alias("t")).first()["t"]
-    return [str(last)] if last else []
+def _replayed(spark: SparkSession, root: str) -> orphans.OrphanState:
+    """The state after the last month of the feed, every month having been a step."""
+    state = orphans.empty_state(spark)
+    for _, state in orphans.replay(_feed(spark, root)):  # noqa: B007
+        pass
+    return state
 
 
 @query("p1_found", ORPHAN_CTES + "SELECT DISTINCT relation AS table_name, holder AS holder_key, key AS missing_key FROM pending")
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Read off the state replayed in two steps: all but the last day, then what came since."""
-    return orphans.found(orphans.replay(_feed(spark, root), _last(spark, root, "day"))[0].pending)
+    """Read off the state after the feed has come in month by month."""
+    return orphans.found(_replayed(spark, root).pending)
 
 
 @query(
@@ -54,8 +56,8 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 FROM pending GROUP BY ALL""",
 )
 def p1_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Counts of the state replayed in two steps, up to the last month and that month."""
-    return orphans.counts(orphans.replay(_feed(spark, root), _last(spark, root, "month"))[0].pending)
+    """Counts of the state after the feed has come in month by month."""
+    return orphans.counts(_replayed(spark, root).pending)
 
 
 COUNTED = """relation AS table_name, strftime(seen, '%Y-%m') AS month, count(*)::BIGINT AS n_orphans,
@@ -72,9 +74,14 @@ BEFORE = (
 
 @query("p1_history", f"SELECT * FROM ({BEFORE} SELECT 0::INT AS step, {COUNTED}) UNION ALL SELECT * FROM ({ORPHAN_CTES} SELECT 1::INT AS step, {COUNTED})")
 def p1_history(spark: SparkSession, root: str) -> DataFrame:
-    """The counts after each of the two steps of p1_counts: the second resolves, adds and reopens."""
-    first, second = orphans.replay(_feed(spark, root), _last(spark, root, "month"))[1]
-    return first.unionByName(second)
+    """The counts before the last month of the memberships and at the end of the replay: what comes between resolves, adds and reopens."""
+    last = table(spark, root, "branch_chunks").agg(orphans.month_number(F.max("added_at")).alias("m")).first()["m"]
+    before = after = orphans.counts(orphans.empty_state(spark).pending)
+    for month, state in orphans.replay(_feed(spark, root)):
+        after = cut(orphans.counts(state.pending))
+        if month < (orphans.UNTIMED + 1 if last is None else last):
+            before = after
+    return before.select(F.lit(0).alias("step"), "*").unionByName(after.select(F.lit(1).alias("step"), "*"))
 
 
 TREE_CTES = r"""

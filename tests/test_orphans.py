@@ -1,9 +1,13 @@
 import datetime as dt
+import os
 import random
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from tessera.operators import orphans as o
+from tessera.session import shared_dir
 from tessera.streaming import orphan_stream
 from tessera.streaming.changes import run_available
 
@@ -122,3 +126,60 @@ def test_references_without_a_record_stay_out_of_the_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+MONTH = 24 * 31
+MONTHS = (
+    [("main", "c1", 0), ("main", "c2", 1), ("dev", "c3", MONTH), ("dev", "c1", 2 * MONTH), ("x", "c4", None), ("x", "c2", 2 * MONTH + 1), ("main", "c5", 3 * MONTH)],
+    [("c1", "h1", 2, None), ("c2", "h2", 3, MONTH + 5), ("c3", "h3", 2 * MONTH, None), ("c4", "h4", 5, 3 * MONTH + 1), ("c5", "h1", 3 * MONTH + 2, None), ("c1", "h1", 2 * MONTH, None)],
+    [("e1", "h1", 1), ("e2", "h3", MONTH + 3), ("e3", "h9", 2 * MONTH), ("e4", "h4", 6)],
+)
+
+
+def index(spark, root, bc, ch, ce):
+    """The tables as files, and a connection that has them as views."""
+    con = duckdb.connect()
+    tables = {
+        "branch_chunks": spark.createDataFrame([(b, c, at(h), "x") for b, c, h in bc], BC),
+        "chunks": spark.createDataFrame([(c, x, at(h), at(d), "x") for c, x, h, d in ch], CH),
+        "chunk_embeddings": spark.createDataFrame([(e, x, ms(h), "m") for e, x, h in ce], CE),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{root}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{root}/{name}.parquet/*.parquet'")
+    return con
+
+
+def same_as_sql(spark, rows, con, root, name):
+    got = entry.queries()[name](spark, str(root))
+    sql = con.execute(entry.oracle_sql()[name])
+    order = [[d[0] for d in sql.description].index(c) for c in got.columns]
+    assert rows(got) == sorted((tuple(r[i] for i in order) for r in sql.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_history"])
+def test_queries_take_the_feed_month_by_month(spark, rows, tmp_path, monkeypatch, name):
+    con = index(spark, tmp_path, *MONTHS)
+    sizes, advance = [], o.advance
+
+    def counted(state, batch, *rest):
+        sizes.append((state.refs.count(), batch.refs.count(), batch.provides.count(), batch.dead.count()))
+        return advance(state, batch, *rest)
+
+    monkeypatch.setattr(o, "advance", counted)
+    same_as_sql(spark, rows, con, tmp_path, name)
+    assert sizes == [(0, 1, 0, 0), (1, 7, 8, 0), (8, 2, 1, 1), (10, 5, 5, 0), (15, 2, 2, 1)]
+
+
+def test_history_without_times_of_memberships(spark, rows, tmp_path):
+    con = index(spark, tmp_path, [(b, c, None) for b, c, _ in MONTHS[0]], *MONTHS[1:])
+    same_as_sql(spark, rows, con, tmp_path, "p1_history")
+
+
+def test_replay_leaves_the_feed_and_one_state(spark, tmp_path):
+    """A step's scratch files and the state before it are deleted."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    for _ in o.replay(feed(spark, *MONTHS)):
+        pass
+    assert len(set(os.listdir(folder)) - before) == 4

@@ -21,7 +21,8 @@ columns other than the named ones are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ SALTS = 64
 UNTIMED = -(2**31)
 
 
+@dataclass
+class Known:
+    """What a replay knows of a feed, so that a step needn't count it. Every count is a job and every shuffle a thread of the driver
+    for a minute, whatever the size of the tables."""
+
+    #: rows of dead, each a record of its own that isn't in what came before
+    deaths: int
+    #: the keys to be spread, those that are hot in the whole feed; None if there are none
+    hot: DataFrame | None
+
+
 @dataclass
 class Feed:
     """One batch of changes; the columns are those of the state tables."""
@@ -47,6 +59,7 @@ class Feed:
     refs: DataFrame
     provides: DataFrame
     dead: DataFrame
+    known: Known | None = field(default=None, kw_only=True)
 
 
 @dataclass
@@ -60,7 +73,7 @@ class OrphanState(Feed):
     def written(self) -> OrphanState:
         """The state as files in the shared folder."""
         tables = {t: getattr(self, t) for t in ("refs", "provides", "dead", "pending")}
-        state = OrphanState(**{t: cut(df) if t in self.loose else df for t, df in tables.items()}, loose=())
+        state = OrphanState(**{t: cut(df) if t in self.loose else df for t, df in tables.items()}, loose=(), known=self.known)
         discard(*self.scratch)
         return state
 
@@ -72,37 +85,52 @@ def _merge(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("at").alias("at"))
 
 
-def _hot(refs: DataFrame) -> DataFrame:
-    most = max(HOT_ROWS, refs.count() // MOST_HOT)
-    return F.broadcast(refs.groupBy(*KEY).count().where(F.col("count") > most).select(*KEY, F.lit(True).alias("hot")))
+def _hot(refs: DataFrame, rows: int) -> DataFrame:
+    """The hot keys of refs, which has so many rows."""
+    most = max(HOT_ROWS, rows // MOST_HOT)
+    return refs.groupBy(*KEY).count().where(F.col("count") > most).select(*KEY)
 
 
-def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose record isn't deleted. Those without a record can't be and stay out of the join, where they would be one key."""
+def _alive(rows: DataFrame, gone: DataFrame, sent: bool = False) -> DataFrame:
+    """Rows whose record isn't deleted. Those without a record can't be and stay out of the join, where they would be one key,
+    unless gone is sent to all tasks and nothing is gathered by key."""
+    if sent:
+        return rows.join(gone, "entity", "left_anti").select(*rows.columns)
     return rows.where("entity IS NULL").unionByName(rows.where("entity IS NOT NULL").join(gone, "entity", "left_anti").select(*rows.columns))
 
 
-def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours: int = GRACE_HOURS) -> DataFrame:
+def evaluate(refs: DataFrame, provides: DataFrame, dead: DataFrame, grace_hours: int = GRACE_HOURS, known: Known | None = None) -> DataFrame:
     """Orphans among refs: key without a living parent ("absent") or with one that came more than
-    grace_hours after the reference ("late")."""
-    gone = bounded(dead.select("entity").distinct(), TOUCHED)
-    living = _merge(_alive(provides, gone), KEY).withColumnRenamed("at", "parent_at")
-    asking = _alive(refs, gone)
-    hot = _hot(refs)
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("holder"), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    asking = asking.join(hot, KEY, "left").withColumn("salt", salt).drop("hot")
-    living = living.join(hot, KEY, "left").withColumn("salt", F.explode(salts)).drop("hot").withColumn("there", F.lit(True))
+    grace_hours after the reference ("late"). Repeated references are merged where the join has left them, without
+    another shuffle: the earliest of them is late if any is."""
+    if known is None or known.deaths:
+        sent = known is not None and known.deaths <= TOUCHED
+        gone = F.broadcast(dead.select("entity")) if sent else bounded(dead.select("entity").distinct(), TOUCHED)
+        refs, provides = _alive(refs, gone, sent), _alive(provides, gone, sent)
+    living = _merge(provides, KEY).withColumnRenamed("at", "parent_at").withColumn("there", F.lit(True))
+    hot, by = _hot(refs, refs.count()) if known is None else known.hot, KEY
+    if hot is not None:
+        hot, by = F.broadcast(hot.withColumn("hot", F.lit(True))), [*KEY, "salt"]
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("holder"), F.lit(SALTS))).otherwise(0).cast("int")
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        refs = refs.join(hot, KEY, "left").withColumn("salt", salt).drop("hot")
+        living = living.join(hot, KEY, "left").withColumn("salt", F.explode(salts)).drop("hot")
     late = F.col("parent_at") > F.col("at") + F.expr(f"INTERVAL '{grace_hours}' HOUR")
     cause = F.when(F.col("there").isNull(), "absent").when(late, "late")
-    return asking.join(living, [*KEY, "salt"], "left").withColumn("cause", cause).where("cause IS NOT NULL").select("relation", "key", "holder", "at", "cause")
+    orphaned = refs.join(living, by, "left").withColumn("cause", cause).where("cause IS NOT NULL")
+    return _merge(orphaned, list(dict.fromkeys([*by, *REF, "cause"]))).select("relation", "key", "holder", "at", "cause")
 
 
 def touched_keys(state: Feed, batch: Feed) -> DataFrame:
     """The keys whose references or parents a batch may change."""
-    newly = bounded(batch.dead.select("entity").distinct().join(state.dead.select("entity"), "entity", "left_anti"), TOUCHED)
-    held = lambda rows: rows.where("entity IS NOT NULL").join(newly, "entity", "left_semi").select(*KEY)
     keys = batch.refs.select(*KEY).unionByName(batch.provides.select(*KEY))
+    if batch.known is None:
+        newly = bounded(batch.dead.select("entity").distinct().join(state.dead.select("entity"), "entity", "left_anti"), TOUCHED)
+    elif batch.known.deaths:
+        newly = F.broadcast(batch.dead.select("entity")) if batch.known.deaths <= TOUCHED else batch.dead.select("entity")
+    else:
+        return keys.distinct()
+    held = lambda rows: rows.where("entity IS NOT NULL").join(newly, "entity", "left_semi").select(*KEY)
     for table in (state.refs, state.provides):
         keys = keys.unionByName(held(table))
     return keys.distinct()
@@ -114,29 +142,55 @@ def advance(state: OrphanState | None, batch: Feed, grace_hours: int = GRACE_HOU
     if state is None:
         refs, provides = cut(_merge(batch.refs, REF)), cut(_merge(batch.provides, PROVIDE))
         return OrphanState(refs, provides, dead, evaluate(refs, provides, dead, grace_hours), ("dead", "pending"))
+    known = None
+    if state.known and batch.known:
+        dead, known = batch.dead, Known(state.known.deaths + batch.known.deaths, batch.known.hot)
     keys = cut(touched_keys(state, batch))
     touched = bounded(keys, TOUCHED)
     both = Feed(state.refs.unionByName(batch.refs.select(*state.refs.columns)), state.provides.unionByName(batch.provides.select(*state.provides.columns)), state.dead.unionByName(dead))
-    refs, provides = (_merge(rows.join(touched, KEY, "left_semi"), by) for rows, by in ((both.refs, REF), (both.provides, PROVIDE)))
-    refs = cut(refs)  # read more than once
-    again = evaluate(refs, provides, both.dead, grace_hours)
+    refs, provides = (rows.join(touched, KEY, "left_semi") for rows in (both.refs, both.provides))
+    scratch = (keys,)
+    if known is None or known.deaths > TOUCHED:
+        refs = cut(_merge(refs, REF))  # read more than once
+        scratch = (keys, refs)
+    elif known.hot is not None:
+        refs = _merge(refs, REF)  # a reference repeated without end has one salt
+    again = evaluate(refs, provides, both.dead, grace_hours, known)
     pending = state.pending.join(touched, KEY, "left_anti").unionByName(again)
-    return OrphanState(both.refs, both.provides, both.dead, pending, scratch=(keys, refs))
+    return OrphanState(both.refs, both.provides, both.dead, pending, scratch=scratch, known=known)
 
 
 def replay(feed: Feed) -> Iterator[tuple[int, OrphanState]]:
     """The whole feed month by month: after every month that has rows its number (``month_number``, or UNTIMED) and the state.
-    The feed is written once, by months, and is the state's refs, provides and dead as far as it has come; a step's
-    pending is gone when the next is asked for."""
-    stepped = (df.withColumn("step", F.coalesce(month_number("at"), F.lit(UNTIMED))) for df in (feed.refs, feed.provides, feed.dead))
-    log = Feed(*(cut(df.hint("rebalance", "step"), "step") for df in stepped))  # else every task would write a file a month
+    The feed is written once, by months, and is the state's refs, provides and dead as far as it has come; a record is
+    deleted once, in its first month. A step's pending is gone when the next is asked for."""
+    refs, provides, dead = (df.withColumn("step", F.coalesce(month_number("at"), F.lit(UNTIMED))) for df in (feed.refs, feed.provides, feed.dead))
+    dead = dead.groupBy("entity").agg(F.min("at").alias("at"), F.min("step").alias("step"))
+    log = Feed(*(cut(df.hint("rebalance", "step"), "step") for df in (refs, provides, dead)))  # else every task would write a file a month
+    steps = sizes(log)
+    hot = _all_hot(log.refs, sum(n for _, n, _ in steps))
     state = empty_state(feed.refs.sparkSession)
-    for step in months(log):
+    state.known = Known(0, hot)
+    for step, _, newly in steps:
         batch, whole = (Feed(*(df.where(upto).drop("step") for df in (log.refs, log.provides, log.dead))) for upto in (F.col("step") == step, F.col("step") <= step))
+        batch.known = Known(newly, hot)
         after = advance(state, batch)
-        before, state = state, OrphanState(whole.refs, whole.provides, whole.dead, after.pending, ("pending",), after.scratch).written()
+        before, state = state, OrphanState(whole.refs, whole.provides, whole.dead, after.pending, ("pending",), after.scratch, known=after.known).written()
         discard(before.pending)
         yield step, state
+    discard(*([] if hot is None else [hot]))
+
+
+def _all_hot(refs: DataFrame, rows: int) -> DataFrame | None:
+    """The hot keys of all of refs, which has so many rows, as files; the others have no more rows in any part of it.
+    None if there are none."""
+    if rows <= HOT_ROWS:
+        return None
+    hot = cut(_hot(refs, rows))
+    if hot.isEmpty():
+        discard(hot)
+        return None
+    return hot
 
 
 def month_number(at: str | Column) -> Column:
@@ -144,10 +198,13 @@ def month_number(at: str | Column) -> Column:
     return F.year(at) * 12 + F.month(at) - 1
 
 
-def months(log: Feed) -> list[int]:
-    """The steps that have rows, in order: a number a month of the feed's span."""
-    steps = log.refs.select("step").unionByName(log.provides.select("step")).unionByName(log.dead.select("step"))
-    return sorted(r["step"] for r in steps.distinct().collect())
+def sizes(log: Feed) -> list[tuple[int, int, int]]:
+    """The steps that have rows, in order, a number a month of the feed's span; each with its rows in refs and in dead."""
+    counted = (df.groupBy("step").agg(F.count("*").alias("n")).withColumn("of", F.lit(t)) for t, df in (("refs", log.refs), ("provides", log.provides), ("dead", log.dead)))
+    rows: dict[int, dict[str, int]] = {}
+    for r in reduce(DataFrame.unionByName, counted).collect():
+        rows.setdefault(r["step"], {})[r["of"]] = r["n"]
+    return [(step, n.get("refs", 0), n.get("dead", 0)) for step, n in sorted(rows.items())]
 
 
 def _epoch_ms(column: str) -> Column:

@@ -183,3 +183,32 @@ def test_replay_leaves_the_feed_and_one_state(spark, tmp_path):
     for _ in o.replay(feed(spark, *MONTHS)):
         pass
     assert len(set(os.listdir(folder)) - before) == 4
+
+
+def jobs_run(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_a_month_of_the_replay_takes_few_jobs(spark):
+    """Each is a thread and code of the driver's, which ran out of memory with some 30 a month."""
+    f = feed(spark, *MONTHS)
+    before = jobs_run(spark)
+    months = [month for month, _ in o.replay(f)]
+    assert len(months) == 5 and jobs_run(spark) - before <= 16 * len(months)
+
+
+@pytest.mark.parametrize("limit", ["HOT_ROWS", "TOUCHED"])
+def test_replay_with_hot_keys_or_without_broadcasts(spark, rows, tmp_path, monkeypatch, limit):
+    """A limit of nothing: every key with references is hot, or nothing is broadcast."""
+    monkeypatch.setattr(o, limit, 0)
+    bc, ch, ce = MONTHS
+    con = index(spark, tmp_path, bc + [("main", "c2", 3), ("main", "c2", MONTH + 9)], ch, ce)
+    same_as_sql(spark, rows, con, tmp_path, "p1_history")
+
+
+def test_a_record_deleted_twice_and_repeated_references(spark, rows, tmp_path):
+    """Deletions of one record in two months, references repeated in another month, with and without a time."""
+    bc, ch, ce = MONTHS
+    con = index(spark, tmp_path, bc + [("main", "c2", None), ("dev", "c3", 0), ("dev", "c3", None), ("x", "c9", 2 * MONTH), ("x", "c9", 5)], ch + [("c2", "h2", 3, 2 * MONTH), ("c1", "h1", 4, 2 * MONTH)], ce)
+    same_as_sql(spark, rows, con, tmp_path, "p1_found")
+    same_as_sql(spark, rows, con, tmp_path, "p1_counts")
